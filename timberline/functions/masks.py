@@ -22,6 +22,7 @@ AGENTS = (
     "mozilla|chrome|safari|firefox|edg|opera|bot|crawler|spider|slurp|curl|wget|python|"
     "go-http|postman|java|mobile|android|iphone|ipad|dalvik|cfnetwork|darwin"
 )
+AGENT_INITIALS = "ABCDEFGIJMOPSWabcdefgijmopsw"
 
 CLOCK = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
 FRACTION = r"(?:\.[0-9]+)?"
@@ -44,6 +45,17 @@ FREE_RIGHT = "(?![a-zA-Z0-9])"
 B64 = r"[A-Za-z0-9_=-]+"
 
 
+# An edge between word and other characters. Spelled out, because the engine's own word
+# boundary is Unicode in some Java releases and ASCII in others.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def _word(first: str, inner: str) -> str:
+    """``inner`` between edges. Looking at its first character first is what makes a rule
+    cheap on the many positions where it does not apply."""
+    return rf"(?=[{first}])(?<!\w)(?:{inner})(?!\w)"
+
+
 @dataclass(frozen=True)
 class MaskRule:
     id: str
@@ -59,102 +71,105 @@ class MaskRule:
 RULES: tuple[MaskRule, ...] = (
     MaskRule(
         "timestamp_all", "Any Timestamp", "System", "<TIMESTAMP>",
-        rf"\b(?:{DATE_TIME}|{COMMON_LOG}|{SYSLOG}|{EPOCH})\b", True,
+        _word("0-9A-Z", f"{DATE_TIME}|{COMMON_LOG}|{SYSLOG}|{EPOCH}"), True,
         "Dates with times in ISO-like, access-log and syslog style, and epoch numbers",
         ("2024-03-05T06:07:08Z", "2024/03/05 06:07:08", "05/Mar/2024:06:07:08 +0000",
          "Tue Mar 05 06:07:08.250 UTC", "1709618828"),
     ),
     MaskRule(
         "pid", "Process / Thread ID", "System", "<PID>",
-        r"\b(?:pid|tid|PID|TID)\s+[0-9]+\b|\[pid [0-9]+\]|\b[0-9]+#[0-9]+\b", True,
+        "|".join(
+            (
+                _word("ptPT", r"(?:pid|tid|PID|TID)\s+[0-9]+"),
+                r"\[pid [0-9]+\]",
+                _word("0-9", "[0-9]+#[0-9]+"),
+            )
+        ),
+        True,
         "Process and thread numbers of error lines",
         ("[pid 311]", "tid 17", "2048#3"),
     ),
     MaskRule(
         "file_path", "File System Path", "System", "<FILE_PATH>",
-        r"(?:/[\w.-]+){3,}", False,
+        r"(?:/[\w.-]++){3,}+", False,
         "Paths of at least three segments, URL paths included",
         ("/srv/app/data/7.bin",),
     ),
     MaskRule(
         "hex_address", "Hex / Memory Address", "System", "<HEX_ADDR>",
-        rf"\b0x{HEX}+\b", False,
+        _word("0", rf"0x{HEX}+"), False,
         "Hexadecimal pointers",
         ("0x7ffe10a4",),
     ),
     MaskRule(
         "semver", "Semantic Version", "System", "<VERSION>",
-        r"\bv?[0-9]+\.[0-9]+\.[0-9]+(?:-[a-zA-Z0-9.-]+)?(?:\+[a-zA-Z0-9.-]+)?\b", False,
+        r"(?=[v0-9])(?<!\w)v?[0-9]+\.[0-9]+\.[0-9]+(?:-[a-zA-Z0-9.-]+)?(?:\+[a-zA-Z0-9.-]+)?"
+        + EDGE,
+        False,
         "Three-part versions with pre-release and build parts",
         ("v3.11.0", "1.0.0-beta.2"),
     ),
     MaskRule(
         "number", "Generic Numbers", "System", "<NUM>",
-        r"\b[0-9]{3,}\b", False,
+        _word("0-9", "[0-9]{3,}"), False,
         "Any free-standing number of three or more digits",
         ("404", "65536"),
     ),
     MaskRule(
         "database_url", "Database Connection URL", "System", "<DB_URL>",
-        rf"(?:postgres|mysql|mongodb(?:\+srv)?|redis)://(?:[^:]+:[^@]+@)?{NAME}(?::[0-9]+)?(?:/{NAME})?",
+        rf"(?=[pmr])(?:postgres|mysql|mongodb(?:\+srv)?|redis)://(?:[^:]+:[^@]+@)?{NAME}(?::[0-9]+)?(?:/{NAME})?",
         True,
         "Database URLs with credentials, port and database name",
         ("postgres://app:pw@db.internal:5432/shop", "redis://cache:6379"),
     ),
     MaskRule(
         "ipv4", "IPv4 Address", "Network", "<IP_ADDRESS>",
-        r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", True,
+        _word("0-9", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), True,
         "Four dotted numbers",
         ("192.0.2.44",),
     ),
     MaskRule(
         "ipv6", "IPv6 Address", "Network", "<IPV6_ADDRESS>",
-        "|".join(
-            FREE_LEFT + form + FREE_RIGHT
-            for form in (
-                rf"(?:{H4}:){{1,6}}(?::{H4}){{1,6}}",
-                rf"(?:{H4}:){{1,7}}{H4}",
-                rf"(?:{H4}:){{1,7}}:",
-                rf"::(?:{H4}:){{0,6}}{H4}",
-            )
-        ),
+        rf"{FREE_LEFT}(?={HEX}{{0,4}}:)(?:"
+        rf"(?:{H4}:){{1,6}}(?::{H4}){{1,6}}|(?:{H4}:){{1,7}}{H4}|(?:{H4}:){{1,7}}:|"
+        rf"::(?:{H4}:){{0,6}}{H4}){FREE_RIGHT}",
         False,
         "Full addresses and addresses shortened in the middle, at the end or at the start",
         ("2001:db8::7", "fe80::", "::1"),
     ),
     MaskRule(
         "mac_address", "MAC Address", "Network", "<MAC_ADDRESS>",
-        rf"\b(?:{HEX}{{2}}[:-]){{5}}{HEX}{{2}}\b", False,
+        _word("0-9a-fA-F", rf"(?:{HEX}{{2}}[:-]){{5}}{HEX}{{2}}"), False,
         "Six hex pairs joined by colons or dashes",
         ("02:42:ac:11:00:02",),
     ),
     MaskRule(
         "port", "Port Number", "Network", "<PORT>",
-        r"(?<=:)\b[1-9][0-9]{0,4}\b(?!\.[0-9])", True,
+        r"(?<=:)[1-9][0-9]{0,4}(?!\w)(?!\.[0-9])", True,
         "Number of up to five digits after a colon",
         (":8443",),
     ),
     MaskRule(
         "email", "Email Address", "Identity", "<EMAIL>",
-        r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", False,
+        r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", False,
         "Mail addresses",
         ("ops@example.org",),
     ),
     MaskRule(
         "uuid", "UUID / GUID", "Identity", "<UUID>",
-        rf"\b{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}\b", False,
+        _word("0-9a-fA-F", rf"{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}"), False,
         "Identifiers of 8-4-4-4-12 hex digits",
         ("123e4567-e89b-42d3-a456-426614174000",),
     ),
     MaskRule(
         "trace_id", "Trace / Span ID", "Identity", "<TRACE_ID>",
-        rf"\b{HEX}{{32}}\b|\b{HEX}{{16}}\b", False,
+        _word("0-9a-fA-F", rf"{HEX}{{32}}|{HEX}{{16}}"), False,
         "Hex strings of exactly 32 or 16 characters",
         ("0af7651916cd43dd8448eb211c80319c", "b7ad6b7169203331"),
     ),
     MaskRule(
         "http_method", "HTTP Method", "Web", "<HTTP_METHOD>",
-        rf"\b(?:{METHODS})\b", True,
+        _word("CDGHOPT", METHODS), True,
         "Upper-case request methods",
         ("PATCH",),
     ),
@@ -172,7 +187,7 @@ RULES: tuple[MaskRule, ...] = (
     ),
     MaskRule(
         "user_agent_all", "Any User-Agent", "Web", '"<USER_AGENT>"',
-        rf'(?i)"[^"]*(?:{AGENTS})[^"]*"', True,
+        rf'"(?=[^"]*")[^"]*?(?=[{AGENT_INITIALS}])(?i:{AGENTS})[^"]*"', True,
         "Quoted text naming a browser, bot, phone or command line client",
         ('"curl/8.5.0"', '"Mozilla/5.0 (X11; Linux x86_64)"'),
     ),
@@ -191,7 +206,7 @@ RULES: tuple[MaskRule, ...] = (
     ),
     MaskRule(
         "jwt", "JSON Web Token (JWT)", "Security", "<JWT>",
-        r"\beyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\b", False,
+        rf"(?=e)(?<!\w)eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+{EDGE}", False,
         "Three-part signed tokens",
         ("eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl",),
     ),

@@ -13,7 +13,7 @@ WILD = "<*>"
 
 # A whole token with a digit outside its mask tokens. Mask tokens are taken whole and
 # never given back, so the 6 of <IPV6_ADDRESS> is not seen as a digit.
-DIGIT_TOKEN = r"(?<!\S)(?:<[A-Z_0-9]+>|[^\s0-9<]|<(?![A-Z_0-9]+>))*+[0-9]\S*"
+DIGIT_TOKEN = r"(?<!\S)(?:[^\s0-9<]++|<[A-Z_0-9]++>|<)*+[0-9]\S*+"
 
 
 def masked_line(body: Column, ids: Iterable[str] | None = None) -> Column:

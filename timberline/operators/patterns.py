@@ -87,10 +87,14 @@ def _lines(logs: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
 
 def skeleton_profiles(lines: DataFrame, config: MiningConfig) -> DataFrame:
     """Parameter positions of every skeleton that has any: ``skeleton, params, merged``."""
-    tokens = line_tokens(F.col("masked"))
-    at = lines.select(
-        "skeleton", line_tokens(F.col("skeleton")).alias("s"), F.posexplode(tokens).alias("pos", "token")
-    ).where(F.get("s", "pos") == WILD)
+    values = F.zip_with(
+        line_tokens(F.col("masked")),
+        line_tokens(F.col("skeleton")),
+        lambda token, plain: F.when(plain == WILD, token),
+    )
+    at = lines.select("skeleton", F.posexplode(values).alias("pos", "token")).where(
+        F.col("token").isNotNull()
+    )
     slot = F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)
     sketches = at.groupBy("skeleton", "pos").agg(F.bit_or(bit).alias("slots"))

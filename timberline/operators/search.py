@@ -108,10 +108,10 @@ def matching_keys(
         return term == q[i]
 
     # Where the i-th query token sits, moved back by i, is where the phrase would start.
-    starts = [
-        F.when(fits(i), F.transform("positions", lambda p, i=i: p - i)).alias(f"s{i}")
-        for i in range(len(q))
-    ]
+    def moved_back(i: int) -> Column:
+        return F.transform("positions", lambda p: p - i)
+
+    starts = [F.when(fits(i), moved_back(i)).alias(f"s{i}") for i in range(len(q))]
     gathered = (
         hits.select(*keys, *starts)
         .groupBy(*keys)
