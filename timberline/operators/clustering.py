@@ -1,7 +1,7 @@
 """Similarity clustering of templates inside one bounded slice of a bucket.
 
 This is the only Python that sees data. Spark deals the templates to slices; a slice has
-at most a fixed number of templates of equal length.
+at most a fixed number of templates, and of tokens, of equal length.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def cluster_templates(lines: list[list[str]], sim_th: float) -> list[list[str]]:
         return []
     width = len(lines[0])
     codes, values = pd.factorize(np.array([t for line in lines for t in line], dtype=object))
-    rows = codes.reshape(len(lines), width)
+    rows = codes.astype(np.int32).reshape(len(lines), width)
     wild = int(np.flatnonzero(values == WILD)[0]) if (values == WILD).any() else -1
     templates = np.empty((len(lines), width), dtype=rows.dtype)
     wilds = np.zeros(len(lines), dtype=np.int64)

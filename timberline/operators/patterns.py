@@ -125,7 +125,7 @@ def _prefix(entry: Column, k: int) -> Column:
 
 
 def place_in_buckets(entries: DataFrame, config: MiningConfig) -> DataFrame:
-    """Adds ``bucket``: token count and leading tokens, branches limited per tree node.
+    """Adds ``n`` and ``bucket``: token count and leading tokens, with few branches per node.
 
     A node keeps its ``max_children - 1`` heaviest branches (ties by token) and sends the
     others to the wildcard branch.
@@ -139,12 +139,12 @@ def place_in_buckets(entries: DataFrame, config: MiningConfig) -> DataFrame:
     )
     path = F.array(F.col("n").cast("string"))
     if k == 0:
-        return placed.withColumn("bucket", F.array_join(path, " ")).drop("n", "lead")
+        return placed.withColumn("bucket", F.array_join(path, " ")).drop("lead")
     room = config.max_children - 1
     if _widest_node(placed, k) <= room:
         return placed.withColumn(
             "bucket", F.array_join(F.concat(path, F.col("lead")), " ")
-        ).drop("n", "lead")
+        ).drop("lead")
 
     placed = placed.withColumn("bucket", F.array_join(path, " "))
     for level in range(k):
@@ -163,7 +163,7 @@ def place_in_buckets(entries: DataFrame, config: MiningConfig) -> DataFrame:
         step = placed.withColumn("token", branch).join(kept, ["bucket", "token"], "left")
         token = F.when(F.col("kept"), F.col("token")).when(F.col("token").isNotNull(), F.lit(WILD))
         placed = step.withColumn("bucket", F.concat_ws(" ", "bucket", token)).drop("token", "kept")
-    return placed.drop("n", "lead")
+    return placed.drop("lead")
 
 
 def _widest_node(placed: DataFrame, k: int) -> int:
@@ -182,20 +182,24 @@ def _widest_node(placed: DataFrame, k: int) -> int:
 
 
 def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
-    """``source, template`` for every entry; entries come as ``bucket, source, weight``."""
+    """``source, template`` for every entry; entries come as ``bucket, n, source, weight``."""
+    room = F.greatest(
+        F.lit(2), F.least(F.lit(config.slice_size), F.floor(F.lit(config.slice_tokens) / F.col("n")))
+    )
     steps: list[DataFrame] = []
     current = placed
-    for turn in range(1, 64):
-        sizes = current.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > config.slice_size)
-        found = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        over, over_rows = found
-        if over:
-            slices = F.ceil(F.col("size") / config.slice_size)
-            hashed = F.pmod(F.xxhash64(F.col("source"), F.lit(turn)), slices)
+    while True:
+        turn = len(steps)
+        sizes = current.groupBy("bucket", "n").agg(F.count(F.lit(1)).alias("size"))
+        large = sizes.where(F.col("size") > room).select(
+            "bucket", F.ceil(F.col("size") / room).alias("slices"), "size"
+        )
+        before = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if before:
+            hashed = F.pmod(F.xxhash64(F.col("source"), F.lit(turn)), F.col("slices"))
             dealt = current.join(large, "bucket", "left").withColumn(
                 "slice", F.coalesce(hashed, F.lit(0))
-            ).drop("size")
+            )
         else:
             dealt = current.withColumn("slice", F.lit(0))
         mapping = materialize(
@@ -206,14 +210,17 @@ def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
             "clusters",
         )
         steps.append(mapping)
-        if not over:
+        if not before:
             break
-        merged = current.join(mapping, ["bucket", "source"]).groupBy("bucket", "template").agg(
-            F.sum("weight").alias("weight")
+        merged = (
+            current.join(mapping, ["bucket", "source"])
+            .groupBy("bucket", "n", "template")
+            .agg(F.sum("weight").alias("weight"))
+            .withColumnRenamed("template", "source")
         )
-        current = materialize(merged.withColumnRenamed("template", "source"), "templates")
-        left = current.join(large.select("bucket"), "bucket", "left_semi").count()
-        if left > 0.9 * over_rows:
+        was_large = materialize(large.select("bucket"), "large")
+        current = materialize(merged, "templates")
+        if current.join(was_large, "bucket", "left_semi").count() > 0.9 * before:
             break
 
     def chain(first: DataFrame, then: DataFrame) -> DataFrame:
@@ -287,17 +294,20 @@ def assign_patterns(logs: DataFrame, model: PatternModel) -> DataFrame:
     return _with_entry(lines, model.profiles).join(model.entries, "entry", "left").drop("entry")
 
 
-def match_patterns(
-    logs: DataFrame, patterns: DataFrame, masks: Iterable[str] | None = None
-) -> DataFrame:
-    """New logs with the saved pattern that fits each, if any; fewest wildcards win.
+@dataclass(frozen=True)
+class PatternIndex:
+    """Saved patterns made ready for matching.
 
-    A pattern's wildcard positions are its shape. A line with the wildcard put at the
-    positions of a shape is equal to every template of that shape it fits, so matching is
-    an equi-join on text: one candidate per shape of the line's length, and no pattern is
-    compared with a line it does not fit. Distinct masked lines are matched once.
+    A pattern's wildcard positions are its shape. ``known`` has the patterns with their
+    shapes, ``shapes`` the distinct shapes per line length.
     """
-    chosen = select_masks(masks)
+
+    known: DataFrame
+    shapes: DataFrame
+
+
+def index_patterns(patterns: DataFrame) -> PatternIndex:
+    """Index patterns given by ``pattern_id`` and ``template``."""
     known = patterns.select("pattern_id", "template").distinct().withColumns(
         {
             "shape": wild_positions(F.col("template")),
@@ -305,15 +315,32 @@ def match_patterns(
         }
     )
     known = materialize(known, "known")
-    shapes = materialize(known.select("n", "shape").distinct(), "shapes")
+    return PatternIndex(known, materialize(known.select("n", "shape").distinct(), "shapes"))
+
+
+def match_patterns(
+    logs: DataFrame,
+    patterns: DataFrame | PatternIndex,
+    masks: Iterable[str] | None = None,
+) -> DataFrame:
+    """New logs with the saved pattern that fits each, if any; fewest wildcards win.
+
+    A line with the wildcard put at the positions of a shape is equal to every template
+    of that shape it fits. So matching is an equi-join on text, with one candidate per
+    shape of the line's length, and no line is compared with a pattern it does not fit.
+    Distinct masked lines are matched once. The line map is written out, so that its size
+    decides how it is joined back.
+    """
+    chosen = select_masks(masks)
+    index = patterns if isinstance(patterns, PatternIndex) else index_patterns(patterns)
     lines = non_empty_body(logs).withColumn("masked", masked_line(F.col("body"), chosen))
     distinct = lines.select("masked").distinct()
     candidates = (
         distinct.withColumn("n", F.size(line_tokens(F.col("masked"))))
-        .join(shapes, "n")
+        .join(index.shapes, "n")
         .select("masked", generalise(F.col("masked"), F.col("shape")).alias("template"), "shape")
     )
-    hits = candidates.join(known.select("pattern_id", "template", "shape"), ["template", "shape"])
+    hits = candidates.join(index.known.drop("n"), ["template", "shape"])
     rank = F.struct(F.size("shape").alias("wild"), F.col("pattern_id"))
     best = hits.groupBy("masked").agg(
         F.min_by(F.struct("pattern_id", "template"), rank).alias("best")
@@ -349,18 +376,25 @@ def pattern_series(
 
 
 def pattern_samples(
-    assigned: DataFrame, n: int = 10, pattern_id: str | None = None
+    assigned: DataFrame,
+    n: int = 10,
+    pattern_id: str | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """The newest ``n`` lines of each pattern with the pattern's total.
 
-    The rank filter is applied inside each task before rows are shuffled, and the totals
-    are counted apart, so a pattern with a third of all lines moves only ``n`` per task.
+    The rank filter is applied inside each task before rows are shuffled, so a pattern
+    with a third of all lines moves only ``n`` per task. Totals come from a count of
+    their own, or from ``totals`` (``pattern_id, count``) where they are known, as they
+    are in a model for the logs it was mined from.
     """
     if not 0 <= n <= MAX_SAMPLES:
         raise ValueError(f"n must be between 0 and {MAX_SAMPLES}")
     if pattern_id is not None:
         assigned = assigned.where(F.col("pattern_id") == pattern_id)
-    totals = assigned.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("total_matched"))
+    if totals is None:
+        totals = assigned.groupBy("pattern_id").count()
+    totals = totals.select("pattern_id", F.col("count").alias("total_matched"))
     newest = W.partitionBy("pattern_id").orderBy(*newest_first())
     picked = (
         assigned.select("pattern_id", "timestamp", "log_id", "service_name", "severity_text", "body")

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from timberline.functions.text import DEFAULT_MODE, query_tokens, tokens
 from timberline.schema import DAY
+from timberline.sources.scratch import materialize
 
 PARTS = 64
 SALTS = 16
@@ -60,7 +62,8 @@ def write_term_index(index: DataFrame, path: str) -> None:
     index.sortWithinPartitions(*by, "term").write.mode("append").partitionBy(*by).parquet(path)
 
 
-def read_term_index(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_term_index(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A written index; ``schema`` is that of the built one."""
     return spark.read.schema(schema).parquet(path)
 
 
@@ -78,7 +81,8 @@ def matching_keys(
     if not q:
         return index.where(F.lit(False)).select(*keys)
     wanted = list(dict.fromkeys(q))
-    in_parts = F.col("part").isin(*_parts_of(index.sparkSession, wanted, parts))
+    # Hashes of literals fold to numbers, so the scan is pruned to these parts.
+    in_parts = F.col("part").isin(*[_part(F.lit(t), parts) for t in wanted])
     exact = F.col("term").isin(*wanted)
     if mode in ("MATCH_ALL", "MATCH_PHRASE"):
         hits = index.where(in_parts & exact)
@@ -121,12 +125,6 @@ def matching_keys(
     return gathered.where(F.size(common) > 0).select(*keys)
 
 
-def _parts_of(spark: SparkSession, terms: list[str], parts: int) -> list[int]:
-    """Index parts of the query terms, so that the scan is pruned to them."""
-    values = spark.createDataFrame([(t,) for t in terms], "term string")
-    return [r[0] for r in values.select(_part(F.col("term"), parts)).distinct().collect()]
-
-
 def search_index(
     index: DataFrame,
     logs: DataFrame,
@@ -135,7 +133,13 @@ def search_index(
     keys: Sequence[str] = LOG_KEYS,
     parts: int = PARTS,
 ) -> DataFrame:
-    """Records found through the index; no text means no predicate."""
+    """Records found through the index; no text means no predicate.
+
+    The keys found are written out first. Their size is then known when the join is
+    planned: a small set is broadcast and the logs are not shuffled at all, with only the
+    days concerned opened; a large one is joined by shuffle.
+    """
     if not query:
         return logs
-    return logs.join(matching_keys(index, query, mode, keys, parts), list(keys), "left_semi")
+    found = materialize(matching_keys(index, query, mode, keys, parts), "found")
+    return logs.join(found, list(keys), "left_semi")

@@ -143,13 +143,9 @@ def labelled(series: DataFrame) -> DataFrame:
 
 
 def share_of_max(counts: DataFrame, column: str = "count") -> DataFrame:
-    """Adds each count as a percentage of the largest; meant for aggregated frames.
+    """Adds each count as a percentage of the largest.
 
-    The maximum is an aggregate of its own, joined back as a single row, so the counts
-    never pass through one task.
+    The maximum is a scalar subquery, so the counts never pass through one task.
     """
-    top = counts.agg(F.max(column).alias("_top"))
-    both = counts.join(F.broadcast(top), F.col(column) <= F.col("_top"), "left")
-    return both.select(
-        *counts.columns, F.round(100.0 * F.col(column) / F.col("_top"), 2).alias("share")
-    )
+    top = counts.agg(F.max(column)).scalar()
+    return counts.withColumn("share", F.round(100.0 * F.col(column) / top, 2))

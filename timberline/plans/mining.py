@@ -83,4 +83,5 @@ def pattern_timeseries(
 def pattern_sample_report(
     report: PatternReport, n: int = 10, pattern_id: str | None = None
 ) -> DataFrame:
-    return pattern_samples(report.assigned(), n, pattern_id)
+    """Newest lines per pattern; the totals are those of the mined patterns."""
+    return pattern_samples(report.assigned(), n, pattern_id, totals=report.model.patterns)

@@ -50,8 +50,8 @@ def _coverage(spark, sf):
         F.count("pattern_id").alias("assigned"),
         F.count_if(fits).alias("fitting"),
     )
-    counted = model.patterns.agg(F.sum("count").alias("counted"))
-    return seen.join(F.broadcast(counted), F.lit(True))
+    counted = model.patterns.agg(F.sum("count")).scalar()
+    return seen.withColumn("counted", counted)
 
 
 @register("pattern_series")

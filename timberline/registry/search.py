@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures import conversations, documents, event_logs
 from timberline.functions.text import MODES, match
-from timberline.operators.search import build_term_index, search_index
+from timberline.operators.search import (
+    build_term_index,
+    read_term_index,
+    search_index,
+    write_term_index,
+)
 from timberline.registry.base import on_logs, quoted, register
 from timberline.sources.logs import with_day
+from timberline.sources.scratch import scratch_path
 
 TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 
@@ -93,7 +99,10 @@ def _search_logs(mode: str):
 def _through_index(mode: str):
     def run(spark, sf):
         docs = documents(spark, sf)
-        index = build_term_index(docs, keys=["doc_id"], body="text")
+        built = build_term_index(docs, keys=["doc_id"], body="text")
+        path = scratch_path(spark, "term-index")
+        write_term_index(built, path)
+        index = read_term_index(spark, path, built.schema)
         found = search_index(index, docs, DOCUMENT_QUERIES[mode], mode, keys=["doc_id"])
         return found.select("doc_id", "n_chars")
 

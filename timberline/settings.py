@@ -15,6 +15,7 @@ class MiningConfig:
     literal_slots a digit-bearing position stays literal while its values fill at
                   most this many of 64 hash slots
     slice_size    most templates one clustering task handles at a time
+    slice_tokens  most tokens it handles at a time; long lines make smaller slices
     """
 
     sim_th: float = 0.5
@@ -22,6 +23,7 @@ class MiningConfig:
     max_children: int = 100
     literal_slots: int = 16
     slice_size: int = 4000
+    slice_tokens: int = 1_000_000
 
     def __post_init__(self) -> None:
         if not 0.1 <= self.sim_th <= 1.0:
@@ -34,6 +36,8 @@ class MiningConfig:
             raise ValueError("literal_slots must be between 1 and 63")
         if self.slice_size < 2:
             raise ValueError("slice_size must be at least 2")
+        if self.slice_tokens < 2:
+            raise ValueError("slice_tokens must be at least 2")
 
     @property
     def prefix_tokens(self) -> int:

@@ -21,8 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/timberline-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application.
+
+    Frames that read them, models that were not saved among them, are of no use after.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

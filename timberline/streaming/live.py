@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from timberline.functions.scalars import bucket_window
-from timberline.operators.patterns import PatternModel, assign_patterns, match_patterns
+from timberline.operators.patterns import (
+    PatternModel,
+    assign_patterns,
+    index_patterns,
+    match_patterns,
+)
 
 
 def stream_volume(
@@ -51,9 +56,10 @@ def stream_match(
     its own folder.
     """
     chosen = None if masks is None else tuple(masks)
+    index = index_patterns(patterns)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        matched = match_patterns(batch, patterns, chosen)
+        matched = match_patterns(batch, index, chosen)
         matched.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
