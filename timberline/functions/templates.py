@@ -30,15 +30,19 @@ def line_tokens(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def token_count(line: Column) -> Column:
+    """Number of tokens. Never null: as a join key it needs no null test, which would
+    evaluate the line a second time."""
+    return F.coalesce(F.size(line_tokens(line)), F.lit(0))
+
+
 def generalise(line: Column, wild_positions: Column) -> Column:
-    """Line with the wildcard at the given token positions."""
-    return F.array_join(
-        F.transform(
-            line_tokens(line),
-            lambda t, i: F.when(F.array_contains(wild_positions, i), F.lit(WILD)).otherwise(t),
-        ),
-        " ",
+    """Line with the wildcard at the given token positions; never null, see above."""
+    replaced = F.transform(
+        line_tokens(line),
+        lambda t, i: F.when(F.array_contains(wild_positions, i), F.lit(WILD)).otherwise(t),
     )
+    return F.coalesce(F.array_join(replaced, " "), F.lit(""))
 
 
 def wild_positions(template: Column) -> Column:

@@ -1,10 +1,10 @@
 """Word tokens of a body and the six full-text predicates over them.
 
-Five predicates need no array at all. Lower-cased words joined by single spaces turn
-token questions into substring questions (`` word `` with its two spaces is one token,
-`` a b `` is a phrase), which stay inside generated code. A plain ``contains`` on the
-lower-cased body goes first, so that the words are only built for likely rows.
-Query tokens hold letters, digits and underscores only, so they are safe inside a pattern.
+Only the token regex needs the tokens themselves. The other five are stated as one pattern
+over the lower-cased body: a query token between edges, or several with nothing but
+separators between them. Plain ``contains`` tests go first, so the pattern is tried on
+likely rows alone, and all of it stays inside generated code. Query tokens hold letters,
+digits and underscores only, so they are safe inside a pattern.
 """
 
 from __future__ import annotations
@@ -16,26 +16,23 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEPARATORS = r"[^\p{L}\p{N}_]+"
-HAN = r"(\p{IsHan})"
+# Plain ranges come first in these: they settle nearly every character without a look at
+# its Unicode properties.
+SEPARATOR = r"[^a-z0-9_\p{L}\p{N}]"
+HAN = r"(?=[\u2E80-\uFAFF\x{16000}-\x{3FFFF}])(\p{IsHan})"
+JOINING = r"[a-z0-9_[\p{L}\p{N}&&[^\p{IsHan}]]]"
 
 _DRIVER_TOKEN = regex.compile(r"\p{Han}|(?:(?!\p{Han})[\p{L}\p{N}_])+")
 
 
-def words(body: Column) -> Column:
-    """Tokens with one space before, between and after them.
+def tokens(body: Column) -> Column:
+    """Lower-cased word tokens in order.
 
     A token is a run of letters, digits and underscores; Han characters are tokens of
     their own.
     """
     spread = F.regexp_replace(F.lower(body), HAN, " $1 ")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(spread, SEPARATORS, " ")), F.lit(" "))
-
-
-def tokens(body: Column) -> Column:
-    """Lower-cased word tokens in order."""
-    spread = F.regexp_replace(F.lower(body), HAN, " $1 ")
-    return F.filter(F.split(spread, SEPARATORS), lambda t: t != "")
+    return F.filter(F.split(spread, SEPARATOR + "+"), lambda t: t != "")
 
 
 def query_tokens(query: str) -> list[str]:
@@ -43,46 +40,66 @@ def query_tokens(query: str) -> list[str]:
     return _DRIVER_TOKEN.findall(query.lower())
 
 
-def _holds(body: Column, needles: list[str], any_of: bool) -> Column:
-    lowered = F.lower(body)
-    tests = [F.contains(lowered, F.lit(n)) for n in dict.fromkeys(needles)]
-    return reduce((lambda a, b: a | b) if any_of else (lambda a, b: a & b), tests)
+def _is_han(token: str) -> bool:
+    return regex.fullmatch(r"\p{Han}", token) is not None
+
+
+def _token_pattern(token: str, left: bool = True, right: bool = True) -> str:
+    """The token, with an edge of the body's token on the sides asked for."""
+    if _is_han(token):
+        return token
+    return (f"(?<!{JOINING})" if left else "") + token + (f"(?!{JOINING})" if right else "")
+
+
+def _contains_all(lowered: Column, needles: list[str]) -> Column:
+    return reduce(
+        lambda a, b: a & b, [F.contains(lowered, F.lit(n)) for n in dict.fromkeys(needles)]
+    )
 
 
 def match_any(body: Column, query: str) -> Column:
     """At least one query token is a token of the body."""
-    q = query_tokens(query)
+    q = list(dict.fromkeys(query_tokens(query)))
     if not q:
         return F.lit(False)
-    one = " (?:" + "|".join(dict.fromkeys(q)) + ") "
-    return _holds(body, q, any_of=True) & F.rlike(words(body), F.lit(one))
+    lowered = F.lower(body)
+    likely = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in q])
+    return likely & F.rlike(lowered, F.lit("|".join(_token_pattern(t) for t in q)))
 
 
 def match_all(body: Column, query: str) -> Column:
     """Every query token is a token of the body."""
-    q = query_tokens(query)
+    q = list(dict.fromkeys(query_tokens(query)))
     if not q:
         return F.lit(False)
-    each = "^" + "".join(f"(?=.* {t} )" for t in dict.fromkeys(q))
-    return _holds(body, q, any_of=False) & F.rlike(words(body), F.lit(each))
+    lowered = F.lower(body)
+    exact = [F.rlike(lowered, F.lit(_token_pattern(t))) for t in q]
+    return reduce(lambda a, b: a & b, exact, _contains_all(lowered, q))
 
 
-def _phrase(body: Column, query: str, before: str, after: str) -> Column:
+def _phrase(body: Column, query: str, open_start: bool, open_end: bool) -> Column:
     q = query_tokens(query)
     if not q:
         return F.lit(False)
-    needle = before + " ".join(q) + after
-    return _holds(body, q, any_of=False) & F.contains(words(body), F.lit(needle))
+    lowered = F.lower(body)
+    final = len(q) - 1
+    parts = [
+        _token_pattern(t, left=i > 0 or not open_start, right=i < final or not open_end)
+        for i, t in enumerate(q)
+    ]
+    # A token ends at an edge, so an empty gap is only possible next to a Han character.
+    pattern = (SEPARATOR + "*+").join(parts)
+    return _contains_all(lowered, q) & F.rlike(lowered, F.lit(pattern))
 
 
 def match_phrase(body: Column, query: str) -> Column:
     """The query tokens stand next to each other in order."""
-    return _phrase(body, query, " ", " ")
+    return _phrase(body, query, open_start=False, open_end=False)
 
 
 def match_phrase_prefix(body: Column, query: str) -> Column:
     """As a phrase, but the last query token may be the start of a token."""
-    return _phrase(body, query, " ", "")
+    return _phrase(body, query, open_start=False, open_end=True)
 
 
 def match_phrase_edge(body: Column, query: str) -> Column:
@@ -90,7 +107,7 @@ def match_phrase_edge(body: Column, query: str) -> Column:
 
     A single query token may stand anywhere inside a token.
     """
-    return _phrase(body, query, "", "")
+    return _phrase(body, query, open_start=True, open_end=True)
 
 
 def match_regexp(body: Column, pattern: str) -> Column:

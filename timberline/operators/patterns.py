@@ -38,6 +38,7 @@ from timberline.functions.templates import (
     masked_line,
     skeleton,
     template_id,
+    token_count,
     wild_positions,
 )
 from timberline.operators import clustering
@@ -133,7 +134,7 @@ def place_in_buckets(entries: DataFrame, config: MiningConfig) -> DataFrame:
     k = config.prefix_tokens
     placed = entries.withColumns(
         {
-            "n": F.size(line_tokens(F.col("source"))),
+            "n": token_count(F.col("source")),
             "lead": _prefix(F.col("source"), k),
         }
     )
@@ -269,7 +270,7 @@ def mine_patterns(
     named = patterns.select(
         "pattern_id",
         "template",
-        F.size(line_tokens(F.col("template"))).alias("n_tokens"),
+        token_count(F.col("template")).alias("n_tokens"),
         "count",
         mask_labels(F.col("template"), chosen).alias("mask_labels"),
         "first_ts",
@@ -311,7 +312,7 @@ def index_patterns(patterns: DataFrame) -> PatternIndex:
     known = patterns.select("pattern_id", "template").distinct().withColumns(
         {
             "shape": wild_positions(F.col("template")),
-            "n": F.size(line_tokens(F.col("template"))),
+            "n": token_count(F.col("template")),
         }
     )
     known = materialize(known, "known")
@@ -336,7 +337,7 @@ def match_patterns(
     lines = non_empty_body(logs).withColumn("masked", masked_line(F.col("body"), chosen))
     distinct = lines.select("masked").distinct()
     candidates = (
-        distinct.withColumn("n", F.size(line_tokens(F.col("masked"))))
+        distinct.withColumn("n", token_count(F.col("masked")))
         .join(index.shapes, "n")
         .select("masked", generalise(F.col("masked"), F.col("shape")).alias("template"), "shape")
     )
@@ -419,10 +420,10 @@ def position_templates(
     lines = _lines(logs, select_masks(masks))
     k = config.prefix_tokens
     tokens = line_tokens(F.col("masked"))
-    bucketed = lines.select(
-        F.concat_ws(" ", F.size(tokens), F.array_join(_prefix(F.col("masked"), k), " ")).alias("bucket"),
-        F.posexplode(tokens).alias("pos", "token"),
-    )
+    lead = F.array_join(_prefix(F.col("masked"), k), " ")
+    # The bucket is settled before the tokens are exploded, once per line.
+    placed = lines.select(F.concat_ws(" ", F.size(tokens), lead).alias("bucket"), "masked")
+    bucketed = placed.select("bucket", F.posexplode(tokens).alias("pos", "token"))
     per_token = bucketed.groupBy("bucket", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
     per_position = per_token.groupBy("bucket", "pos").agg(
         F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("lines")

@@ -1,7 +1,7 @@
 """A term index as an ordinary table, and search through it.
 
 The index holds one row per (term, record) with the positions of the term. A search
-reads only the parts its terms hash to, settles the match on positions, and joins the
+reads only the row groups its terms hash to, settles the match on positions, and joins the
 ids back to the records.
 """
 
@@ -57,9 +57,19 @@ def build_term_index(
 
 
 def write_term_index(index: DataFrame, path: str) -> None:
-    """Append the index, partitioned by day (where it has one) and part, sorted by term."""
-    by = [c for c in (DAY, "part") if c in index.columns]
-    index.sortWithinPartitions(*by, "term").write.mode("append").partitionBy(*by).parquet(path)
+    """Append the index, partitioned by day where it has one.
+
+    Files are sorted by part and term, so their row-group statistics, and a bloom filter
+    on the term, let a search skip all but the parts of its terms.
+    """
+    by = [DAY] if DAY in index.columns else []
+    writer = (
+        index.sortWithinPartitions(*by, "part", "term")
+        .write.mode("append")
+        .option("parquet.bloom.filter.enabled#term", "true")
+        .option("parquet.bloom.filter.expected.ndv#term", "100000")
+    )
+    (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
 def read_term_index(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
