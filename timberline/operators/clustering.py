@@ -6,6 +6,8 @@ at most a fixed number of templates, and of tokens, of equal length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 
@@ -52,14 +54,18 @@ def cluster_templates(lines: list[list[str]], sim_th: float) -> list[list[str]]:
     return [texts[m] for m in member]
 
 
-def cluster_slice(pdf: pd.DataFrame, sim_th: float) -> pd.DataFrame:
-    """Grouped-map body: heaviest templates first, equal weights by text."""
-    pdf = pdf.sort_values(["weight", "source"], ascending=[False, True], kind="mergesort")
-    found = cluster_templates([s.split(" ") for s in pdf["source"]], sim_th)
-    return pd.DataFrame(
-        {
-            "bucket": pdf["bucket"].to_numpy(),
-            "source": pdf["source"].to_numpy(),
-            "template": [" ".join(t) for t in found],
-        }
-    )
+def slice_clusterer(sim_th: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Grouped-map function: heaviest templates first, equal weights by text."""
+
+    def cluster_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", "source"], ascending=[False, True], kind="mergesort")
+        found = cluster_templates([s.split(" ") for s in pdf["source"]], sim_th)
+        return pd.DataFrame(
+            {
+                "bucket": pdf["bucket"].to_numpy(),
+                "source": pdf["source"].to_numpy(),
+                "template": [" ".join(t) for t in found],
+            }
+        )
+
+    return cluster_slice

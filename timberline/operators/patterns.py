@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,8 +205,7 @@ def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
             dealt = current.withColumn("slice", F.lit(0))
         mapping = materialize(
             dealt.groupBy("bucket", "slice").applyInPandas(
-                partial(clustering.cluster_slice, sim_th=config.sim_th),
-                clustering.SLICE_SCHEMA,
+                clustering.slice_clusterer(config.sim_th), clustering.SLICE_SCHEMA
             ),
             "clusters",
         )
