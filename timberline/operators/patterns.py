@@ -204,7 +204,9 @@ def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
         else:
             dealt = current.withColumn("slice", F.lit(0))
         mapping = materialize(
-            dealt.groupBy("bucket", "slice").applyInPandas(
+            dealt.select("bucket", "slice", "source", "weight")
+            .groupBy("bucket", "slice")
+            .applyInPandas(
                 clustering.slice_clusterer(config.sim_th), clustering.SLICE_SCHEMA
             ),
             "clusters",

@@ -100,6 +100,23 @@ def overview(logs: DataFrame, start: Moment = None, end: Moment = None) -> DataF
     )
 
 
+def cards_of(facets: DataFrame) -> DataFrame:
+    """The severity cards from an overview instead of the logs."""
+
+    def level(name: str) -> Column:
+        hit = (F.col("facet") == "severity") & (F.col("value") == name)
+        return F.coalesce(F.sum(F.when(hit, F.col("count"))), F.lit(0))
+
+    warn = level("WARN")
+    total = F.sum(F.when(F.col("facet") == "total", F.col("count")))
+    return facets.agg(
+        F.coalesce(total, F.lit(0)).alias("total"),
+        level("ERROR").alias("error"),
+        F.when(warn > 0, warn).otherwise(level("WARNING")).alias("warn"),
+        level("INFO").alias("info"),
+    )
+
+
 def bucket_counts(logs: DataFrame, width: str = "1h", keys: Sequence[str] = ()) -> DataFrame:
     """Records per time bucket (and key). Empty buckets are absent."""
     counts = logs.groupBy(*keys, bucket_window("timestamp", width).alias("w")).agg(_rows())

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.text import DEFAULT_MODE
-from timberline.operators.filters import Moment, time_range
+from timberline.operators.filters import Moment
 from timberline.operators.paging import DEFAULT_LIMIT, LogPage, log_page
-from timberline.operators.stats import hourly_volume, overview, services, severity_cards
+from timberline.operators.stats import cards_of, hourly_volume, overview, services
+from timberline.sources.scratch import materialize
 
 
 class Overview(NamedTuple):
@@ -48,10 +49,10 @@ def overview_report(
 ) -> Overview:
     """Totals, severities and services of a range, and the volume of the last 24 hours.
 
-    The first three come from one scan when the facets are persisted by the caller or
-    read together through :func:`timberline.operators.stats.overview`.
+    The range is scanned once, at the call; everything but the volume is read from the
+    handful of counts that gives.
     """
-    facets = overview(logs, start, end)
+    facets = materialize(overview(logs, start, end), "facets")
 
     def facet(kind: str, name: str) -> DataFrame:
         return facets.where(F.col("facet") == kind).select(F.col("value").alias(name), "count")
@@ -60,9 +61,9 @@ def overview_report(
         F.col("count").desc(), F.col("service").asc_nulls_first()
     )
     return Overview(
-        facets.where(F.col("facet") == "total").select(F.col("count").alias("total")),
+        facet("total", "value").select(F.col("count").alias("total")),
         facet("severity", "severity"),
         by_service,
-        severity_cards(time_range(logs, start, end)),
+        cards_of(facets),
         hourly_volume(logs, as_of),
     )

@@ -65,9 +65,9 @@ def pattern_report(
     if max_logs is not None:
         chosen = cap_rows(chosen, max_logs)
     model = mine_patterns(chosen, masks, config)
-    analysed = chosen.agg(
-        F.count(F.lit(1)).alias("logs_analysed"),
-        F.count_if(F.col("body") != "").alias("bodies_analysed"),
+    bodies = model.patterns.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    analysed = chosen.agg(F.count(F.lit(1)).alias("logs_analysed")).withColumn(
+        "bodies_analysed", bodies
     )
     return PatternReport(chosen, model, list_patterns(model, min_count, limit), analysed)
 

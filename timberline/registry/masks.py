@@ -126,8 +126,8 @@ def _mask_order(spark, sf):
     return event_logs(spark, sf).select("log_id", M.apply_masks(F.col("body"), chosen).alias("masked"))
 
 
-_LABELS = ", ".join(
-    f"CASE WHEN contains(m, {quoted(M.RULE[i].token)}) THEN {quoted(M.RULE[i].label)} END"
+LABELS_SQL = ", ".join(
+    f"CASE WHEN contains({{source}}, {quoted(M.RULE[i].token)}) THEN {quoted(M.RULE[i].label)} END"
     for i in M.DEFAULT_IDS
 )
 
@@ -135,7 +135,7 @@ _LABELS = ", ".join(
 @register(
     "mask_labels",
     on_logs(
-        f"SELECT log_id, concat_ws(', ', {_LABELS}) AS labels, "
+        f"SELECT log_id, concat_ws(', ', {LABELS_SQL.format(source='m')}) AS labels, "
         f"array_to_string(regexp_extract_all(m, '<[A-Z_0-9]+>'), ' ') AS tokens FROM masked",
         f"masked AS (SELECT log_id, {chain_sql('body')} AS m FROM logs WHERE body IS NOT NULL)",
     ),

@@ -10,9 +10,81 @@ from timberline.operators import patterns as P
 from timberline.operators.filters import non_empty_body
 from timberline.operators.stats import labelled
 from timberline.registry.base import on_logs, register
-from timberline.registry.masks import LINES_CTE
+from timberline.registry.masks import LABELS_SQL, LINES_CTE
+from timberline.sources.scratch import scratch_path
+from timberline.streaming.live import stream_match
 
-# --- mining: checked in the tests against a single-process version ---------------------
+# --- mining -----------------------------------------------------------------------------
+# The check SQL states the definition with plain counts and one recursion per bucket. It
+# counts distinct values where mining fills hash slots, which comes to the same where no
+# position has a number of values near the limit; the tests compare the exact definition.
+
+SKELETON_CTE = """skel AS (SELECT *, array_to_string(list_transform(string_split(masked, ' '),
+  lambda t: CASE WHEN regexp_matches(regexp_replace(t, '<[A-Z_0-9]+>', '', 'g'), '[0-9]')
+            THEN '<*>' ELSE t END), ' ') AS template FROM lines),
+assigned AS (SELECT *, md5(concat_ws('|', len(string_split(template, ' ')), template)) AS pattern_id
+  FROM skel)"""
+
+MINED_CTE = """cell AS (
+  SELECT template AS skeleton, unnest(range(len(string_split(masked, ' ')))) AS pos,
+         unnest(string_split(masked, ' ')) AS token, unnest(string_split(template, ' ')) AS plain
+  FROM skel),
+params AS (
+  SELECT skeleton, list(pos) AS params FROM (
+    SELECT skeleton, pos FROM cell WHERE plain = '<*>' GROUP BY 1, 2 HAVING count(DISTINCT token) > 16)
+  GROUP BY skeleton),
+entered AS (
+  SELECT skel.* EXCLUDE (template), CASE
+    WHEN params IS NOT NULL
+         AND 1 - len(params) / CAST(len(string_split(masked, ' ')) AS DOUBLE) >= 0.5
+    THEN array_to_string(list_transform(range(len(string_split(masked, ' '))), lambda i:
+         CASE WHEN list_contains(params, i) THEN '<*>' ELSE string_split(masked, ' ')[i + 1] END), ' ')
+    ELSE masked END AS entry
+  FROM skel LEFT JOIN params ON params.skeleton = skel.template),
+weighed AS (
+  SELECT entry, count(*) AS w, string_split(entry, ' ') AS t,
+         concat_ws(' ', len(string_split(entry, ' ')), array_to_string(list_transform(
+           string_split(entry, ' ')[1:least(3, len(string_split(entry, ' ')) - 1)],
+           lambda x: CASE WHEN regexp_matches(regexp_replace(x, '<[A-Z_0-9]+>', '', 'g'), '[0-9]')
+                     THEN '<*>' ELSE x END), ' ')) AS bucket
+  FROM entered GROUP BY entry),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY w DESC, entry) AS i FROM weighed),
+walk AS (
+  SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS known,
+         CAST(-1 AS BIGINT) AS member
+  FROM turns
+  UNION ALL
+  SELECT bucket, i,
+         CASE WHEN j IS NULL THEN list_append(known, t)
+              ELSE list_transform(range(len(known)), lambda x: CASE WHEN x = j
+                   THEN list_transform(range(len(t)), lambda p:
+                        CASE WHEN known[x + 1][p + 1] = t[p + 1] THEN t[p + 1] ELSE '<*>' END)
+                   ELSE known[x + 1] END) END,
+         coalesce(j, len(known))
+  FROM (SELECT *, CASE WHEN (best // 1000000) / CAST(len(t) AS DOUBLE) >= 0.5
+                       THEN 999 - best % 1000 END AS j
+        FROM (SELECT turns.bucket, turns.i, turns.t, walk.known,
+                     list_max(list_transform(range(len(known)), lambda x:
+                       1000000 * len(list_filter(range(len(turns.t)), lambda p:
+                         known[x + 1][p + 1] = turns.t[p + 1] AND turns.t[p + 1] <> '<*>'))
+                       + 1000 * len(list_filter(known[x + 1], lambda c: c = '<*>')) + 999 - x)) AS best
+              FROM walk JOIN turns ON turns.bucket = walk.bucket AND turns.i = walk.i + 1))),
+ends AS (SELECT bucket, arg_max(known, i) AS known FROM walk GROUP BY bucket),
+found AS (
+  SELECT turns.entry, array_to_string(ends.known[walk.member + 1], ' ') AS template
+  FROM turns JOIN walk ON walk.bucket = turns.bucket AND walk.i = turns.i
+  JOIN ends ON ends.bucket = turns.bucket),
+mined AS (
+  SELECT entered.*, found.template,
+         md5(concat_ws('|', len(string_split(template, ' ')), template)) AS pattern_id
+  FROM entered JOIN found ON found.entry = entered.entry)"""
+
+
+def mined_sql(select: str) -> str:
+    return on_logs(select, LINES_CTE, SKELETON_CTE, MINED_CTE).replace(
+        "WITH logs", "WITH RECURSIVE logs", 1
+    )
 
 
 def mined(spark, sf):
@@ -20,7 +92,18 @@ def mined(spark, sf):
     return logs, P.mine_patterns(logs)
 
 
-@register("pattern_list")
+@register(
+    "pattern_list",
+    mined_sql(
+        f"""
+SELECT pattern_id, template, CAST(len(string_split(template, ' ')) AS INT) AS n_tokens,
+       count(*) AS count, concat_ws(', ', {LABELS_SQL.format(source='template')}) AS mask_labels,
+       CAST(min(timestamp) AS VARCHAR) AS first_ts, CAST(max(timestamp) AS VARCHAR) AS last_ts
+FROM mined GROUP BY pattern_id, template HAVING count(*) >= 2
+ORDER BY count DESC, pattern_id LIMIT 50
+"""
+    ),
+)
 def pattern_list(spark, sf):
     _, model = mined(spark, sf)
     rows = P.list_patterns(model, min_count=2, limit=50)
@@ -54,13 +137,28 @@ def _coverage(spark, sf):
     return seen.withColumn("counted", counted)
 
 
-@register("pattern_series")
+SERIES_SQL = """
+SELECT pattern_id, strftime(time_bucket(INTERVAL '{width}', timestamp, TIMESTAMP '1970-01-01'),
+       '%Y-%m-%dT%H:%M:%SZ') AS ts, count(*) AS count
+FROM {source} GROUP BY 1, 2
+"""
+SAMPLES_SQL = """
+SELECT pattern_id, rank, CAST(timestamp AS VARCHAR) AS timestamp, service_name, severity_text, body,
+       total_matched
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id
+               ORDER BY timestamp DESC, log_id DESC) AS INT) AS rank,
+             count(*) OVER (PARTITION BY pattern_id) AS total_matched FROM {source})
+WHERE rank <= 10
+"""
+
+
+@register("pattern_series", mined_sql(SERIES_SQL.format(width="1 hour", source="mined")))
 def _series(spark, sf):
     logs, model = mined(spark, sf)
     return labelled(P.pattern_series(P.assign_patterns(logs, model), "1h"))
 
 
-@register("pattern_samples")
+@register("pattern_samples", mined_sql(SAMPLES_SQL.format(source="mined")))
 def _samples(spark, sf):
     logs, model = mined(spark, sf)
     samples = P.pattern_samples(P.assign_patterns(logs, model), 10)
@@ -69,13 +167,6 @@ def _samples(spark, sf):
 
 # --- the same operators over skeletons, which the check engine can state ----------------
 
-SKELETON_CTE = """skel AS (SELECT *, array_to_string(list_transform(string_split(masked, ' '),
-  lambda t: CASE WHEN regexp_matches(regexp_replace(t, '<[A-Z_0-9]+>', '', 'g'), '[0-9]')
-            THEN '<*>' ELSE t END), ' ') AS template FROM lines),
-assigned AS (SELECT *, md5(concat_ws('|', len(string_split(template, ' ')), template)) AS pattern_id
-  FROM skel)"""
-
-
 def by_skeleton(spark, sf):
     lines = non_empty_body(event_logs(spark, sf)).withColumn("masked", T.masked_line(F.col("body")))
     named = lines.withColumn("template", T.skeleton(F.col("masked")))
@@ -97,32 +188,14 @@ def _skeleton_list(spark, sf):
 
 @register(
     "skeleton_series",
-    on_logs(
-        """
-SELECT pattern_id, strftime(time_bucket(INTERVAL '15 minutes', timestamp, TIMESTAMP '1970-01-01'),
-       '%Y-%m-%dT%H:%M:%SZ') AS ts, count(*) AS count
-FROM assigned GROUP BY 1, 2
-""",
-        LINES_CTE, SKELETON_CTE,
-    ),
+    on_logs(SERIES_SQL.format(width="15 minutes", source="assigned"), LINES_CTE, SKELETON_CTE),
 )
 def _skeleton_series(spark, sf):
     return labelled(P.pattern_series(by_skeleton(spark, sf), "15m"))
 
 
 @register(
-    "skeleton_samples",
-    on_logs(
-        """
-SELECT pattern_id, rank, CAST(timestamp AS VARCHAR) AS timestamp, service_name, severity_text, body,
-       total_matched
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pattern_id
-               ORDER BY timestamp DESC, log_id DESC) AS INT) AS rank,
-             count(*) OVER (PARTITION BY pattern_id) AS total_matched FROM assigned)
-WHERE rank <= 10
-""",
-        LINES_CTE, SKELETON_CTE,
-    ),
+    "skeleton_samples", on_logs(SAMPLES_SQL.format(source="assigned"), LINES_CTE, SKELETON_CTE)
 )
 def _skeleton_samples(spark, sf):
     samples = P.pattern_samples(by_skeleton(spark, sf), 10)
@@ -171,10 +244,8 @@ def _position_templates(spark, sf):
     return P.position_templates(event_logs(spark, sf))
 
 
-@register(
-    "match_patterns",
-    on_logs(
-        """
+MATCH_SQL = on_logs(
+    """
 SELECT log_id, pattern_id, template FROM (
   SELECT k.log_id, p.pattern_id, p.template,
          row_number() OVER (PARTITION BY k.log_id ORDER BY p.wild, p.pattern_id) AS r
@@ -188,11 +259,31 @@ WHERE r = 1
   len(list_filter(string_split(template, ' '), lambda x: x = '<*>')) AS wild,
   md5(concat_ws('|', len(string_split(template, ' ')), template)) AS pattern_id
   FROM position_templates)""",
-    ),
-)
+    )
+
+
+def position_patterns(logs):
+    return P.position_templates(logs).select(
+        T.template_id(F.col("template")).alias("pattern_id"), "template"
+    )
+
+
+@register("match_patterns", MATCH_SQL)
 def _match_patterns(spark, sf):
     logs = event_logs(spark, sf)
-    known = P.position_templates(logs).select(
-        T.template_id(F.col("template")).alias("pattern_id"), "template"
+    return P.match_patterns(logs, position_patterns(logs)).select(
+        "log_id", "pattern_id", "template"
     )
-    return P.match_patterns(logs, known).select("log_id", "pattern_id", "template")
+
+
+@register("stream_match", MATCH_SQL)
+def _stream_match(spark, sf):
+    """The same, line by line as they arrive."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    logs = event_logs(spark, sf)
+    logs.write.parquet(source)
+    stream = spark.readStream.schema(logs.schema).parquet(source)
+    stream_match(
+        stream, position_patterns(logs), target, checkpoint, available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(target).select("log_id", "pattern_id", "template")

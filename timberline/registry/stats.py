@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from timberline.fixtures import event_logs
 from timberline.functions import scalars
 from timberline.operators import filters, paging, stats
+from timberline.plans.explorer import overview_report
 from timberline.registry.base import (
     AS_OF,
     END,
     IN_RANGE,
+    ORACLES,
     SQL_AS_OF,
     START,
     on_logs,
@@ -114,6 +116,12 @@ def _cards(spark, sf):
     return stats.severity_cards(filters.time_range(event_logs(spark, sf), START, END))
 
 
+@register("overview_cards", ORACLES["severity_cards"])
+def _overview_cards(spark, sf):
+    """The cards of the whole overview, from its single scan."""
+    return overview_report(event_logs(spark, sf), START, END, AS_OF).cards
+
+
 def _bucket_sql(width: str) -> str:
     interval = scalars.WIDTHS[width]
     return on_logs(
