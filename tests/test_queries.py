@@ -22,9 +22,8 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, QUERIES[name], ORACLES[name], SF_DIR) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, SF_DIR).count() > 0
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
 
 
 def test_entry_module(spark):
