@@ -40,6 +40,17 @@ def test_pages_do_not_overlap_and_cursor_equals_offset(logs):
             paging.log_page(logs, **bad)
 
 
+def test_deep_offset_equals_plain_offset(spark, logs):
+    undated = logs.withColumn("timestamp", F.when(F.col("log_id") % 10 > 0, F.col("timestamp")))
+    dense = undated.withColumn("timestamp", F.date_trunc("minute", "timestamp"))
+    for rows in (undated, dense, dense.withColumn("day", F.to_date("timestamp"))):
+        whole = rows.orderBy(*paging.newest_first()).select("log_id").collect()
+        for offset in (1, 333, 850, 899, 940, 999, 1000, 5000):
+            page = paging.log_page(rows, 7, offset, with_id=True, deep_offset=0).rows
+            got = [r["log_id"] for r in page.collect()]
+            assert sorted(got) == sorted(r["log_id"] for r in whole[offset : offset + 7]), offset
+
+
 def test_ties_are_broken_by_id(logs):
     tied = logs.withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     ids = [r["log_id"] for r in paging.log_page(tied, 5, 5, with_id=True).rows.collect()]

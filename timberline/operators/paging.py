@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from timberline.functions.scalars import parse_ts
 from timberline.operators.filters import filter_logs, page_columns, time_range
+from timberline.schema import DAY
 
 DEFAULT_LIMIT = 200
 MAX_LIMIT = 2000
 DEFAULT_CAP = 50_000
 MAX_CAP = 200_000
+DEEP_OFFSET = 10_000
 
 
 class LogPage(NamedTuple):
@@ -35,23 +37,56 @@ def _check(limit: int, offset: int = 0) -> None:
 
 
 def log_page(
-    logs: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, with_id: bool = False, **filters
+    logs: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    offset: int = 0,
+    with_id: bool = False,
+    deep_offset: int = DEEP_OFFSET,
+    **filters,
 ) -> LogPage:
     """One page under the given filters, and the total under the same filters.
 
-    An offset keeps ``offset + limit`` rows per task until the merge; to go deep, hand
-    the last row of a page to :func:`log_page_after`, whose cost does not grow.
+    Spark skips an offset by holding ``offset + limit`` rows in one place. Beyond
+    ``deep_offset`` rows the page is therefore looked for first, by counts per day, hour,
+    minute and second; only the second it starts in is left to skip in. Cheaper still is
+    to hand the last row of a page to :func:`log_page_after`.
     """
     _check(limit, offset)
     found = filter_logs(logs, **filters)
-    page = found.orderBy(*newest_first())
-    if offset:
-        page = page.offset(offset)
+    rest, skip = (found, offset) if offset <= deep_offset else _seek(found, offset)
+    page = rest.orderBy(*newest_first())
+    if skip:
+        page = page.offset(skip)
     return LogPage(
         page_columns(page.limit(limit), with_id), found.agg(F.count(F.lit(1)).alias("total"))
     )
 
 
+def _seek(found: DataFrame, offset: int) -> tuple[DataFrame, int]:
+    """Rows from the second on that holds row number ``offset``, and how many to skip."""
+    ts = F.col("timestamp")
+    scope, end, skip = found, None, offset
+    for unit in ("day", "hour", "minute", "second"):
+        start = F.date_trunc(unit, ts)
+        counts = scope.groupBy(start.cast("string").alias("start")).count()
+        # One row per calendar unit of the unit above: few, whatever the table holds.
+        for row in counts.orderBy(F.col("start").desc_nulls_last()).collect():
+            if skip < row["count"]:
+                break
+            skip -= row["count"]
+        else:
+            return found.where(F.lit(False)), 0
+        if row["start"] is None:
+            return found.where(ts.isNull()), skip
+        first = F.lit(row["start"]).cast("timestamp")
+        end = first + F.expr(f"INTERVAL 1 {unit}")
+        scope = time_range(found, first, end).where(ts < end)
+    rest = found.where((ts < end) | ts.isNull())
+    if DAY in found.columns:
+        rest = rest.where((F.col(DAY) <= F.to_date(end)) | F.col(DAY).isNull())
+    return rest, skip
+
+
 def log_page_after(
     logs: DataFrame,
     timestamp: str | datetime,

@@ -142,6 +142,25 @@ PARSED_FIELDS = (
 )
 
 
+def line_kind(body: Column) -> Column:
+    """The format a line can have, judged by its first characters."""
+    return (
+        F.when(F.startswith(body, F.lit("[")), "apache_error")
+        .when(F.rlike(body, F.lit("^[0-9]{4}/")), "nginx_error")
+        .otherwise("access")
+    )
+
+
+def line_parts(body: Column) -> Column:
+    """The groups of the format the line has; null where it has none."""
+    kind = line_kind(body)
+    return (
+        F.when(kind == "apache_error", _parts(body, BRACKETED, BRACKETED_FIELDS))
+        .when(kind == "nginx_error", _parts(body, SLASHED, SLASHED_FIELDS))
+        .otherwise(_parts(body, ACCESS, ACCESS_FIELDS))
+    )
+
+
 def parse_logs(logs: DataFrame) -> ParsedLogs:
     """All formats in one table, with derived severity; lines that fit none apart.
 
@@ -149,18 +168,7 @@ def parse_logs(logs: DataFrame) -> ParsedLogs:
     of the two results is one pass over ``logs``, without a shuffle.
     """
     body = F.col("body")
-    kind = (
-        F.when(F.startswith(body, F.lit("[")), "apache_error")
-        .when(F.rlike(body, F.lit("^[0-9]{4}/")), "nginx_error")
-        .otherwise("access")
-    )
-    rows = logs.select(*ID_COLUMNS, kind.alias("_kind")).select(
-        "*",
-        F.when(F.col("_kind") == "apache_error", _parts(body, BRACKETED, BRACKETED_FIELDS))
-        .when(F.col("_kind") == "nginx_error", _parts(body, SLASHED, SLASHED_FIELDS))
-        .otherwise(_parts(body, ACCESS, ACCESS_FIELDS))
-        .alias("_parts"),
-    )
+    rows = logs.select(*ID_COLUMNS, line_kind(body).alias("_kind"), line_parts(body).alias("_parts"))
     fits = F.col("_parts").isNotNull()
     parts = F.col("_parts")
     by_kind = {
