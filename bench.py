@@ -6,6 +6,7 @@ then read. Every query runs to the end, into a sink that takes all rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import sys
@@ -56,10 +57,10 @@ def main() -> None:
             best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
 
+    fresh = itertools.count()
     source = fixtures.event_logs(spark, SF_DIR)
-    path = f"{folder}/logs"
-    timed("append", lambda: table.write_logs(source, path), 1)
-    logs = table.read_logs(spark, path)
+    timed("append", lambda: table.write_logs(source, f"{folder}/logs{next(fresh)}"))
+    logs = table.read_logs(spark, f"{folder}/logs0")
     rows = logs.count()
 
     timed("overview", lambda: drain(stats.overview(logs, START, END)))
@@ -78,9 +79,9 @@ def main() -> None:
     docs = fixtures.documents(spark, SF_DIR)
     timed("search_documents", lambda: drain(docs.where(match(F.col("text"), "by the", "MATCH_PHRASE"))))
     built = search.build_term_index(logs)
-    index_path = f"{folder}/index"
-    timed("term_index", lambda: search.write_term_index(built, index_path), 1)
-    index = search.read_term_index(spark, index_path, built.schema)
+    fresh = itertools.count()
+    timed("term_index", lambda: search.write_term_index(built, f"{folder}/index{next(fresh)}"))
+    index = search.read_term_index(spark, f"{folder}/index0", built.schema)
     timed(
         "index_search",
         lambda: drain(search.search_index(index, logs, "timed out 110", "MATCH_PHRASE")),

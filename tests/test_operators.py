@@ -86,6 +86,23 @@ def test_assigning_works_without_broadcast(spark, logs):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_index_search_opens_only_the_days_of_its_hits(spark, logs, tmp_path):
+    from timberline.operators import search
+    from timberline.sources import logs as table
+
+    table.write_logs(logs, str(tmp_path / "logs"))
+    stored = table.read_logs(spark, str(tmp_path / "logs"))
+    index = search.build_term_index(stored)
+    search.write_term_index(index, str(tmp_path / "index"))
+    index = search.read_term_index(spark, str(tmp_path / "index"), index.schema)
+    one = stored.where("log_id = 777").select("body", "day").first()
+    found = search.search_index(index, stored, one["body"], "MATCH_PHRASE")
+    assert [r["body"] for r in found.select("body").collect()] == [one["body"]]
+    days = plan_of(found).split("PartitionFilters: [")[1].split("]")[0]
+    assert str(one["day"]) in days
+    assert search.search_index(index, stored, "nosuchterm", "MATCH_ALL").count() == 0
+
+
 def test_overview_scans_once(logs):
     text = plan_of(stats.overview(logs))
     assert text.count("FileScan") == 1

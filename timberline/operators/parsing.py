@@ -52,11 +52,19 @@ SLASHED_FIELDS = ("time", "level", "pid", "tid", "cid", "message")
 Pick = Callable[[str], Column]
 
 
-def _parts(body: Column, pattern: str, names: tuple[str, ...]) -> Column:
-    """The groups of a matching line as an array, else null."""
+def _groups(body: Column, pattern: str, names: tuple[str, ...]) -> Column:
+    """The groups of a matching line as an array; of any other line, the line."""
     joined = SEP.join(f"${i + 1}" for i in range(len(names)))
-    parts = F.split(F.regexp_replace(body, pattern, joined), SEP)
-    return F.when(~F.contains(body, F.lit(SEP)) & (F.size(parts) == len(names)), parts)
+    return F.split(F.regexp_replace(body, pattern, joined), SEP)
+
+
+def _if_whole(body: Column, groups: Column, fields: Column | int) -> Column:
+    """``groups`` if there are as many as the format has fields, else null.
+
+    The lambda gives the groups a name, so that the pattern is matched once.
+    """
+    whole = F.filter(F.array(groups), lambda g: F.size(g) == fields)
+    return F.when(~F.contains(body, F.lit(SEP)), F.get(whole, F.lit(0)))
 
 
 def _pick(parts: Column, names: tuple[str, ...]) -> Pick:
@@ -109,7 +117,9 @@ def _slashed(f: Pick) -> dict[str, Column]:
 
 
 def _with(logs: DataFrame, pattern: str, names: tuple[str, ...], build) -> DataFrame:
-    rows = logs.select("*", _parts(F.col("body"), pattern, names).alias("_parts"))
+    body = F.col("body")
+    parts = _if_whole(body, _groups(body, pattern, names), len(names))
+    rows = logs.select("*", parts.alias("_parts"))
     columns = build(_pick(F.col("_parts"), names))
     return rows.select(*logs.columns, *[c.alias(n) for n, c in columns.items()])
 
@@ -154,11 +164,21 @@ def line_kind(body: Column) -> Column:
 def line_parts(body: Column) -> Column:
     """The groups of the format the line has; null where it has none."""
     kind = line_kind(body)
-    return (
-        F.when(kind == "apache_error", _parts(body, BRACKETED, BRACKETED_FIELDS))
-        .when(kind == "nginx_error", _parts(body, SLASHED, SLASHED_FIELDS))
-        .otherwise(_parts(body, ACCESS, ACCESS_FIELDS))
+
+    def by_kind(bracketed, slashed, access) -> Column:
+        return F.when(kind == "apache_error", bracketed).when(
+            kind == "nginx_error", slashed
+        ).otherwise(access)
+
+    groups = by_kind(
+        _groups(body, BRACKETED, BRACKETED_FIELDS),
+        _groups(body, SLASHED, SLASHED_FIELDS),
+        _groups(body, ACCESS, ACCESS_FIELDS),
     )
+    fields = by_kind(
+        F.lit(len(BRACKETED_FIELDS)), F.lit(len(SLASHED_FIELDS)), F.lit(len(ACCESS_FIELDS))
+    )
+    return _if_whole(body, groups, fields)
 
 
 def parse_logs(logs: DataFrame) -> ParsedLogs:
@@ -168,7 +188,11 @@ def parse_logs(logs: DataFrame) -> ParsedLogs:
     of the two results is one pass over ``logs``, without a shuffle.
     """
     body = F.col("body")
-    rows = logs.select(*ID_COLUMNS, line_kind(body).alias("_kind"), line_parts(body).alias("_parts"))
+    # Exploding a one-element array keeps the tests below above the matching: a plain
+    # column would be matched for the test and again for the result.
+    rows = logs.select(*ID_COLUMNS, F.explode(F.array(line_parts(body))).alias("_parts")).withColumn(
+        "_kind", line_kind(body)
+    )
     fits = F.col("_parts").isNotNull()
     parts = F.col("_parts")
     by_kind = {

@@ -67,7 +67,7 @@ def write_term_index(index: DataFrame, path: str) -> None:
         index.sortWithinPartitions(*by, "part", "term")
         .write.mode("append")
         .option("parquet.bloom.filter.enabled#term", "true")
-        .option("parquet.bloom.filter.expected.ndv#term", "100000")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
     )
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
@@ -152,4 +152,8 @@ def search_index(
     if not query:
         return logs
     found = materialize(matching_keys(index, query, mode, keys, parts), "found")
+    if DAY in keys:
+        # As many values as the table has days.
+        days = [r[0] for r in found.select(DAY).distinct().collect()]
+        logs = logs.where(F.col(DAY).isin(*days) if days else F.lit(False))
     return logs.join(found, list(keys), "left_semi")

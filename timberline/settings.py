@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class MiningConfig:
     """How lines are grouped into templates.
 
-    sim_th        share of equal positions a line needs to join a template
+    sim_th        share of equal positions a line needs to join a template, to two places
     depth         tree depth; ``depth - 3`` leading tokens select the bucket
     max_children  most branches a tree node keeps, the wildcard branch included
     literal_slots a digit-bearing position stays literal while its values fill at
@@ -28,6 +28,7 @@ class MiningConfig:
     def __post_init__(self) -> None:
         if not 0.1 <= self.sim_th <= 1.0:
             raise ValueError("sim_th must be between 0.1 and 1.0")
+        object.__setattr__(self, "sim_th", round(self.sim_th, 2))
         if not 3 <= self.depth <= 10:
             raise ValueError("depth must be between 3 and 10")
         if self.max_children < 2:

@@ -32,13 +32,12 @@ def write_logs(
     path: str,
     compression: str = "lz4_raw",
     rebalance: bool = True,
-    trace_ids: int = 1_000_000,
 ) -> None:
     """Append every row, sorted by time and service inside each file.
 
     Rebalancing by day gives few, even files: it splits a busy day over many tasks and
     merges quiet ones. Turn it off for small loads that span a day or two. Trace ids get
-    a bloom filter sized for ``trace_ids`` distinct values per file.
+    a bloom filter of a size that suits each file.
     """
     rows = with_day(logs)
     if rebalance:
@@ -49,7 +48,7 @@ def write_logs(
         .partitionBy(DAY)
         .option("compression", compression)
         .option("parquet.bloom.filter.enabled#trace_id", "true")
-        .option("parquet.bloom.filter.expected.ndv#trace_id", str(trace_ids))
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(path)
     )
 

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests), a fresh folder."""
+    """``spark.checkpoint.dir`` of the session; where unset in local mode, a fresh folder.
+
+    A cluster has to name one, as no folder of a single machine would do.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context_dir = spark.sparkContext.getCheckpointDir()
     if context_dir:
         return context_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="timberline-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
