@@ -73,11 +73,17 @@ def count_sql(rule_id: str, expr: str) -> str:
 
 def corpus(spark, sf):
     """Every text there is: log bodies, documents, page addresses and page sources."""
+
+    def part(source, rows, item, text):
+        return rows.select(
+            F.lit(source).alias("source"), F.col(item).alias("item"), F.col(text).alias("text")
+        )
+
     return (
-        event_logs(spark, sf).select(F.lit("log").alias("source"), F.col("log_id").alias("item"), F.col("body").alias("text"))
-        .unionByName(documents(spark, sf).select(F.lit("document").alias("source"), F.col("doc_id").alias("item"), "text"))
-        .unionByName(pages(spark, sf).select(F.lit("url").alias("source"), F.col("page_id").alias("item"), F.col("url").alias("text")))
-        .unionByName(pages(spark, sf).select(F.lit("html").alias("source"), F.col("page_id").alias("item"), F.col("html").alias("text")))
+        part("log", event_logs(spark, sf), "log_id", "body")
+        .unionByName(part("document", documents(spark, sf), "doc_id", "text"))
+        .unionByName(part("url", pages(spark, sf), "page_id", "url"))
+        .unionByName(part("html", pages(spark, sf), "page_id", "html"))
     )
 
 
