@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, sentencepieces, token_counts
+from timberline.llm import decontaminate, html_text, sentencepieces, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,3 +91,45 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+URL_RULES = (
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+
+OP4_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), best AS (
+  SELECT p.*, (
+    SELECT max_by(struct_pack(v := verdict, t := rhost || rpath), length(rhost || rpath)) FROM rules
+    WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)) AS r
+  FROM parts p
+)
+SELECT page_id, host, path, r.t AS rule, CASE WHEN r.v IS NOT NULL THEN r.v
+  WHEN regexp_matches(host, 'casino|-bets|-pills|ads-track|adult-') THEN 'block' ELSE 'allow' END AS verdict
+FROM best
+"""
+
+
+@register("op4_url_filter", OP4_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
