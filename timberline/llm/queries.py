@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import decontaminate, html_text, sentencepieces, token_counts, url_filter
+from timberline.llm import (
+    decontaminate,
+    html_text,
+    multi_index,
+    sentencepieces,
+    token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +140,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_html_text")
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op5_multi_index")
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
