@@ -12,6 +12,7 @@ from timberline.llm import (
     decontaminate,
     html_text,
     multi_index,
+    secrets,
     sentencepieces,
     token_counts,
     url_filter,
@@ -145,3 +146,75 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_multi_index")
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def _spans_sql(rank: int, pattern: str, group: int, keep: str) -> str:
+    """Places of a pattern, from the lengths of the matches and of the text between them."""
+    return rf"""
+  SELECT n, source, {rank} AS rank, b AS start, b + length(m) AS stop, v AS value FROM (
+    SELECT n, source, m, v, CAST(sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (
+      PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+    FROM (SELECT n, source, unnest(range(len(mm))) AS i, unnest(mm) AS m, unnest(vv) AS v,
+        unnest(gg[1:len(mm)]) AS g
+      FROM (SELECT n, source, regexp_extract_all(text, '{pattern}') AS mm,
+          regexp_extract_all(text, '{pattern}', {group}) AS vv,
+          string_split_regex(text, '{pattern}') AS gg FROM docs))
+    WINDOW w AS (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING))
+  WHERE {keep}"""
+
+
+_ASSIGN_SQL = (
+    r"""(?:(?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+OP3_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), base AS ({_spans_sql(0, _ASSIGN_SQL, 1, "length(v) >= 12")}
+  UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]+", 0, "length(v) >= 18")}
+  UNION ALL {_spans_sql(2, "[0-9a-f]+", 0, "length(v) >= 16")}
+), opaque AS ({_spans_sql(3, "[A-Za-z0-9+/_=-]{20,}", 0,
+    "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')")}
+), found AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM opaque o WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.n = o.n AND b.start < o.stop AND o.start < b.stop)
+), judged AS (
+  SELECT f.*, owners < 3 AS live FROM found f
+  JOIN (SELECT value, count(DISTINCT source) AS owners FROM found GROUP BY value) USING (value)
+), texts AS (
+  SELECT n, rank, live, start,
+    concat_ws(':', ['assign', 'access', 'hex', 'owned'][rank + 1], start, stop) AS t
+  FROM judged WHERE rank < 3 OR live
+), per AS (
+  SELECT n, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+    count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(t, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg(t, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM texts GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN per USING (n)
+"""
+
+
+@register("op3_secrets", OP3_SQL)
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def number(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
