@@ -12,6 +12,7 @@ from timberline.llm import (
     decontaminate,
     html_text,
     multi_index,
+    quality,
     secrets,
     sentencepieces,
     token_counts,
@@ -218,3 +219,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_live",
         "n_copied",
     )
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3
+    )
