@@ -12,6 +12,7 @@ from timberline.llm import (
     decontaminate,
     html_text,
     multi_index,
+    ngram_join,
     quality,
     secrets,
     sentencepieces,
@@ -226,3 +227,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3
     )
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(len(w), 4) - 1], ' ')) AS s
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i)
+  WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach(a, b) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles,
+  least(w.doc_id, (SELECT min(b) FROM reach r WHERE r.a = w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@register("op1_ngram_jaccard", OP1_SQL)
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
