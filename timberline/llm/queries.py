@@ -16,6 +16,7 @@ from timberline.llm import (
     quality,
     secrets,
     sentencepieces,
+    suffix_dedup,
     token_counts,
     url_filter,
 )
@@ -262,3 +263,8 @@ FROM words w LEFT JOIN sizes USING (doc_id)
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
