@@ -7,38 +7,38 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Makes the function that turns a list of texts into result columns; called once a task.
 Maker = Callable[[], Callable[[list[str]], Sequence[pa.Array]]]
 
 
-def map_texts(frame: DataFrame, key: str, text: str, make: Maker, schema: str) -> DataFrame:
+def map_texts(
+    frame: DataFrame, key: str | Sequence[str], text: str, make: Maker, schema: str
+) -> DataFrame:
     """One row per row: the key and what ``make()`` returns for the text, null read as "".
 
-    Only the two named columns leave the JVM, so other columns of any name do no harm. Batches
-    are bounded by Spark's Arrow settings; nothing is kept between them but what ``make`` keeps.
+    A single key is taken as a long; several columns are carried as they are. Only they and the
+    text leave the JVM, so other columns of any name do no harm. Batches are bounded by Spark's
+    Arrow settings; nothing is kept between them but what ``make`` keeps.
     """
+    if isinstance(key, str):
+        keys = frame.select(F.col(key).cast("long").alias(key))
+    else:
+        keys = frame.select(*key)
+    fields = keys.schema.fields
+    full = T.StructType([*fields, *T.StructType.fromDDL(schema).fields])
     picked = frame.select(
-        F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
+        *(F.col(f.name).cast(f.dataType).alias(f"key{i}") for i, f in enumerate(fields)),
+        F.col(text).cast("string").alias("text"),
     )
-    full = f"{key} bigint, {schema}"
-    names = [part.strip().split()[0].strip(":") for part in _fields(full)]
 
     def run(batches):
         work = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *work(texts)], names=names)
+            texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(fields)], *work(texts)], names=full.names
+            )
 
     return picked.mapInArrow(run, full)
-
-
-def _fields(schema: str) -> list[str]:
-    """Top-level fields of a schema text."""
-    parts, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            parts.append(schema[start:i])
-            start = i + 1
-    return [*parts, schema[start:]]

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timberline.sources.scratch import materialize
 
@@ -28,7 +29,8 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TO_PLAIN = bytes(
     b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256)
 )
-HITS = "array<struct<item:string,first:int,last:int>>"
+_HITS = "array<struct<item:string,first:int,last:int>>"
+_FOUND = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def normalised(text: str) -> bytes:
@@ -106,26 +108,54 @@ def find_passages(
     hit nothing, as documents and as items. Repeated items count once. An item without an id
     marks words but is not listed. Rows with a null or repeated key are rows like any other.
     """
+    rows = docs.select(
+        F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
+    )
+    return _find(rows, benchmark, window, item_key, item_text, block_bytes).withColumnRenamed("key", key)
+
+
+def without_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``docs`` with the runs of hit words cut out of ``text``; rows left without words go.
+
+    Rows that nothing hits stay as they are, also without words.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("key"), F.col(text).cast("string").alias("text"))
+    found = _find(rows, benchmark, window, item_key, item_text, block_bytes)
+    hit = F.col("n_hit") > 0
+    cut = F.when(hit, cut_spans(F.col("key")[text], F.col("spans"))).otherwise(F.col("key")[text])
+    return (
+        found.where(~hit | (F.col("n_hit") < F.col("n_words")))
+        .select(F.col("key").withField(text, cut).alias("key"))
+        .select("key.*")
+    )
+
+
+def _find(
+    rows: DataFrame, benchmark: DataFrame, window: int, item_key: str, item_text: str, block_bytes: int
+) -> DataFrame:
+    """Hits of ``(key, text)`` rows; the key may be of any type."""
     items = benchmark.select(
         F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")
     ).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size) // block_bytes
-    rows = docs.select(
-        F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
-    )
+    kind = T.StructField("key", rows.schema["key"].dataType)
+    spark = rows.sparkSession
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         final = block == blocks - 1
-        names = [key, "n_words", "n_hit", "items", "spans"] if final else ["key", "text", "hits"]
-        rows = rows.mapInArrow(
-            _scan(sent, window, final, block > 0, names),
-            f"{key} bigint, n_words bigint, n_hit bigint, items array<string>, "
-            "spans array<struct<start:int,end:int>>"
-            if final
-            else f"key bigint, text string, hits {HITS}",
-        )
+        ddl = _FOUND if final else f"text string, hits {_HITS}"
+        schema = T.StructType([kind, *T.StructType.fromDDL(ddl).fields])
+        rows = rows.mapInArrow(_scan(sent, window, final, block > 0, schema.names), schema)
         if not final:
             rows = materialize(rows, f"passages{block}")
     return rows

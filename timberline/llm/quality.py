@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,34 +229,33 @@ def in_test_part(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_documents(
-    docs: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    sample: int = SAMPLE,
-    threshold: float = 0.3,
-) -> DataFrame:
-    """``(key, held_out, score, predicted)`` per row.
-
-    Only labels of rows outside the held-out part are learnt from, at most ``sample`` of them,
-    taken by hash of the id. Nothing but the text decides a score. Null and empty texts have the
-    score of a text without words. Labels that are null or neither 0 nor 1 are not used; repeated
-    labels count as often as they come. Rows with a null or repeated key are rows like any other.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(word_vectors(docs, text))  # ROWS x DIM floats
+def _pooler(sent):
+    """Makes the function from texts to rows of features; ``sent`` is the broadcast word table."""
 
     def make():
         table, rows = sent.value, WordRows()
         fixed = random_vectors().astype(np.float64)
+        return lambda texts: np.array(
+            [pooled(t, rows, table, fixed) for t in texts], np.float32
+        ).reshape(-1, FEATURES)
 
-        def work(texts: list[str]) -> list[pa.Array]:
-            x = [pooled(t, rows, table, fixed).astype(np.float32).tolist() for t in texts]
-            return [pa.array(x, pa.list_(pa.float32()))]
+    return make
 
-        return work
+
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int
+) -> tuple[Network, Broadcast, DataFrame]:
+    """The network, the word table as sent to the tasks, and ``(key, features)`` of all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(word_vectors(docs, text))  # ROWS x DIM floats
+    pooler = _pooler(sent)
+
+    def make():
+        pool = pooler()
+        return lambda texts: [
+            pa.ListArray.from_arrays(
+                pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32()), pa.array(pool(texts).ravel())
+            )
+        ]
 
     features = materialize(map_texts(docs, key, text, make, "features array<float>"), "features")
     known = labels.select(
@@ -268,12 +268,58 @@ def score_documents(
         .toPandas()
     )
     x = np.array(taken["features"].tolist(), np.float64).reshape(-1, FEATURES)
-    net = fit_network(x, taken["label"].to_numpy(np.float64))
+    return fit_network(x, taken["label"].to_numpy(np.float64)), sent, features
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    sample: int = SAMPLE,
+    threshold: float = 0.3,
+) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, as they are.
+
+    Each row is judged by its own text; see :func:`score_documents`.
+    """
+    network, sent, _ = fit(docs, labels, key, text, label, sample)
+    pooler = _pooler(sent)
+    at = docs.columns.index(text)
+
+    def choose(batches):
+        pool = pooler()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = network.score(pool(texts).astype(np.float64)) >= threshold
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
+def score_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    sample: int = SAMPLE,
+    threshold: float = 0.3,
+) -> DataFrame:
+    """``(key, held_out, score, predicted)`` per row.
+
+    Only labels of rows outside the held-out part are learnt from, at most ``sample`` of them,
+    taken by hash of the id. Nothing but the text decides a score. Null and empty texts have the
+    score of a text without words. Labels that are null or neither 0 nor 1 are not used; repeated
+    labels count as often as they come. Rows with a null or repeated key are rows like any other.
+    """
+    network, _, features = fit(docs, labels, key, text, label, sample)
 
     def apply(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            score = net.score(values.reshape(-1, FEATURES))
+            score = network.score(values.reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score, pa.float64())], names=[key, "score"]
             )

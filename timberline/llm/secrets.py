@@ -85,9 +85,56 @@ def scan(
     null or repeated key are rows like any other; a null source is one owner.
     """
     rows = docs.select(
-        F.col(key).cast("long").alias("key"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-        F.col(text).cast("string").alias("text"),
+        F.col(key).cast("long").alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
+    )
+    spans = F.col("spans")
+    return _judged(rows, copied_owners).select(
+        F.col("key").alias(key),
+        F.filter(spans, lambda s: s["rank"] < 3).alias("base"),
+        "spans",
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda s: ~s["live"])).cast("long").alias("n_copied"),
+    )
+
+
+def redacted(
+    docs: DataFrame,
+    placeholder: str,
+    text: str = "text",
+    owner: str = "source",
+    copied_owners: int = COPIED_OWNERS,
+) -> DataFrame:
+    """``docs`` with every live span of ``text`` replaced; copied examples stay."""
+    rows = docs.select(
+        F.struct(*docs.columns).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
+    )
+    own = F.col("key")[text]
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(state: Column, span: Column) -> Column:
+        before = F.substr(own, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        new = F.when(span["start"] >= state["at"], F.concat(before, F.lit(placeholder))).otherwise("")
+        return F.struct(
+            F.concat(state["out"], new).alias("out"),
+            F.greatest(state["at"], span["end"]).alias("at"),
+        )
+
+    live = F.filter("spans", lambda s: s["live"])
+    cut = F.aggregate(live, start, step)
+    replaced = F.when(F.size(live) > 0, F.concat(cut["out"], F.substr(own, cut["at"] + 1)))
+    return (
+        _judged(rows, copied_owners)
+        .select(F.col("key").withField(text, F.coalesce(replaced, own)).alias("key"))
+        .select("key.*")
+    )
+
+
+def _judged(rows: DataFrame, copied_owners: int) -> DataFrame:
+    """``(key, spans)`` of ``(key, owner, text)``; the key may be of any type."""
+    rows = rows.select(
+        "key",
+        F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"),
+        F.col("text").cast("string").alias("text"),
     )
     has = F.col("text").rlike("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, OPAQUE)))
     # only texts with a candidate go on; what follows reads them from here
@@ -148,16 +195,8 @@ def scan(
         .agg(F.collect_list(F.struct("start", "rank", "end", "live")).alias("spans"))
     )
     none = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
-    spans = F.array_sort(F.coalesce("spans", none))
     return (
-        flagged.drop("text")
+        flagged.select("row", "key")
         .join(judged, "row", "left")
-        .select(F.col("key").alias(key), spans.alias("spans"))
-        .select(
-            key,
-            F.filter("spans", lambda s: s["rank"] < 3).alias("base"),
-            "spans",
-            F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
-            F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
-        )
+        .select("key", F.array_sort(F.coalesce("spans", none)).alias("spans"))
     )
