@@ -12,7 +12,7 @@ How pairs within a group are avoided:
 * a signature's classes are first compared with one of them only, the one with most shared
   signatures, and the links found make components;
 * then pairs are looked at only where a signature still joins different components, and go on
-  only if a sketch of 1024 parity bits, a lower bound of their difference, allows a link.
+  only if a sketch of parity bits, a lower bound of their difference, allows a link.
 
 Class ids are 64-bit hashes of sets; a collision of two among 10^9 different sets has a chance of
 3 in 100.
@@ -23,9 +23,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.graph import components
@@ -37,9 +38,10 @@ BAND = 1.3
 PAIRED = 3
 #: Parts beyond those that differences can touch; sets with more empty parts are treated apart.
 SLACK = 2
-SKETCH_BITS = 1024
 #: Times that a task sends a signature on before it starts to spread it over ``SPREAD`` keys.
 FREQUENT, SPREAD, COUNTED = 32, 16, 400_000
+#: Power of two of the bits that a filter of ids has at most (64 MB).
+FILTER_BITS = 29
 #: Classes of one signature that a task compares with each other, and texts with one of them.
 BLOCK, MEMBERS = 1024, 512
 MEMO = 400_000
@@ -85,11 +87,18 @@ def class_of(features: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(features.tobytes()) - (1 << 63)
 
 
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parity of the features in each of 1024 slots, as 16 words of 64 bits."""
-    slots = (features & _U(SKETCH_BITS - 1)).astype(np.intp)
-    odd = (np.bincount(slots, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def sketch(features: np.ndarray) -> bytes:
+    """Parity of the features in each slot, as bits; at least four slots for each feature."""
+    slots = 1 << max(10, (4 * len(features) - 1).bit_length())
+    place = (features & _U(slots - 1)).astype(np.intp)
+    odd = (np.bincount(place, minlength=slots) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes, as words: slots that meet in the shorter one are added."""
+    words = np.frombuffer(bits, np.uint64).reshape(-1, size // 8)
+    return np.bitwise_xor.reduce(words, axis=0)
 
 
 def most_different(size: int, percent: int) -> int:
@@ -161,13 +170,13 @@ def document_sets(
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                 ],
                 names=["doc", "size", "class", "bits"],
             )
 
     return _picked(docs, key, text).mapInArrow(
-        run, "doc bigint, size bigint, class bigint, bits array<bigint>"
+        run, "doc bigint, size bigint, class bigint, bits binary"
     )
 
 
@@ -252,41 +261,76 @@ def shared_signatures(
     )
 
 
-def _may_link(percent: int, size_a: Column, size_b: Column, different: Column) -> Column:
-    """Whether sets of these sizes can be linked if they differ in so many features at least."""
-    total = size_a + size_b
-    return (
-        (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
-        & ((100 - percent) * total >= (100 + percent) * different)
-    )
-
-
-def _difference(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
+def _may_link(percent: int, a, b, different):
+    """Whether sets of sizes a and b can be linked if they differ in so many features at least."""
+    near = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return near & ((100 - percent) * (a + b) >= (100 + percent) * different)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that sizes and sketches do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, size_a, size_b = (batch.column(i).to_numpy() for i in range(4))
+            different = np.zeros(len(a), np.int64)
+            sketches = (batch.column(i).to_pylist() for i in (4, 5))
+            for i, (x, y) in enumerate(zip(*sketches)):
+                width = min(len(x), len(y))
+                different[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()
+            keep = _may_link(percent, size_a, size_b, different)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"]
+            )
+
     side = lambda x: classes.select(
         F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")
     )
+    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where(
-            _may_link(
-                percent,
-                F.col("size_a"),
-                F.col("size_b"),
-                _difference(F.col("bits_a"), F.col("bits_b")),
-            )
-        )
-        .select("a", "b")
+        .where(100 * low >= percent * high)
+        .select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+        .mapInArrow(run, "a bigint, b bigint")
     )
 
 
+def only_ids(rows: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among ``ids``, to move fewer of them in a join that follows.
+
+    A bit set with 16 bits for each id, ``FILTER_BITS`` at most, is filled by Spark in pieces of
+    2^16 bits and sent to the tasks; where ids are too many for it, it lets more rows through.
+    """
+    bits = 1 << min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(name), F.lit(17)), F.lit(bits))
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << 16, np.uint8)
+        held[frame["slot"].to_numpy() & 0xFFFF] = 1
+        piece = int(frame["slot"].iloc[0]) >> 16
+        return pd.DataFrame({"piece": [piece], "held": [np.packbits(held).tobytes()]})
+
+    pieces = (
+        ids.select(slot.alias("slot"))
+        .distinct()
+        .groupBy(F.shiftright("slot", 16))
+        .applyInPandas(fill, "piece long, held binary")
+        .collect()
+    )
+    table = np.zeros(bits // 8, np.uint8)
+    for r in pieces:
+        table[r.piece << 13 : (r.piece + 1) << 13] = np.frombuffer(r.held, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return rows.where(F.col(name).isNotNull()).where(held(slot))
+
+
 def verified(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -334,8 +378,9 @@ def verified(
                 [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
             )
 
+    wanted = materialize(wanted, "wanted")
     return (
-        _picked(docs, key, text)
+        only_ids(_picked(docs, key, text), "doc", wanted.select("doc").distinct())
         .join(wanted, "doc")
         .select("role.to", "role.block", "role.member", "class", "text")
         .repartition("to", "block")
@@ -358,12 +403,11 @@ def _crossing(percent: int):
             if not same_part:
                 other &= part[later] != part[i]
             j = i + 1 + np.flatnonzero(other)
-            low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
-            j = j[100 * low >= percent * high]
+            j = j[_may_link(percent, size[j], size[i], 0)]
             if not len(j):
                 continue
             different = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[(100 - percent) * (size[j] + size[i]) >= (100 + percent) * different]
+            j = j[_may_link(percent, size[j], size[i], different)]
             a += np.minimum(own[j], own[i]).tolist()
             b += np.maximum(own[j], own[i]).tolist()
         return a, b
@@ -373,7 +417,9 @@ def _crossing(percent: int):
         for table in _runs(batches):
             held = table
             cell = [held.column(i).to_numpy() for i in range(6)]
-            bits = np.array(held.column("bits").to_pylist(), np.int64).reshape(len(held), -1)
+            sketches = held.column("bits").to_pylist()
+            width = min(map(len, sketches))
+            bits = np.stack([folded(x, width) for x in sketches])
             _, first, second, own, label, size = cell
             hub = held.column("hub").to_numpy(zero_copy_only=False).astype(bool)
             part = held.column("part").to_numpy()

@@ -96,9 +96,10 @@ class PieceModel(dict):
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids without the space that encoding puts in front."""
-        text = self._surface(ids)
-        return text[1:] if text.startswith(" ") else text
+        """The text of ids without the word mark that encoding puts in front."""
+        shown = [i for i in ids if i not in self.hidden]
+        text = self._surface(shown)
+        return text[1:] if shown and self.pieces[shown[0]].startswith(MARK) else text
 
     def both(self, text: str) -> tuple[int, str, str]:
         """Number of ids, ids as text, decoded text."""
