@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, ngram_join, quality, secrets, sentencepieces
 from timberline.llm.batches import map_texts
+from timberline.llm.queries import show_package
 from timberline.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -114,6 +115,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    show_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -9,6 +9,7 @@ to page, go by their tags and class names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -69,6 +70,7 @@ class _Reader(HTMLParser):
         self.blocks: list[list] = []
         self.open: list[_Element] = [_Element("#page", False, False)]
         self.text: list[str] = []
+        self.names: Counter[str] = Counter()
 
     def read(self, html: str) -> list[list]:
         self.feed(html)
@@ -84,8 +86,7 @@ class _Reader(HTMLParser):
         if not text:
             return
         n = len(self.blocks)
-        tags = {e.tag for e in self.open}
-        self.blocks.append([text, [], "article" in tags, "main" in tags])
+        self.blocks.append([text, [], self.names["article"] > 0, self.names["main"] > 0])
         for element in self.open[1:]:
             element.blocks.append(n)
 
@@ -94,6 +95,7 @@ class _Reader(HTMLParser):
         if element.tag in BLOCKS:
             self._end_block()
         self.open.pop()
+        self.names[element.tag] -= 1
         if element.filled:
             digest = element.digest.intdigest()
             for n in element.blocks:
@@ -103,6 +105,8 @@ class _Reader(HTMLParser):
 
     def _leave_upto(self, tag: str, within: tuple[str, ...]) -> None:
         """Close the nearest open element of a name unless one of ``within`` lies nearer."""
+        if not self.names[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 while len(self.open) > i:
@@ -126,6 +130,7 @@ class _Reader(HTMLParser):
         if tag in VOID:
             return
         above = self.open[-1]
+        self.names[tag] += 1
         article = above.article or tag in ("article", "main")
         self.open.append(_Element(tag, above.dropped or self._clutter(tag, attrs, article), article))
 
