@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.schema import VALUE_KINDS
+
 #: Bucket widths a caller may name. Fixed values; any other name means one hour.
 WIDTHS = {
     "5m": "5 minutes",
@@ -41,12 +43,46 @@ ZERO_SPAN = "0" * 16
 
 
 def parse_ts(value: str | datetime | Column) -> Column:
-    """ISO-8601 text (``T``, ``Z`` and offsets understood) or datetime to timestamp."""
+    """ISO-8601 text (``T``, ``Z`` and offsets understood) or datetime to timestamp.
+
+    Text without an offset is UTC, whatever the zone of the session; a datetime without one is
+    local time, as Spark returns it. Text of other forms and columns are cast as Spark does it.
+    """
     if isinstance(value, Column):
         return value.cast("timestamp")
-    if isinstance(value, datetime):
-        return F.lit(value).cast("timestamp")
-    return F.lit(value.strip()).cast("timestamp")
+    if not isinstance(value, datetime):
+        try:
+            at = datetime.fromisoformat(value.strip())
+        except ValueError:
+            return F.lit(value.strip()).cast("timestamp")
+        at = at if at.tzinfo else at.replace(tzinfo=UTC)
+    else:
+        at = value.astimezone(UTC)
+    since = at - datetime(1970, 1, 1, tzinfo=UTC)
+    micros = (since.days * 86400 + since.seconds) * 1_000_000 + since.microseconds
+    return F.timestamp_micros(F.lit(micros).cast("bigint"))
+
+
+def unit_number(ts: Column, seconds: int) -> Column:
+    """Number of the unit of so many seconds, counted from the epoch, that a time is in."""
+    micros, unit = F.unix_micros(ts), F.lit(seconds * 1_000_000).cast("bigint")
+    return F.call_function("div", micros - F.pmod(micros, unit), unit)
+
+
+def unit_start(number: Column, seconds: int) -> Column:
+    return F.timestamp_micros(number * F.lit(seconds * 1_000_000).cast("bigint"))
+
+
+def utc_day(ts: Column) -> Column:
+    """Date of a time in UTC, whatever the zone of the session."""
+    return F.date_from_unix_date(unit_number(ts, 86400).cast("int"))
+
+
+def _utc_text(ts: Column, pattern: str, between: str) -> Column:
+    second = F.pmod(unit_number(ts, 1), F.lit(86400))
+    hour, minute = F.floor(second / 3600), F.floor(second / 60) % 60
+    clock = F.format_string(pattern, hour, minute, second % 60)
+    return F.when(ts.isNotNull(), F.concat(utc_day(ts).cast("string"), F.lit(between), clock))
 
 
 def width_name(width: str) -> str:
@@ -60,11 +96,11 @@ def bucket_window(ts: str | Column, width: str) -> Column:
 
 
 def iso_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _utc_text(ts, "%02d:%02d:%02dZ", "T")
 
 
 def hour_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:00:00'Z'")
+    return _utc_text(ts, "%02d:00:00Z", "T")
 
 
 def nanos_to_ts(text: Column) -> Column:
@@ -73,13 +109,18 @@ def nanos_to_ts(text: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))
 
 
+def value_text(value: Column) -> Column:
+    """Text of a document value of any kind; lists and maps as the JSON they came in."""
+    return F.coalesce(*[value[kind] for kind in VALUE_KINDS])
+
+
 def bag_of(pairs: Column) -> Column:
-    """``array<struct<key, value.stringValue>>`` to map; the last of equal keys wins."""
+    """Key and value pairs to a map of texts; the last of equal keys wins."""
     known = F.filter(F.coalesce(pairs, F.array()), lambda p: p["key"].isNotNull())
     keys = F.array_distinct(F.transform(known, lambda p: p["key"]))
     last = F.transform(
         keys,
-        lambda k: F.element_at(F.filter(known, lambda p: p["key"] == k), -1)["value"]["stringValue"],
+        lambda k: value_text(F.element_at(F.filter(known, lambda p: p["key"] == k), -1)["value"]),
     )
     return F.map_from_arrays(keys, last)
 
@@ -101,8 +142,8 @@ def short_trace(trace_id: Column) -> Column:
 
 
 def short_time(ts: Column) -> Column:
-    """Timestamp to the second, as shown in a result row."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """Timestamp to the second in UTC, as shown in a result row."""
+    return _utc_text(ts, "%02d:%02d:%02d", " ")
 
 
 def level_severity(level: Column) -> Column:

@@ -13,6 +13,7 @@ from timberline.functions.scalars import (
     ZERO_SPAN,
     ZERO_TRACE,
     parse_ts,
+    utc_day,
 )
 from timberline.functions.text import DEFAULT_MODE, match
 from timberline.schema import DAY, PAGE_COLUMNS
@@ -35,12 +36,12 @@ def time_range(logs: DataFrame, start: Moment = None, end: Moment = None) -> Dat
         at = parse_ts(start)
         logs = logs.where(F.col("timestamp") >= at)
         if by_day:
-            logs = logs.where(F.col(DAY) >= F.to_date(at))
+            logs = logs.where(F.col(DAY) >= utc_day(at))
     if _given(end):
         at = parse_ts(end)
         logs = logs.where(F.col("timestamp") <= at)
         if by_day:
-            logs = logs.where(F.col(DAY) <= F.to_date(at))
+            logs = logs.where(F.col(DAY) <= utc_day(at))
     return logs
 
 

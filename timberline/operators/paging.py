@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.scalars import parse_ts
+from timberline.functions.scalars import parse_ts, unit_number, unit_start, utc_day
 from timberline.operators.filters import filter_logs, page_columns, time_range
 from timberline.schema import DAY
 
@@ -66,9 +66,8 @@ def _seek(found: DataFrame, offset: int) -> tuple[DataFrame, int]:
     """Rows from the second on that holds row number ``offset``, and how many to skip."""
     ts = F.col("timestamp")
     scope, end, skip = found, None, offset
-    for unit in ("day", "hour", "minute", "second"):
-        start = F.date_trunc(unit, ts)
-        counts = scope.groupBy(start.cast("string").alias("start")).count()
+    for seconds in (86400, 3600, 60, 1):
+        counts = scope.groupBy(unit_number(ts, seconds).alias("start")).count()
         # One row per calendar unit of the unit above: few, whatever the table holds.
         for row in counts.orderBy(F.col("start").desc_nulls_last()).collect():
             if skip < row["count"]:
@@ -78,29 +77,40 @@ def _seek(found: DataFrame, offset: int) -> tuple[DataFrame, int]:
             return found.where(F.lit(False)), 0
         if row["start"] is None:
             return found.where(ts.isNull()), skip
-        first = F.lit(row["start"]).cast("timestamp")
-        end = first + F.expr(f"INTERVAL 1 {unit}")
+        first = unit_start(F.lit(row["start"]), seconds)
+        end = unit_start(F.lit(row["start"] + 1), seconds)
         scope = time_range(found, first, end).where(ts < end)
     rest = found.where((ts < end) | ts.isNull())
     if DAY in found.columns:
-        rest = rest.where((F.col(DAY) <= F.to_date(end)) | F.col(DAY).isNull())
+        rest = rest.where((F.col(DAY) <= utc_day(end)) | F.col(DAY).isNull())
     return rest, skip
 
 
 def log_page_after(
     logs: DataFrame,
-    timestamp: str | datetime,
+    timestamp: str | datetime | None,
     log_id: int,
     limit: int = DEFAULT_LIMIT,
+    shown: int = 1,
     **filters,
 ) -> DataFrame:
-    """The page that follows the record ``(timestamp, log_id)``."""
-    _check(limit)
-    at = parse_ts(timestamp)
-    older = time_range(filter_logs(logs, **filters), end=at).where(
-        (F.col("timestamp") < at) | (F.col("log_id") < log_id)
-    )
-    return page_columns(older.orderBy(*newest_first()).limit(limit), with_id=True)
+    """The page that follows the record ``(timestamp, log_id)``.
+
+    Records may be stored more than once: ``shown`` tells how many with this time and id the
+    pages so far have held. Records without time come last, in offset pages and here.
+    """
+    _check(limit, shown)
+    found, ts, own = filter_logs(logs, **filters), F.col("timestamp"), F.col("log_id")
+    if timestamp is None:
+        older, equal = ts.isNull() & (own < log_id), ts.isNull() & (own == log_id)
+    else:
+        at = parse_ts(timestamp)
+        older = ts.isNull() | (ts < at) | ((ts == at) & (own < log_id))
+        equal = (ts == at) & (own == log_id)
+        if DAY in found.columns:
+            found = found.where((F.col(DAY) <= utc_day(at)) | F.col(DAY).isNull())
+    rest = found.where(older).unionByName(found.where(equal).offset(shown))
+    return page_columns(rest.orderBy(*newest_first()).limit(limit), with_id=True)
 
 
 def cap_rows(logs: DataFrame, n: int = DEFAULT_CAP, newest: bool = True) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A format is one anchored pattern. A line is rewritten once to its groups with a
 separator between them and split, so every line is matched once however many fields the
-format has; its first characters tell which pattern to try. Lines that hold the
-separator themselves are left to the quarantine.
+format has. Lines that hold the separator themselves are matched group by group. The first
+characters tell which pattern to try first; an access line may begin with any of them. One
+line break at the end of a line is no part of it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SEP = "\u0001"
 # ip ident user [time] "method target protocol" status size "referer" "agent"
 ACCESS = (
     r'(?s)^(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]*)" ([0-9]{3}) ([0-9]+|-) '
-    r'"([^"]*)" "([^"]*)"$'
+    r'"([^"]*)" "([^"]*)"\r?\n?\z'
 )
 ACCESS_FIELDS = (
     "ip", "user", "time", "method", "target", "protocol", "status", "size", "referer", "agent",
@@ -37,14 +38,14 @@ MONTH_NAMES = "JanFebMarAprMayJunJulAugSepOctNovDec"
 BRACKETED = (
     r"(?s)^\[(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     r" +([0-9]{1,2}) ([0-9:]{8}(?:\.[0-9]{1,6})?)(?: ([0-9]{4}))?(?: UTC)?\]"
-    r" \[(\w+)\] \[pid ([0-9]+)\] (.*)$"
+    r" \[(\w+)\] \[pid ([0-9]+)\] (.*?)\r?\n?\z"
 )
 BRACKETED_FIELDS = ("month", "dom", "clock", "year", "level", "pid", "message")
 
 # y/m/d h:m:s [level] pid#tid: *cid message
 SLASHED = (
     r"(?s)^([0-9]{4}/[0-9]{2}/[0-9]{2} [0-9:]{8}) \[(\w+)\] ([0-9]+)#([0-9]+): "
-    r"\*([0-9]+) (.*)$"
+    r"\*([0-9]+) (.*?)\r?\n?\z"
 )
 SLASHED_FIELDS = ("time", "level", "pid", "tid", "cid", "message")
 
@@ -53,18 +54,17 @@ Pick = Callable[[str], Column]
 
 
 def _groups(body: Column, pattern: str, names: tuple[str, ...]) -> Column:
-    """The groups of a matching line as an array; of any other line, the line."""
-    joined = SEP.join(f"${i + 1}" for i in range(len(names)))
-    return F.split(F.regexp_replace(body, pattern, joined), SEP)
-
-
-def _if_whole(body: Column, groups: Column, fields: Column | int) -> Column:
-    """``groups`` if there are as many as the format has fields, else null.
+    """The groups of a matching line as an array; null for any other line.
 
     The lambda gives the groups a name, so that the pattern is matched once.
     """
-    whole = F.filter(F.array(groups), lambda g: F.size(g) == fields)
-    return F.when(~F.contains(body, F.lit(SEP)), F.get(whole, F.lit(0)))
+    joined = SEP.join(f"${i + 1}" for i in range(len(names)))
+    parts = F.split(F.regexp_replace(body, pattern, joined), SEP)
+    whole = F.filter(F.array(parts), lambda g: F.size(g) == len(names))
+    each = F.array(*[F.regexp_extract(body, pattern, i + 1) for i in range(len(names))])
+    return F.when(
+        F.contains(body, F.lit(SEP)), F.when(F.rlike(body, F.lit(pattern)), each)
+    ).otherwise(F.get(whole, F.lit(0)))
 
 
 def _pick(parts: Column, names: tuple[str, ...]) -> Pick:
@@ -118,8 +118,7 @@ def _slashed(f: Pick) -> dict[str, Column]:
 
 def _with(logs: DataFrame, pattern: str, names: tuple[str, ...], build) -> DataFrame:
     body = F.col("body")
-    parts = _if_whole(body, _groups(body, pattern, names), len(names))
-    rows = logs.select("*", parts.alias("_parts"))
+    rows = logs.select("*", _groups(body, pattern, names).alias("_parts"))
     columns = build(_pick(F.col("_parts"), names))
     return rows.select(*logs.columns, *[c.alias(n) for n, c in columns.items()])
 
@@ -153,7 +152,7 @@ PARSED_FIELDS = (
 
 
 def line_kind(body: Column) -> Column:
-    """The format a line can have, judged by its first characters."""
+    """The format to try first, judged by the first characters of a line."""
     return (
         F.when(F.startswith(body, F.lit("[")), "apache_error")
         .when(F.rlike(body, F.lit("^[0-9]{4}/")), "nginx_error")
@@ -162,23 +161,24 @@ def line_kind(body: Column) -> Column:
 
 
 def line_parts(body: Column) -> Column:
-    """The groups of the format the line has; null where it has none."""
+    """``struct<kind, parts>``: the format a line has and its groups; null where it has none."""
     kind = line_kind(body)
 
-    def by_kind(bracketed, slashed, access) -> Column:
-        return F.when(kind == "apache_error", bracketed).when(
-            kind == "nginx_error", slashed
-        ).otherwise(access)
-
-    groups = by_kind(
-        _groups(body, BRACKETED, BRACKETED_FIELDS),
-        _groups(body, SLASHED, SLASHED_FIELDS),
-        _groups(body, ACCESS, ACCESS_FIELDS),
-    )
-    fields = by_kind(
-        F.lit(len(BRACKETED_FIELDS)), F.lit(len(SLASHED_FIELDS)), F.lit(len(ACCESS_FIELDS))
+    def found(name: str, pattern: str, fields: tuple[str, ...]) -> Column:
+        parts = _groups(body, pattern, fields)
+        return F.get(
+            F.transform(
+                F.filter(F.array(parts), lambda g: g.isNotNull()),
+                lambda g: F.struct(F.lit(name).alias("kind"), g.alias("parts")),
+            ),
+            F.lit(0),
+        )
+
+    return F.coalesce(
+        F.when(kind == "apache_error", found("apache_error", BRACKETED, BRACKETED_FIELDS)),
+        F.when(kind == "nginx_error", found("nginx_error", SLASHED, SLASHED_FIELDS)),
+        found("access", ACCESS, ACCESS_FIELDS),
     )
-    return _if_whole(body, groups, fields)
 
 
 def parse_logs(logs: DataFrame) -> ParsedLogs:
@@ -190,8 +190,8 @@ def parse_logs(logs: DataFrame) -> ParsedLogs:
     body = F.col("body")
     # Exploding a one-element array keeps the tests below above the matching: a plain
     # column would be matched for the test and again for the result.
-    rows = logs.select(*ID_COLUMNS, F.explode(F.array(line_parts(body))).alias("_parts")).withColumn(
-        "_kind", line_kind(body)
+    rows = logs.select(*ID_COLUMNS, F.explode(F.array(line_parts(body))).alias("_line")).select(
+        *ID_COLUMNS, F.col("_line.kind").alias("_kind"), F.col("_line.parts").alias("_parts")
     )
     fits = F.col("_parts").isNotNull()
     parts = F.col("_parts")

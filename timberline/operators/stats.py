@@ -14,6 +14,8 @@ from timberline.functions.scalars import (
     hour_label,
     iso_label,
     parse_ts,
+    unit_number,
+    unit_start,
     width_name,
 )
 from timberline.operators.filters import Moment, time_range
@@ -51,8 +53,9 @@ def hourly_volume(logs: DataFrame, as_of: Moment = None, hours: int = 24) -> Dat
     """Records per hour over the last hours, whatever range the caller looks at."""
     end = parse_ts(as_of) if as_of is not None else F.current_timestamp()
     recent = time_range(logs, end - F.make_dt_interval(hours=F.lit(hours)))
-    per_hour = recent.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(_rows())
-    return per_hour.select(hour_label(F.col("hour")).alias("ts"), "count").orderBy("ts")
+    per_hour = recent.groupBy(unit_number(F.col("timestamp"), 3600).alias("hour")).agg(_rows())
+    start = unit_start(F.col("hour"), 3600)
+    return per_hour.select(hour_label(start).alias("ts"), "count").orderBy("ts")
 
 
 def severity_cards(logs: DataFrame) -> DataFrame:

@@ -53,6 +53,49 @@ def _otlp_flatten(spark, sf):
     return _flat(flatten_otlp(parse_otlp(documents)))
 
 
+@register(
+    "otlp_value_kinds",
+    """
+SELECT CAST(event_id AS VARCHAR) AS log_id,
+       CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR)
+            WHEN event_id % 3 = 1 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END
+            ELSE '{"values":[{"key":"t","value":{"stringValue":"' || event_type || '"}}]}' END AS body,
+       CAST(user_id AS VARCHAR) AS user_id, '0.5' AS share,
+       '{"values":[{"intValue":"' || user_id || '"},{"stringValue":"x"}]}' AS list
+FROM events
+""",
+)
+def _otlp_value_kinds(spark, sf):
+    """Numbers, truth values, lists and maps as attribute values and bodies."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    number, kind = F.col("user_id").cast("string"), F.col("event_id") % 3
+    body = (
+        F.when(kind == 0, F.format_string('{"intValue":"%s"}', number))
+        .when(kind == 1, F.format_string('{"boolValue":%s}', (F.col("user_id") % 2 == 0).cast("string")))
+        .otherwise(
+            F.format_string(
+                '{"kvlistValue":{"values":[{"key":"t","value":{"stringValue":"%s"}}]}}', "event_type"
+            )
+        )
+    )
+    document = F.format_string(
+        '{"resourceLogs":[{"resource":{},"scopeLogs":[{"logRecords":[{"spanId":"%s","body":%s,'
+        '"attributes":[{"key":"user_id","value":{"intValue":"%s"}},'
+        '{"key":"share","value":{"doubleValue":0.5}},'
+        '{"key":"list","value":{"arrayValue":{"values":[{"intValue":"%s"},{"stringValue":"x"}]}}}]'
+        "}]}]}]}",
+        F.col("event_id").cast("string"), body, number, number,
+    )
+    rows = flatten_otlp(parse_otlp(events.select(document.alias("value"))))
+
+    def attribute(name: str):
+        return F.try_element_at("log_attributes", F.lit(name)).alias(name)
+
+    return rows.select(
+        F.col("span_id").alias("log_id"), "body", attribute("user_id"), attribute("share"), attribute("list")
+    )
+
+
 @register("log_table", on_logs(FLAT_SQL + f"WHERE {IN_RANGE}"))
 def _log_table(spark, sf):
     """Append to a day-partitioned table and read a range of it."""

@@ -251,6 +251,39 @@ def _log_page_after(spark, sf):
     return _flat_page(paging.log_page_after(logs, "2024-01-15T12:00:00Z", 5000, 200))
 
 
+@register(
+    "log_page_deep",
+    on_logs(
+        PAGE_SQL
+        + "FROM logs ORDER BY logs.timestamp DESC, log_id DESC "
+        "LIMIT 150 OFFSET (SELECT CAST(0.7 * count(*) AS BIGINT) FROM logs)"
+    ),
+)
+def _log_page_deep(spark, sf):
+    """A page far down, found by counts."""
+    logs = event_logs(spark, sf)
+    offset = (logs.count() * 7 + 5) // 10
+    return _flat_page(paging.log_page(logs, 150, offset, with_id=True, deep_offset=0).rows)
+
+
+@register(
+    "log_page_ties",
+    on_logs(
+        PAGE_SQL
+        + """FROM (SELECT * FROM logs UNION ALL SELECT * FROM logs UNION ALL SELECT * FROM logs) AS logs
+ORDER BY logs.timestamp DESC, log_id DESC LIMIT 100 OFFSET 50"""
+    ),
+)
+def _log_page_ties(spark, sf):
+    """Every record stored three times: the cursor says how many equal ones were shown."""
+    logs = event_logs(spark, sf)
+    thrice = logs.unionByName(logs).unionByName(logs)
+    last = paging.log_page(thrice, 50, 0, with_id=True).rows.collect()[-1]
+    return _flat_page(
+        paging.log_page_after(thrice, last["timestamp"], last["log_id"], 100, shown=2)
+    )
+
+
 @register(
     "tail_logs",
     on_logs(

@@ -36,13 +36,18 @@ STORED_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField(DAY, T.DateType(
 #: What a search page shows: the record without its resource bag.
 PAGE_COLUMNS = [c for c in LOG_COLUMNS if c not in ("log_id", "resource_attributes")]
 
+#: Kinds of values in a document; one of them is set. Fixed values. All are read as text,
+#: which for lists and maps is their JSON.
+VALUE_KINDS = (
+    "stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue",
+)
+_VALUE = T.StructType([T.StructField(kind, T.StringType()) for kind in VALUE_KINDS])
+
 _PAIRS = T.ArrayType(
     T.StructType(
         [
             T.StructField("key", T.StringType()),
-            T.StructField(
-                "value", T.StructType([T.StructField("stringValue", T.StringType())])
-            ),
+            T.StructField("value", _VALUE),
         ]
     )
 )
@@ -55,7 +60,7 @@ _RECORD = T.StructType(
         T.StructField("severityText", T.StringType()),
         T.StructField("traceId", T.StringType()),
         T.StructField("spanId", T.StringType()),
-        T.StructField("body", T.StructType([T.StructField("stringValue", T.StringType())])),
+        T.StructField("body", _VALUE),
         T.StructField("attributes", _PAIRS),
     ]
 )

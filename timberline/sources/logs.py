@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.scalars import parse_ts, utc_day
 from timberline.operators.filters import Moment, time_range
 from timberline.operators.paging import newest_first
 from timberline.schema import DAY, STORED_SCHEMA
@@ -24,7 +25,7 @@ def read_logs(
 
 
 def with_day(logs: DataFrame) -> DataFrame:
-    return logs.withColumn(DAY, F.to_date("timestamp"))
+    return logs.withColumn(DAY, utc_day(F.col("timestamp")))
 
 
 def write_logs(
@@ -63,9 +64,12 @@ def retention_test(
     past: int = KEEP_PAST_DAYS,
     future: int = ACCEPT_FUTURE_DAYS,
 ) -> Column:
-    """Whether a record's day has a place in the table; false where it has no time."""
-    today = F.to_date(as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp"))
-    day = F.to_date("timestamp")
+    """Whether a record's day (in UTC) has a place in the table; false where it has no time."""
+    if isinstance(as_of, date) and not isinstance(as_of, datetime):
+        today = F.lit(as_of)
+    else:
+        today = utc_day(parse_ts(as_of))
+    day = utc_day(F.col("timestamp"))
     inside = day.between(F.date_sub(today, past), F.date_add(today, future))
     return F.coalesce(inside, F.lit(False))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.functions.scalars import bag_of, nanos_to_ts
+from timberline.functions.scalars import bag_of, nanos_to_ts, value_text
 from timberline.schema import CORRUPT, LOG_COLUMNS, OTLP_SCHEMA
 
 #: The document schema plus the place for text that is no document.
@@ -65,7 +65,7 @@ def flatten_otlp(documents: DataFrame) -> DataFrame:
         F.col("rec.spanId").alias("span_id"),
         F.col("rec.severityNumber").alias("severity_number"),
         F.col("rec.severityText").alias("severity_text"),
-        F.col("rec.body.stringValue").alias("body"),
+        value_text(F.col("rec.body")).alias("body"),
         "resource_attributes",
         "log_attributes",
         F.col("scope.name").alias("scope_name"),
