@@ -194,3 +194,28 @@ def test_scratch_can_be_dropped(spark):
     drop_scratch(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_future_and_late_records_survive_the_replay_filter(spark, logs, tmp_path):
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    future = logs.limit(1).withColumn("timestamp", F.current_timestamp() + F.expr("INTERVAL 7 DAYS"))
+    batches = [future.unionByName(logs.where("log_id < 50")), logs.where("log_id < 80")]
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(logs.schema).parquet(source)
+        write_stream(dedupe_stream(stream), target, check, available_now=True).awaitTermination()
+    assert table.read_logs(spark, target).count() == 1 + logs.where("log_id < 80").count()
+
+
+def test_repeated_batch_replaces_itself_and_days_compact(spark, logs, tmp_path):
+    from timberline.streaming.ingest import append_batch, compact_day
+
+    path = str(tmp_path / "table")
+    for _ in range(2):
+        append_batch(logs, path, "s1-0")
+    append_batch(logs, path, "s1-1")
+    table.write_logs(logs, path)
+    assert table.read_logs(spark, path).count() == 3 * logs.count()
+    assert compact_day(spark, path, "2024-01-10") > 1 and compact_day(spark, path, "2024-01-10") >= 1
+    assert table.read_logs(spark, path).count() == 3 * logs.count()
+    assert not list((tmp_path / "table" / "_staging").glob("*"))

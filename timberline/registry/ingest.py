@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from timberline.fixtures import ORACLE_WEEKDAY, WEEKDAY_ERRORS_SQL, event_logs, weekday_errors
@@ -349,10 +351,71 @@ def _stream_ingest(spark, sf):
 
 @register("stream_dedupe", on_logs(FLAT_SQL))
 def _stream_dedupe(spark, sf):
-    """Every record sent twice, kept once."""
-    target, checkpoint = (scratch_path(spark, n) for n in ("out", "check"))
-    once = dedupe_stream(_stream_table(spark, sf, copies=2), "40 days")
-    write_stream(once, target, checkpoint, available_now=True).awaitTermination()
+    """Every record sent twice, in files and batches of their own, kept once.
+
+    The records span a month, far more than the lateness, which counts from arrival.
+    """
+    target, checkpoint, path = (scratch_path(spark, n) for n in ("out", "check", "stream-source"))
+    rows = event_logs(spark, sf)
+    for _ in range(2):
+        rows.repartition(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    write_stream(dedupe_stream(stream), target, checkpoint, available_now=True).awaitTermination()
+    return _flat(table.read_logs(spark, target))
+
+
+@register("stream_then_append", on_logs(FLAT_SQL + "UNION ALL " + FLAT_SQL))
+def _stream_then_append(spark, sf):
+    """A table that a stream and a batch both write to."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    logs = event_logs(spark, sf)
+    to_otlp(logs).write.json(source)
+    stream_logs(spark, source, target, checkpoint, available_now=True).awaitTermination()
+    table.write_logs(logs, target)
+    return _flat(table.read_logs(spark, target))
+
+
+_RETAINED = "CAST(timestamp AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-22'"
+
+
+@register(
+    "stream_retention",
+    on_logs(
+        f"SELECT CASE WHEN {_RETAINED} THEN 'kept' ELSE 'rows' END AS place, count(*) AS n "
+        "FROM logs GROUP BY 1 UNION ALL SELECT 'documents', count(*) FROM events WHERE event_id % 50 = 0"
+    ),
+)
+def _stream_retention(spark, sf):
+    """Retention and broken documents as part of the load: what is kept and what is put aside."""
+    source, target, checkpoint, aside = (
+        scratch_path(spark, n) for n in ("in", "out", "check", "aside")
+    )
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 50 = 0")
+    good = to_otlp(event_logs(spark, sf)).select(F.to_json(F.struct("*")).alias("value"))
+    good.union(events.selectExpr("concat('{broken ', event_id)")).write.text(source)
+    stream_logs(
+        spark, source, target, checkpoint, available_now=True, quarantine=aside,
+        as_of="2024-01-15T12:00:00Z", past=5, future=7,
+    ).awaitTermination()
+    places = {
+        "kept": table.read_logs(spark, target),
+        "rows": spark.read.parquet(f"{aside}/rows"),
+        "documents": spark.read.parquet(f"{aside}/documents"),
+    }
+    counts = [p.select(F.lit(n).alias("place")) for n, p in places.items()]
+    return counts[0].union(counts[1]).union(counts[2]).groupBy("place").agg(F.count("*").alias("n"))
+
+
+@register(
+    "drop_expired_read",
+    on_logs(FLAT_SQL + "WHERE CAST(timestamp AS DATE) >= DATE '2024-01-12'"),
+)
+def _drop_expired_read(spark, sf):
+    """A streamed table after its oldest days are dropped."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    to_otlp(event_logs(spark, sf)).write.json(source)
+    stream_logs(spark, source, target, checkpoint, available_now=True).awaitTermination()
+    table.drop_expired(spark, target, date(2024, 1, 17), past=5)
     return _flat(table.read_logs(spark, target))
 
 

@@ -33,22 +33,25 @@ def write_logs(
     path: str,
     compression: str = "lz4_raw",
     rebalance: bool = True,
+    mode: str = "append",
 ) -> None:
-    """Append every row, sorted by time and service inside each file.
+    """Write every row, by default to what is there, sorted by time and service inside each file.
 
     Rebalancing by day gives few, even files: it splits a busy day over many tasks and
-    merges quiet ones. Turn it off for small loads that span a day or two. Trace ids get
-    a bloom filter of a size that suits each file.
+    merges quiet ones. Turn it off for small loads that span a day or two. Trace, span and
+    instance ids get bloom filters of a size that suits each file.
     """
     rows = with_day(logs)
     if rebalance:
         rows = rows.hint("rebalance", F.col(DAY))
     (
         rows.sortWithinPartitions(DAY, "timestamp", "service_name")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy(DAY)
         .option("compression", compression)
         .option("parquet.bloom.filter.enabled#trace_id", "true")
+        .option("parquet.bloom.filter.enabled#span_id", "true")
+        .option("parquet.bloom.filter.enabled#service_instance_id", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
         .parquet(path)
     )

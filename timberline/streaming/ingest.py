@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,22 +12,34 @@ from timberline.schema import DAY
 from timberline.sources.logs import (
     ACCEPT_FUTURE_DAYS,
     KEEP_PAST_DAYS,
+    apply_retention,
+    read_logs,
     retention_test,
-    with_day,
+    write_logs,
 )
-from timberline.sources.otlp import READ_SCHEMA, flatten_otlp
+from timberline.sources.otlp import READ_SCHEMA, broken_documents, flatten_otlp
 
-#: Flush interval and size of the load. Fixed values.
+#: Flush interval of the load. Fixed value.
 FLUSH_INTERVAL = "5 seconds"
-FLUSH_RECORDS = 5000
+#: Files one micro-batch takes at most, so that the first one after a stop is not the backlog.
+MAX_FILES = 1000
 
 
-def read_stream(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
-    """Log rows from a folder that export documents are dropped into."""
+def read_documents(
+    spark: SparkSession, source: str, max_files: int | None = MAX_FILES
+) -> DataFrame:
+    """Export documents from a folder they are dropped into; broken ones keep their text."""
     reader = spark.readStream.schema(READ_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return flatten_otlp(reader.json(source))
+    return reader.json(source)
+
+
+def read_stream(
+    spark: SparkSession, source: str, max_files: int | None = MAX_FILES
+) -> DataFrame:
+    """Log rows from a folder that export documents are dropped into."""
+    return flatten_otlp(read_documents(spark, source, max_files))
 
 
 def within_retention(
@@ -42,15 +56,64 @@ def within_retention(
 
 
 def dedupe_stream(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Drops records that are sent again within the lateness.
+    """Drops records that arrive again within ``lateness`` of their first arrival.
 
-    State is kept per record key for that long, spread by the hash of the key.
+    The watermark follows the time of arrival, not the records' own time, so late and
+    future-dated records are all kept and none can push others out. State is one key per
+    record and kept for that long, spread by the hash of the key; on disk where the session has
+    the RocksDB state store.
     """
-    return stream.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(
-        ["timestamp", "log_id"]
+    arrived = "arrived_at"
+    while arrived in stream.columns:
+        arrived += "_"
+    return (
+        stream.withColumn(arrived, F.current_timestamp())
+        .withWatermark(arrived, lateness)
+        .dropDuplicatesWithinWatermark(["timestamp", "log_id"])
+        .drop(arrived)
     )
 
 
+def _publish(spark: SparkSession, staging: str, target: str, prefix: str) -> None:
+    """Move the files of a staged batch into the table, replacing what it left there before."""
+    jvm = spark.sparkContext._jvm
+    new = jvm.org.apache.hadoop.fs.Path
+    fs = new(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in fs.globStatus(new(f"{target}/{DAY}=*/{prefix}*")) or []:
+        fs.delete(old.getPath(), False)
+    for part in fs.globStatus(new(f"{staging}/{DAY}=*/*.parquet")) or []:
+        day = part.getPath().getParent().getName()
+        fs.mkdirs(new(f"{target}/{day}"))
+        if not fs.rename(part.getPath(), new(f"{target}/{day}/{prefix}{part.getPath().getName()}")):
+            raise OSError(f"could not move {part.getPath().toString()}")
+    fs.delete(new(staging), True)
+
+
+def append_batch(batch: DataFrame, target: str, name: str, compression: str = "lz4_raw") -> None:
+    """Append one batch to the table as ``write_logs`` does; under the same name it replaces itself.
+
+    Files are staged beside the table and then moved into their days, so readers and batch
+    appends see one plain table without a commit log.
+    """
+    staging = f"{target}/_staging/{name}"
+    write_logs(batch, staging, compression, mode="overwrite")
+    _publish(batch.sparkSession, staging, target, f"{name}-")
+
+
+def _start(
+    stream: DataFrame, load, checkpoint: str, trigger: str, available_now: bool
+) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=trigger).start()
+
+
+def _name(checkpoint: str, batch_id: int) -> str:
+    """Name of a batch: the same when it runs again, another for every other stream."""
+    return f"s{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+
+
 def write_stream(
     stream: DataFrame,
     target: str,
@@ -59,22 +122,16 @@ def write_stream(
     available_now: bool = False,
     compression: str = "lz4_raw",
 ) -> StreamingQuery:
-    """Append a stream of log rows to the day-partitioned table, exactly once."""
-    writer = (
-        with_day(stream)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(DAY)
-        .option("compression", compression)
-        .option("checkpointLocation", checkpoint)
-        .option("path", target)
-    )
-    writer = (
-        writer.trigger(availableNow=True)
-        if available_now
-        else writer.trigger(processingTime=trigger)
-    )
-    return writer.start()
+    """Append a stream of log rows to the day-partitioned table, exactly once.
+
+    Batches have the layout of ``write_logs`` and mix with its appends; expired days can be
+    dropped meanwhile.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, target, _name(checkpoint, batch_id), compression)
+
+    return _start(stream, load, checkpoint, trigger, available_now)
 
 
 def stream_logs(
@@ -83,10 +140,56 @@ def stream_logs(
     target: str,
     checkpoint: str,
     trigger: str = FLUSH_INTERVAL,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
     available_now: bool = False,
+    quarantine: str | None = None,
+    as_of: str | Column | None = None,
+    past: int = KEEP_PAST_DAYS,
+    future: int = ACCEPT_FUTURE_DAYS,
 ) -> StreamingQuery:
-    """Documents in, table rows out, in micro-batches; every record is kept."""
-    return write_stream(
-        read_stream(spark, source, max_files), target, checkpoint, trigger, available_now
-    )
+    """Documents in, table rows out, in micro-batches.
+
+    With a ``quarantine`` folder the table's retention is applied as of each batch (or of
+    ``as_of``): rows without a place in the table go to ``quarantine/rows`` and text that is no
+    document to ``quarantine/documents``, each with its batch. Without one every record is kept.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        name = _name(checkpoint, batch_id)
+        documents = batch.persist()
+        try:
+            rows = flatten_otlp(documents)
+            if quarantine is not None:
+                parts = apply_retention(
+                    rows, F.current_timestamp() if as_of is None else as_of, past, future
+                )
+                rows = parts.kept
+                for kind, bad in (("rows", parts.rejected), ("documents", broken_documents(documents))):
+                    bad.write.mode("overwrite").parquet(f"{quarantine}/{kind}/batch={name}")
+            append_batch(rows, target, name)
+        finally:
+            documents.unpersist()
+
+    return _start(read_documents(spark, source, max_files), load, checkpoint, trigger, available_now)
+
+
+def compact_day(spark: SparkSession, path: str, day: str) -> int:
+    """Rewrite a day of the table into few sorted files; returns how many files it had.
+
+    For days that streams no longer write to, the table being read by nobody meanwhile.
+    """
+    jvm = spark.sparkContext._jvm
+    new = jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.globStatus(new(f"{path}/{DAY}={day}/*.parquet")) or []]
+    if len(files) < 2:
+        return len(files)
+    rows = read_logs(spark, path).where(F.col(DAY) == F.lit(day).cast("date")).drop(DAY)
+    staging = f"{path}/_staging/compact-{day}"
+    write_logs(rows, staging, mode="overwrite")
+    for part in fs.globStatus(new(f"{staging}/{DAY}={day}/*.parquet")) or []:
+        fs.rename(part.getPath(), new(f"{path}/{DAY}={day}/compact-{part.getPath().getName()}"))
+    for old in files:
+        fs.delete(old, False)
+    fs.delete(new(staging), True)
+    return len(files)

@@ -17,15 +17,28 @@ from timberline.operators.patterns import (
 )
 
 
+def ahead_of_time(stream: DataFrame, ahead: str = "1 hour") -> DataFrame:
+    """Records dated further ahead of their arrival than ``ahead``; see :func:`stream_volume`."""
+    return stream.where(F.col("timestamp") > F.current_timestamp() + F.expr(f"INTERVAL {ahead}"))
+
+
 def stream_volume(
-    stream: DataFrame, width: str = "1h", lateness: str = "10 minutes", keys: Sequence[str] = ()
+    stream: DataFrame,
+    width: str = "1h",
+    lateness: str = "10 minutes",
+    keys: Sequence[str] = (),
+    ahead: str = "1 hour",
 ) -> DataFrame:
     """Records per time bucket (and key) of a stream.
 
-    In append mode a bucket comes out once, when the watermark passes its end.
+    In append mode a bucket comes out once, when the watermark passes its end. Records dated
+    further ahead than ``ahead`` would close all buckets at once; they are not counted here but
+    are what :func:`ahead_of_time` gives. Records later than ``lateness`` are counted by the
+    query's progress as dropped by the watermark.
     """
     counts = (
-        stream.withWatermark("timestamp", lateness)
+        stream.where(F.col("timestamp") <= F.current_timestamp() + F.expr(f"INTERVAL {ahead}"))
+        .withWatermark("timestamp", lateness)
         .groupBy(*keys, bucket_window("timestamp", width).alias("w"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
