@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections import Counter, defaultdict
 
-import xxhash
-
 WILD = "<*>"
 
 
@@ -19,53 +16,48 @@ def skeleton(line: str) -> str:
     return " ".join(WILD if has_digit(t) else t for t in line.split(" "))
 
 
-def greedy(entries: list[tuple[str, int]], sim_th: float) -> dict[str, str]:
-    clusters: list[list[str]] = []
-    member: dict[str, int] = {}
-    for text, _ in sorted(entries, key=lambda e: (-e[1], e[0])):
-        row = text.split(" ")
-        best, best_key = -1, None
-        for i, c in enumerate(clusters):
-            same = sum(1 for a, b in zip(c, row) if a == b and a != WILD)
-            key = (same, c.count(WILD))
-            if same / len(row) >= sim_th and (best_key is None or key > best_key):
-                best, best_key = i, key
-        if best < 0:
-            clusters.append(row)
-            best = len(clusters) - 1
-        else:
-            clusters[best] = [a if a == b else WILD for a, b in zip(clusters[best], row)]
-        member[text] = best
-    return {text: " ".join(clusters[i]) for text, i in member.items()}
+def led(entries: list[tuple[str, int]], sim_th: float) -> dict[str, str]:
+    """Entry -> template: leaders in order, every other entry with the leader it is most alike."""
+    order = [text.split(" ") for text, _ in sorted(entries, key=lambda e: (-e[1], e[0]))]
 
+    def same(a: list[str], b: list[str]) -> int:
+        return sum(1 for x, y in zip(a, b) if x == y != WILD)
 
-def slice_of(text: str, turn: int, slices: int) -> int:
-    seed = xxhash.xxh64(text.encode(), seed=42).intdigest()
-    value = xxhash.xxh64(struct.pack("<i", turn), seed=seed).intdigest()
-    return (value - (1 << 64) if value >= 1 << 63 else value) % slices
+    leaders: list[list[str]] = []
+    for row in order:
+        if all(same(row, x) / len(row) < sim_th for x in leaders):
+            leaders.append(row)
+    members: dict[int, list[list[str]]] = defaultdict(list)
+    for row in order:
+        if row in leaders:
+            members[leaders.index(row)].append(row)
+        else:
+            members[max(range(len(leaders)), key=lambda i: (same(row, leaders[i]), -i))].append(row)
+    out = {}
+    for rows in members.values():
+        template = " ".join(c[0] if len(set(c)) == 1 else WILD for c in zip(*rows))
+        out.update({" ".join(r): template for r in rows})
+    return out
 
 
 def mine(lines: list[str], config) -> dict[str, str]:
     """Masked line -> template."""
-    slots = defaultdict(set)
+    values = defaultdict(set)
     for line in lines:
         plain = skeleton(line)
         for pos, (token, p) in enumerate(zip(line.split(" "), plain.split(" "))):
             if p == WILD:
-                slots[plain, pos].add(xxhash.xxh64(token.encode(), seed=42).intdigest() % 64)
+                values[plain, pos].add(token)
     params = defaultdict(set)
-    for (plain, pos), seen in slots.items():
-        if len(seen) > config.literal_slots:
+    for (plain, pos), seen in values.items():
+        if len(seen) > config.literal_values:
             params[plain].add(pos)
 
     entry_of = {}
     for line in set(lines):
         wild = params.get(skeleton(line), set())
         tokens = line.split(" ")
-        merges = wild and (len(tokens) - len(wild)) / len(tokens) >= config.sim_th
-        entry_of[line] = (
-            " ".join(WILD if i in wild else t for i, t in enumerate(tokens)) if merges else line
-        )
+        entry_of[line] = " ".join(WILD if i in wild else t for i, t in enumerate(tokens))
     weights = Counter(entry_of[line] for line in lines)
 
     lead = {}
@@ -89,33 +81,8 @@ def mine(lines: list[str], config) -> dict[str, str]:
                 step[e] = [*bucket[e], t if t in kept.get(tuple(bucket[e]), set()) else WILD]
         bucket.update(step)
 
-    mapping = {e: e for e in weights}
-    current = {(tuple(bucket[e]), e): w for e, w in weights.items()}
-    turn = 0
-    while True:
-        groups = defaultdict(list)
-        per_bucket = Counter(b for b, _ in current)
-        before = 0
-        large = set()
-        for b, size in per_bucket.items():
-            room = max(2, min(config.slice_size, config.slice_tokens // int(b[0])))
-            if size > room:
-                before += size
-                large.add(b)
-        for (b, text), w in current.items():
-            room = max(2, min(config.slice_size, config.slice_tokens // int(b[0])))
-            part = slice_of(text, turn, -(-per_bucket[b] // room)) if b in large else 0
-            groups[b, part].append((text, w))
-        hop = {}
-        merged = Counter()
-        for (b, _), members in groups.items():
-            found = greedy(members, config.sim_th)
-            for text, w in members:
-                hop[b, text] = found[text]
-                merged[b, found[text]] += w
-        mapping = {e: hop[tuple(bucket[e]), m] for e, m in mapping.items()}
-        current = dict(merged)
-        turn += 1
-        if not before or sum(1 for b, _ in current if b in large) > 0.9 * before:
-            break
-    return {line: mapping[entry_of[line]] for line in entry_of}
+    groups = defaultdict(list)
+    for e, w in weights.items():
+        groups[tuple(bucket[e])].append((e, w))
+    template = {e: t for members in groups.values() for e, t in led(members, config.sim_th).items()}
+    return {line: template[entry_of[line]] for line in entry_of}

@@ -190,5 +190,3 @@ def test_whole_questions(spark, logs):
     assert series.first()["bucket"] == "1h"
     samples = plans.pattern_sample_report(mined, 3, top["pattern_id"]).collect()
     assert len(samples) == 3 and samples[0]["total_matched"] == top["count"]
-    capped = plans.pattern_report(logs, max_logs=100)
-    assert capped.analysed.first()["logs_analysed"] == 100

@@ -49,7 +49,7 @@ def random_lines(seed: int, n: int = 400) -> list[str]:
 CONFIGS = [
     MiningConfig(),
     MiningConfig(sim_th=0.3, depth=4),
-    MiningConfig(sim_th=0.7, depth=3, literal_slots=4),
+    MiningConfig(sim_th=0.7, depth=3, literal_values=4),
     MiningConfig(max_children=3),
     MiningConfig(depth=5, slice_size=6),
     MiningConfig(sim_th=0.4, depth=4, slice_tokens=20, max_children=4),
@@ -69,6 +69,24 @@ def test_mining_equals_single_process(spark, config):
     assert {r["template"]: r["count"] for r in model.patterns.collect()} == dict(want)
 
 
+def test_slice_size_changes_nothing(spark):
+    bodies = random_lines(17, 500) + [f"{i} {i * 7} {i % 13}.5 {i * 3}" for i in range(300)]
+    results = set()
+    for size in (2, 10, 50, 4000):
+        model = P.mine_patterns(table(spark, bodies), config=MiningConfig(depth=4, slice_size=size))
+        results.add(tuple(sorted((r["template"], r["count"]) for r in model.patterns.collect())))
+    assert len(results) == 1
+    twenty = P.mine_patterns(table(spark, bodies * 20), config=MiningConfig(depth=4, slice_size=10))
+    assert sorted((r["template"], r["count"] // 20) for r in twenty.patterns.collect()) == list(results.pop())
+
+
+def test_border_of_distinct_values(spark):
+    bodies = [f"n{i} of kind a" for i in range(16)] * 2 + [f"n{i} of kind b c" for i in range(17)] * 2
+    model = P.mine_patterns(table(spark, bodies), config=MiningConfig(sim_th=1.0))
+    templates = {r["template"] for r in model.patterns.collect()}
+    assert "<*> of kind b c" in templates and "<*> of kind a" not in templates and len(templates) == 17
+
+
 def test_fixture_equals_single_process(spark, logs):
     config = MiningConfig()
     model = P.mine_patterns(logs, config=config)
@@ -150,7 +168,7 @@ def test_match_equals_brute_force(spark):
 
 def test_samples_are_the_newest(spark):
     logs = table(spark, [f"hot {i}" for i in range(50)] + ["cold x y"] * 3)
-    model = P.mine_patterns(logs, config=MiningConfig(literal_slots=4))
+    model = P.mine_patterns(logs, config=MiningConfig(literal_values=4))
     assigned = P.assign_patterns(logs, model)
     for totals in (None, model.patterns):
         rows = P.pattern_samples(assigned, 4, totals=totals).orderBy("pattern_id", "rank").collect()

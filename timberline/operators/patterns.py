@@ -1,19 +1,17 @@
 """Log patterns: templates of masked lines with stable, content-derived ids.
 
-Mining runs in three distributed steps and never ships raw lines to Python unless
-nothing else can tell them apart:
-
-1. *Profiles*. A line's skeleton has the wildcard for every token with a digit. For each
-   (skeleton, position) the values are summed up in a 64-bit sketch of hash slots, which
-   combines before the shuffle. Positions with few values stay literal, the others are
-   parameters.
-2. *Entries*. Lines with their parameters generalised are counted. Where a skeleton keeps
-   fewer literals than ``sim_th`` asks for, two of its lines need not be similar, and the
-   lines stand for themselves.
-3. *Templates*. Entries are placed in buckets by length and leading tokens, and clustered
-   by similarity inside each bucket, in slices of bounded size. A bucket larger than a
-   slice is dealt to slices by hash, and clustered again until it fits in one slice or
-   no longer shrinks.
+Mining runs in three distributed steps and ships no raw lines to Python:
+
+1. *Profiles*. A line's skeleton has the wildcard for every token with a digit. Positions with
+   more than a few distinct values are parameters: a 64-bit sketch of hash slots per
+   (skeleton, position), which combines before the shuffle, settles those with many, and the
+   values of the others are counted.
+2. *Entries*. Lines with their parameters generalised are counted.
+3. *Templates*. Entries are placed in buckets by length and leading tokens, and join leaders by
+   similarity inside each bucket. A bucket larger than one task takes is settled in rounds: the
+   heaviest open entries are decided, and all others compared with the new leaders in parallel,
+   until none is open. The size of a round changes the speed and not the result. A template
+   keeps the tokens all members of a leader agree on.
 
 Each step depends on the set of lines only, not on their order or partitioning.
 """
@@ -22,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +55,7 @@ MAX_SAMPLES = 20
 class PatternModel:
     """Result of mining: the patterns and what leads a line to its pattern.
 
-    profiles  skeleton -> parameter positions, and whether its lines are merged
+    profiles  skeleton -> parameter positions
     entries   entry text -> pattern
     patterns  one row per pattern with counts, labels and first and last time
     """
@@ -87,7 +84,7 @@ def _lines(logs: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
 
 
 def skeleton_profiles(lines: DataFrame, config: MiningConfig) -> DataFrame:
-    """Parameter positions of every skeleton that has any: ``skeleton, params, merged``."""
+    """Parameter positions of every skeleton that has any: ``skeleton, params``."""
     values = F.zip_with(
         line_tokens(F.col("masked")),
         line_tokens(F.col("skeleton")),
@@ -98,25 +95,30 @@ def skeleton_profiles(lines: DataFrame, config: MiningConfig) -> DataFrame:
     )
     slot = F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)
-    sketches = at.groupBy("skeleton", "pos").agg(F.bit_or(bit).alias("slots"))
-    params = (
-        sketches.where(F.bit_count("slots") > config.literal_slots)
-        .groupBy("skeleton")
-        .agg(F.sort_array(F.collect_list("pos")).alias("params"))
+    sketches = materialize(
+        at.groupBy("skeleton", "pos").agg(F.bit_or(bit).alias("slots"), F.count("*").alias("n")),
+        "sketches",
     )
-    length = F.size(line_tokens(F.col("skeleton")))
-    return params.withColumn(
-        "merged", (length - F.size("params")) / length >= F.lit(config.sim_th)
+    filled = F.bit_count("slots")
+    many = sketches.where(filled > config.literal_values)
+    few = sketches.where((filled <= config.literal_values) & (F.col("n") > config.literal_values))
+    counted = (
+        at.join(few.select("skeleton", "pos"), ["skeleton", "pos"])
+        .groupBy("skeleton", "pos")
+        .agg(F.count_distinct("token").alias("values"))
+        .where(F.col("values") > config.literal_values)
     )
+    params = many.select("skeleton", "pos").union(counted.select("skeleton", "pos"))
+    return params.groupBy("skeleton").agg(F.sort_array(F.collect_list("pos")).alias("params"))
 
 
 def _with_entry(lines: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Adds ``entry``: the generalised line, or the line itself where nothing merges."""
+    """Adds ``entry``, the generalised line."""
     known = lines.join(profiles, "skeleton", "left")
-    entry = F.when(F.col("merged"), generalise(F.col("masked"), F.col("params"))).otherwise(
-        F.col("masked")
-    )
-    return known.withColumn("entry", entry).drop("params", "merged", "skeleton", "masked")
+    entry = F.when(
+        F.col("params").isNotNull(), generalise(F.col("masked"), F.col("params"))
+    ).otherwise(F.col("masked"))
+    return known.withColumn("entry", entry).drop("params", "skeleton", "masked")
 
 
 def _prefix(entry: Column, k: int) -> Column:
@@ -182,56 +184,67 @@ def _widest_node(placed: DataFrame, k: int) -> int:
     return branches.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
 
-def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
-    """``source, template`` for every entry; entries come as ``bucket, n, source, weight``."""
+def _leaders(placed: DataFrame, config: MiningConfig) -> DataFrame:
+    """``bucket, source, leader`` for every entry; entries come as ``bucket, n, source, weight``."""
     room = F.greatest(
         F.lit(2), F.least(F.lit(config.slice_size), F.floor(F.lit(config.slice_tokens) / F.col("n")))
     )
-    steps: list[DataFrame] = []
-    current = placed
-    while True:
-        turn = len(steps)
-        sizes = current.groupBy("bucket", "n").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > room).select(
-            "bucket", F.ceil(F.col("size") / room).alias("slices"), "size"
+    placed = materialize(placed.select("bucket", "n", "source", "weight"), "placed")
+    sizes = placed.groupBy("bucket", "n").agg(F.count(F.lit(1)).alias("size"))
+    large = materialize(
+        sizes.where(F.col("size") > room).select(
+            "bucket", room.cast("int").alias("room"), F.ceil(F.col("size") / room).alias("slices")
+        ),
+        "large",
+    )
+    small = placed.join(large, "bucket", "left_anti").groupBy("bucket").applyInPandas(
+        clustering.bucket_clusterer(config.sim_th), clustering.MEMBER_SCHEMA
+    )
+    state = placed.join(large.select("bucket"), "bucket", "left_semi").select(
+        "bucket", "n", "source", "weight", F.lit(True).alias("open"), F.lit(0).alias("same"),
+        F.lit(None).cast("string").alias("leader"),
+    )
+    heaviest = W.partitionBy("bucket").orderBy(F.col("weight").desc(), "source")
+    dealt = F.pmod(F.xxhash64("source"), F.col("slices"))
+    while not large.isEmpty():
+        state = materialize(state, "forms")
+        if state.where("open").isEmpty():
+            break
+        heads = (
+            state.where("open")
+            .withColumn("rank", F.row_number().over(heaviest))
+            .where(F.col("rank") <= config.slice_size)
+            .join(large, "bucket")
+            .where(F.col("rank") <= F.col("room"))
+            .select("bucket", "source", "weight")
+            .groupBy("bucket")
+            .applyInPandas(clustering.head_chooser(config.sim_th), clustering.LEADER_SCHEMA)
         )
-        before = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if before:
-            hashed = F.pmod(F.xxhash64(F.col("source"), F.lit(turn)), F.col("slices"))
-            dealt = current.join(large, "bucket", "left").withColumn(
-                "slice", F.coalesce(hashed, F.lit(0))
-            )
-        else:
-            dealt = current.withColumn("slice", F.lit(0))
-        mapping = materialize(
-            dealt.select("bucket", "slice", "source", "weight")
-            .groupBy("bucket", "slice")
-            .applyInPandas(
-                clustering.slice_clusterer(config.sim_th), clustering.SLICE_SCHEMA
-            ),
-            "clusters",
+        heads = materialize(heads, "leaders").join(large, "bucket").withColumn(
+            "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))
         )
-        steps.append(mapping)
-        if not before:
-            break
-        merged = (
-            current.join(mapping, ["bucket", "source"])
-            .groupBy("bucket", "n", "template")
-            .agg(F.sum("weight").alias("weight"))
-            .withColumnRenamed("template", "source")
+        forms = state.join(large, "bucket").withColumn("slice", dealt)
+        state = (
+            forms.groupBy("bucket", "slice")
+            .cogroup(heads.select("bucket", "slice", "source", "turn").groupBy("bucket", "slice"))
+            .applyInPandas(clustering.comparer(config.sim_th), clustering.STATE_SCHEMA)
         )
-        was_large = materialize(large.select("bucket"), "large")
-        current = materialize(merged, "templates")
-        if current.join(was_large, "bucket", "left_semi").count() > 0.9 * before:
-            break
+    return small.union(state.select("bucket", "source", "leader"))
 
-    def chain(first: DataFrame, then: DataFrame) -> DataFrame:
-        hop = then.select("bucket", F.col("source").alias("template"), F.col("template").alias("_to"))
-        return first.join(hop, ["bucket", "template"]).select(
-            "bucket", "source", F.col("_to").alias("template")
-        )
 
-    return reduce(chain, steps).select("source", "template")
+def _cluster(placed: DataFrame, config: MiningConfig) -> DataFrame:
+    """``source, template`` for every entry: the tokens that all entries of a leader share."""
+    led = materialize(_leaders(placed, config), "clusters")
+    agreed = (
+        led.select("bucket", "leader", F.posexplode(line_tokens(F.col("source"))).alias("pos", "token"))
+        .groupBy("bucket", "leader", "pos")
+        .agg(F.min("token").alias("low"), F.max("token").alias("high"))
+        .withColumn("token", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILD))
+        .groupBy("bucket", "leader")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("tokens"))
+        .select("bucket", "leader", F.array_join("tokens.token", " ").alias("template"))
+    )
+    return led.join(agreed, ["bucket", "leader"]).select("source", "template")
 
 
 def mine_patterns(
@@ -242,8 +255,8 @@ def mine_patterns(
     """Mine the templates of all non-empty bodies; no row is left out.
 
     Runs the scans described above and keeps the small results as tables in the shared
-    checkpoint folder. The logs are read twice and never shuffled: both scans reduce to
-    skeletons and entries first.
+    checkpoint folder. The logs are read three times: for sketches, for the values of positions
+    with few, and for the entries.
     """
     chosen = select_masks(masks)
     profiles = materialize(skeleton_profiles(_lines(logs, chosen), config), "profiles")

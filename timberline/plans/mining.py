@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from timberline.functions.scalars import width_name
 from timberline.operators.filters import Moment, filter_logs
-from timberline.operators.paging import cap_rows
 from timberline.operators.patterns import (
     PatternModel,
     assign_patterns,
@@ -52,18 +51,15 @@ def pattern_report(
     severity: str = "",
     min_count: int = 2,
     limit: int = 50,
-    max_logs: int | None = None,
     masks: Iterable[str] | None = None,
     config: MiningConfig = MiningConfig(),
 ) -> PatternReport:
     """Mine the filtered logs and list their largest patterns.
 
-    All matching logs are mined; ``max_logs`` restricts that to the newest ones on
-    request. ``analysed`` counts the records looked at, those with a body and not.
+    All matching logs are mined. ``analysed`` counts the records looked at, those with a
+    body and not.
     """
     chosen = filter_logs(logs, start=start, end=end, service=service, severity=severity)
-    if max_logs is not None:
-        chosen = cap_rows(chosen, max_logs)
     model = mine_patterns(chosen, masks, config)
     bodies = model.patterns.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
     analysed = chosen.agg(F.count(F.lit(1)).alias("logs_analysed")).withColumn(

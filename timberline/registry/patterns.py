@@ -15,9 +15,7 @@ from timberline.sources.scratch import scratch_path
 from timberline.streaming.live import stream_match
 
 # --- mining -----------------------------------------------------------------------------
-# The check SQL states the definition with plain counts and one recursion per bucket. It
-# counts distinct values where mining fills hash slots, which comes to the same where no
-# position has a number of values near the limit; the tests compare the exact definition.
+# The check SQL states the definition with plain counts and one recursion per bucket.
 
 SKELETON_CTE = """skel AS (SELECT *, array_to_string(list_transform(string_split(masked, ' '),
   lambda t: CASE WHEN regexp_matches(regexp_replace(t, '<[A-Z_0-9]+>', '', 'g'), '[0-9]')
@@ -36,7 +34,6 @@ params AS (
 entered AS (
   SELECT skel.* EXCLUDE (template), CASE
     WHEN params IS NOT NULL
-         AND 1 - len(params) / CAST(len(string_split(masked, ' ')) AS DOUBLE) >= 0.5
     THEN array_to_string(list_transform(range(len(string_split(masked, ' '))), lambda i:
          CASE WHEN list_contains(params, i) THEN '<*>' ELSE string_split(masked, ' ')[i + 1] END), ' ')
     ELSE masked END AS entry
@@ -51,30 +48,34 @@ weighed AS (
 turns AS (
   SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY w DESC, entry) AS i FROM weighed),
 walk AS (
-  SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS known,
-         CAST(-1 AS BIGINT) AS member
+  SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS known
   FROM turns
   UNION ALL
-  SELECT bucket, i,
-         CASE WHEN j IS NULL THEN list_append(known, t)
-              ELSE list_transform(range(len(known)), lambda x: CASE WHEN x = j
-                   THEN list_transform(range(len(t)), lambda p:
-                        CASE WHEN known[x + 1][p + 1] = t[p + 1] THEN t[p + 1] ELSE '<*>' END)
-                   ELSE known[x + 1] END) END,
-         coalesce(j, len(known))
-  FROM (SELECT *, CASE WHEN (best // 1000000) / CAST(len(t) AS DOUBLE) >= 0.5
-                       THEN 999 - best % 1000 END AS j
-        FROM (SELECT turns.bucket, turns.i, turns.t, walk.known,
-                     list_max(list_transform(range(len(known)), lambda x:
-                       1000000 * len(list_filter(range(len(turns.t)), lambda p:
-                         known[x + 1][p + 1] = turns.t[p + 1] AND turns.t[p + 1] <> '<*>'))
-                       + 1000 * len(list_filter(known[x + 1], lambda c: c = '<*>')) + 999 - x)) AS best
-              FROM walk JOIN turns ON turns.bucket = walk.bucket AND turns.i = walk.i + 1))),
+  SELECT turns.bucket, turns.i,
+         CASE WHEN coalesce(list_max(list_transform(range(len(known)), lambda x:
+                len(list_filter(range(len(turns.t)), lambda p:
+                  known[x + 1][p + 1] = turns.t[p + 1] AND turns.t[p + 1] <> '<*>')))), 0)
+              / CAST(len(turns.t) AS DOUBLE) >= 0.5
+         THEN known ELSE list_append(known, turns.t) END
+  FROM walk JOIN turns ON turns.bucket = walk.bucket AND turns.i = walk.i + 1),
 ends AS (SELECT bucket, arg_max(known, i) AS known FROM walk GROUP BY bucket),
+joined AS (
+  SELECT turns.bucket, turns.entry, turns.t,
+         CASE WHEN list_contains(known, turns.t) THEN list_position(known, turns.t)
+              ELSE 1000000 - list_max(list_transform(range(len(known)), lambda x:
+                1000000 * len(list_filter(range(len(turns.t)), lambda p:
+                  known[x + 1][p + 1] = turns.t[p + 1] AND turns.t[p + 1] <> '<*>'))
+                + 999999 - x)) % 1000000 END AS leader
+  FROM turns JOIN ends ON ends.bucket = turns.bucket),
+agreed AS (
+  SELECT bucket, leader, string_agg(token, ' ' ORDER BY pos) AS template FROM (
+    SELECT bucket, leader, pos, CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS token
+    FROM (SELECT bucket, leader, unnest(range(len(t))) AS pos, unnest(t) AS token FROM joined)
+    GROUP BY bucket, leader, pos)
+  GROUP BY bucket, leader),
 found AS (
-  SELECT turns.entry, array_to_string(ends.known[walk.member + 1], ' ') AS template
-  FROM turns JOIN walk ON walk.bucket = turns.bucket AND walk.i = turns.i
-  JOIN ends ON ends.bucket = turns.bucket),
+  SELECT joined.entry, agreed.template
+  FROM joined JOIN agreed ON agreed.bucket = joined.bucket AND agreed.leader = joined.leader),
 mined AS (
   SELECT entered.*, found.template,
          md5(concat_ws('|', len(string_split(template, ' ')), template)) AS pattern_id
