@@ -313,24 +313,32 @@ def assign_patterns(logs: DataFrame, model: PatternModel) -> DataFrame:
 class PatternIndex:
     """Saved patterns made ready for matching.
 
-    A pattern's wildcard positions are its shape. ``known`` has the patterns with their
-    shapes, ``shapes`` the distinct shapes per line length.
+    ``cells`` has a row per length and first token (the wildcard among them) with the patterns by
+    their second token, so a line looks at four short lists.
     """
 
-    known: DataFrame
-    shapes: DataFrame
+    cells: DataFrame
 
 
 def index_patterns(patterns: DataFrame) -> PatternIndex:
     """Index patterns given by ``pattern_id`` and ``template``."""
-    known = patterns.select("pattern_id", "template").distinct().withColumns(
-        {
-            "shape": wild_positions(F.col("template")),
-            "n": token_count(F.col("template")),
-        }
+    tokens = line_tokens(F.col("template"))
+    known = patterns.select("pattern_id", "template").distinct().select(
+        F.size(tokens).alias("n"),
+        F.get(tokens, F.lit(0)).alias("first"),
+        F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("second"),
+        F.struct(
+            F.size(wild_positions(F.col("template"))).alias("wild"),
+            "pattern_id",
+            "template",
+            tokens.alias("tokens"),
+        ).alias("pattern"),
     )
-    known = materialize(known, "known")
-    return PatternIndex(known, materialize(known.select("n", "shape").distinct(), "shapes"))
+    lists = known.groupBy("n", "first", "second").agg(F.collect_list("pattern").alias("patterns"))
+    cells = lists.groupBy("n", "first").agg(
+        F.map_from_entries(F.collect_list(F.struct("second", "patterns"))).alias("cell")
+    )
+    return PatternIndex(materialize(cells, "cells"))
 
 
 def match_patterns(
@@ -340,30 +348,44 @@ def match_patterns(
 ) -> DataFrame:
     """New logs with the saved pattern that fits each, if any; fewest wildcards win.
 
-    A line with the wildcard put at the positions of a shape is equal to every template
-    of that shape it fits. So matching is an equi-join on text, with one candidate per
-    shape of the line's length, and no line is compared with a pattern it does not fit.
-    Distinct masked lines are matched once. The line map is written out, so that its size
-    decides how it is joined back.
+    Stateless: two joins with the index, map-side while it is below the broadcast threshold, and a
+    test of the patterns in the line's cells. Works on a stream as it does on a table.
     """
     chosen = select_masks(masks)
     index = patterns if isinstance(patterns, PatternIndex) else index_patterns(patterns)
-    lines = non_empty_body(logs).withColumn("masked", masked_line(F.col("body"), chosen))
-    distinct = lines.select("masked").distinct()
-    candidates = (
-        distinct.withColumn("n", token_count(F.col("masked")))
-        .join(index.shapes, "n")
-        .select("masked", generalise(F.col("masked"), F.col("shape")).alias("template"), "shape")
+    lines = non_empty_body(logs).withColumn(
+        "_tokens", line_tokens(masked_line(F.col("body"), chosen))
+    )
+    own = F.col("_tokens")
+    first = F.get(own, F.lit(0))
+    named = index.cells.where(F.col("first") != WILD)
+    open_ = index.cells.where(F.col("first") == WILD)
+    joined = lines.join(
+        named.select(F.col("n").alias("_n1"), "first", F.col("cell").alias("_named")),
+        (F.size(own) == F.col("_n1")) & (first == F.col("first")),
+        "left",
+    ).join(
+        open_.select(F.col("n").alias("_n2"), F.col("cell").alias("_open")),
+        F.size(own) == F.col("_n2"),
+        "left",
+    )
+    second = F.coalesce(F.get(own, F.lit(1)), F.lit(""))
+    lists = [F.try_element_at(c, t) for c in ("_named", "_open") for t in (second, F.lit(WILD))]
+    near = F.flatten(F.array_compact(F.array(*lists)))
+    fitting = F.filter(
+        near,
+        lambda p: F.forall(
+            F.zip_with(p["tokens"], own, lambda x, y: (x == WILD) | (x == y)), lambda fits: fits
+        ),
     )
-    hits = candidates.join(index.known.drop("n"), ["template", "shape"])
-    rank = F.struct(F.size("shape").alias("wild"), F.col("pattern_id"))
-    best = hits.groupBy("masked").agg(
-        F.min_by(F.struct("pattern_id", "template"), rank).alias("best")
+    best = F.array_min(
+        F.transform(fitting, lambda p: F.struct(p["wild"], p["pattern_id"], p["template"]))
     )
-    line_map = materialize(
-        best.select("masked", "best.pattern_id", "best.template"), "line_map"
+    return joined.select(*logs.columns, best.alias("_best")).select(
+        *logs.columns,
+        F.col("_best.pattern_id").alias("pattern_id"),
+        F.col("_best.template").alias("template"),
     )
-    return lines.join(line_map, "masked", "left").drop("masked")
 
 
 def list_patterns(model_or_patterns, min_count: int = 2, limit: int = 50) -> DataFrame:

@@ -64,9 +64,8 @@ def stream_match(
 ) -> StreamingQuery:
     """Match each micro-batch against saved patterns and append the result.
 
-    Choosing the best of several fitting patterns groups rows, which a stream could only
-    do with state, so each batch is matched as a batch. A batch that is run again replaces
-    its own folder.
+    Matching keeps no state and writes nothing but the result. A batch that is run again
+    replaces its own folder.
     """
     chosen = None if masks is None else tuple(masks)
     index = index_patterns(patterns)
