@@ -39,7 +39,7 @@ PAIRED = 3
 #: Parts beyond those that differences can touch; sets with more empty parts are treated apart.
 SLACK = 2
 #: Times that a task sends a signature on before it starts to spread it over ``SPREAD`` keys.
-FREQUENT, SPREAD, COUNTED = 32, 16, 400_000
+FREQUENT, SPREAD, COUNTED = 32, 16, 1 << 19
 #: Power of two of the bits that a filter of ids has at most (64 MB).
 FILTER_BITS = 29
 #: Classes of one signature that a task compares with each other, and texts with one of them.
@@ -77,10 +77,12 @@ class Shingler(dict):
             return np.zeros(0, _U)
         h = np.fromiter(map(self.__getitem__, words), _U, len(words))
         width = min(self.n, len(h))
-        out = np.full(len(h) - width + 1, width, _U)
-        for i in range(width):
-            out = _mix(out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-        return np.unique(out)
+        count = len(h) - width + 1
+        out = np.full(count, width, _U)
+        for i in range(width):  # words are hashed already; a mix of their sum is enough
+            out *= _U(0x9E3779B97F4A7C15)
+            out += h[i : count + i]
+        return np.unique(_mix(out))
 
 
 def class_of(features: np.ndarray) -> int:
@@ -88,8 +90,8 @@ def class_of(features: np.ndarray) -> int:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """Parity of the features in each slot, as bits; at least four slots for each feature."""
-    slots = 1 << max(10, (4 * len(features) - 1).bit_length())
+    """Parity of the features in each slot, as bits; at least two slots for each feature."""
+    slots = 1 << max(9, (2 * len(features) - 1).bit_length())
     place = (features & _U(slots - 1)).astype(np.intp)
     odd = (np.bincount(place, minlength=slots) & 1).astype(np.uint8)
     return np.packbits(odd).tobytes()
@@ -192,11 +194,13 @@ def shared_signatures(
     """``(sig, class)``: signatures that more than one class has.
 
     A task sends each class on once. Signatures it meets often go to several keys, always after
-    the first ones have gone to the plain key, where they are seen to be shared.
+    the first ones have gone to the plain key, where they are seen to be shared. It counts them
+    in a table of fixed size, where a newer signature takes the place of an older one.
     """
 
     def emit(batches):
-        shingles, sent, met = Shingler(n), set(), {}
+        shingles, sent = Shingler(n), set()
+        last, times = np.zeros(COUNTED, np.int64), np.zeros(COUNTED, np.int32)
         for batch in batches:
             sigs, salts, classes = [], [], []
             for t in batch.column(1).to_pylist():
@@ -204,17 +208,15 @@ def shared_signatures(
                 own = class_of(features)
                 if not len(features) or own in sent:
                     continue
-                if len(sent) >= COUNTED:
+                if len(sent) >= MEMO:
                     sent.clear()
                 sent.add(own)
-                found = np.unique(signatures(features, percent))
-                salt = np.zeros(len(found), np.int32)
-                if len(met) >= COUNTED:
-                    met.clear()
-                for i, s in enumerate(found.tolist()):
-                    times = met[s] = met.get(s, 0) + 1
-                    if times > FREQUENT:
-                        salt[i] = 1 + own % SPREAD
+                found = signatures(features, percent)
+                # how often in a row a place of the table has seen this signature
+                place = found & (COUNTED - 1)
+                seen = np.where(last[place] == found, times[place] + 1, 1)
+                last[place], times[place] = found, seen
+                salt = np.where(seen > FREQUENT, 1 + own % SPREAD, 0).astype(np.int32)
                 sigs.append(found)
                 salts.append(salt)
                 classes.append(np.full(len(found), own, np.int64))
