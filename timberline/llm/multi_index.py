@@ -3,7 +3,8 @@
 Unit vectors are cut into two halves, each half is quantised by its own codebook, and a vector
 lives in the cell of its two centroids. A query visits cells by the sum of its two half distances,
 taken from a heap, until they hold enough entries; all entries visited are ranked by their exact
-cosine. How many entries are enough is measured: for a sample of queries the true neighbours are
+cosine. The nearest vectors of the codebooks' sample are candidates of every query, and a block of
+entries passes on only what is not below the last of them. How many entries are enough is measured: for a sample of queries the true neighbours are
 found by a full scan, and the traversal is made as long as those need.
 
 Codebooks (``train`` vectors) and the measurement (``probes`` queries) are fitted on bounded
@@ -80,15 +81,27 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def best_of(
-    queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: list[list[int]], k: int
+    queries: np.ndarray,
+    ids: np.ndarray,
+    vectors: np.ndarray,
+    own: list[list[int]],
+    k: int,
+    floors: np.ndarray | None = None,
 ) -> list[tuple[int, int, float]]:
-    """The k nearest of a block for each query: (query, vector, cosine); ``own`` are their ids."""
+    """The k nearest of a block for each query: (query, vector, cosine); ``own`` are their ids.
+
+    With ``floors``, only those that are not below the query's floor.
+    """
     scores = (queries @ vectors.T) / np.linalg.norm(queries, axis=1)[:, None]
     scores /= np.linalg.norm(vectors, axis=1)
     out = []
     keep = min(k + 1, len(own))  # one of them may be the query itself
-    for q, row in zip(ids, scores):
-        least = np.partition(row, len(row) - keep)[len(row) - keep]
+    if floors is None:
+        floors = np.full(len(ids), -2.0)
+    for q, row, floor in zip(ids, scores, floors):
+        if row.max() < floor:
+            continue
+        least = max(floor, np.partition(row, len(row) - keep)[len(row) - keep])
         found = [
             (-row[j], v) for j in np.flatnonzero(row >= least) for v in own[j] if v != q
         ]
@@ -203,6 +216,27 @@ def nearest(
         reach += [upto[c] for c in own.sort_values("rank")["cell"][:k]]
     enough = int(np.quantile(reach, recall, method="higher")) if reach else 1
 
+    # the nearest of the sample are candidates, and tell what the others have to reach
+    known = spark.sparkContext.broadcast(
+        (matrix(sample["vec"]), [list(map(int, x)) for x in sample["ids"]])
+    )
+
+    def among_sample(frames):
+        vectors, own = known.value
+        for frame in frames:
+            for i in range(0, len(frame), 200):
+                part = frame.iloc[i : i + 200]
+                best = best_of(matrix(part["vec"]), part["vec_id"].to_numpy(), vectors, own, k)
+                yield pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
+
+    asking = queries.repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    near = materialize(asking.mapInPandas(among_sample, RESULT), "near")
+    floors = (
+        near.groupBy(F.col("query_id").alias("vec_id"))
+        .agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        .select("vec_id", F.when(F.col("n") >= k, F.col("least") - 1e-9).alias("least"))
+    )
+
     # blocks of entries against blocks of queries; a full cell and a frequent query are split
     n_blocks = 1 + (queries.count() - 1) // BLOCK
     pieces = np.maximum(1, -(-sizes // BLOCK)).astype(int).tolist()
@@ -210,16 +244,16 @@ def nearest(
     def visit(frames):
         for frame in frames:
             out = []
-            for q, v, first, second in zip(
-                frame["vec_id"], frame["vec"], *halves(matrix(frame["vec"]))
+            for q, v, floor, first, second in zip(
+                frame["vec_id"], frame["vec"], frame["least"], *halves(matrix(frame["vec"]))
             ):
                 out += [
-                    (c, piece, int(q), v)
+                    (c, piece, int(q), v, floor)
                     for c, _ in traversal(first, second, sizes, enough)
                     for piece in range(pieces[c])
                 ]
             for i in range(0, len(out), 20_000):
-                yield pd.DataFrame(out[i : i + 20_000], columns=["cell", "piece", "query_id", "vec"])
+                yield pd.DataFrame(out[i : i + 20_000], columns=["cell", "piece", "query_id", "vec", "least"])
 
     split = spark.createDataFrame(
         [(c, n) for c, n in enumerate(pieces) if n > 1] or [(-1, 1)], "cell int, pieces int"
@@ -231,8 +265,12 @@ def nearest(
         .select("cell", "piece", "block", "vec", "ids")
     )
     asking = (
-        queries.repartition(spark.sparkContext.defaultParallelism, "vec_id")
-        .mapInPandas(visit, "cell int, piece int, query_id bigint, vec array<double>")
+        queries.join(floors, "vec_id", "left")
+        .withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        .repartition(spark.sparkContext.defaultParallelism, "vec_id")
+        .mapInPandas(
+            visit, "cell int, piece int, query_id bigint, vec array<double>, least double"
+        )
         .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
     )
 
@@ -242,8 +280,9 @@ def nearest(
             return pd.DataFrame([], columns=columns)
         own = [list(map(int, x)) for x in left["ids"]]
         best = best_of(
-            matrix(right["vec"]), right["query_id"].to_numpy(), matrix(left["vec"]), own, k
-        )
+            matrix(right["vec"]), right["query_id"].to_numpy(), matrix(left["vec"]), own, k,
+            right["least"].to_numpy(),
+        )
         return pd.DataFrame(best, columns=columns)
 
     on = ["cell", "piece", "block"]
@@ -251,6 +290,7 @@ def nearest(
         stored.groupBy(*on)
         .cogroup(asking.groupBy(*on))
         .applyInPandas(compare, RESULT)
+        .union(near)
         .groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(order).cast("int"))
