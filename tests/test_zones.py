@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.scalars import hour_label, iso_label, short_time
-from timberline.operators import filters, paging, parsing, stats
+from timberline import plans
+from timberline.operators import filters, paging, parsing, search, stats
 from timberline.sources import logs as table
 from timberline.sources.otlp import flatten_otlp, parse_otlp
 
@@ -117,3 +118,16 @@ def test_values_of_every_kind(spark):
     rows = flatten_otlp(parse_otlp(lines)).collect()
     assert sorted(str(r["body"]) for r in rows) == sorted(map(str, kinds.values()))
     assert all(r["log_attributes"]["k"] == r["body"] for r in rows)
+
+
+def test_page_by_index_equals_page_by_scan(spark, logs, tmp_path):
+    path = str(tmp_path / "table")
+    undated = logs.withColumn("timestamp", F.when(F.col("log_id") % 5 > 0, F.col("timestamp")))
+    table.write_logs(undated, path)
+    stored = table.read_logs(spark, path)
+    index = search.build_term_index(stored)
+    for q, mode in (("timed out", "MATCH_PHRASE"), ("error get", "MATCH_ANY"), ("re", "MATCH_PHRASE_PREFIX")):
+        want = plans.search_logs(stored, q, q_mode=mode, limit=50)
+        got = plans.search_logs(stored, q, q_mode=mode, limit=50, index=index)
+        assert got.total.first() == want.total.first()
+        assert [r["body"] for r in got.rows.collect()] == [r["body"] for r in want.rows.collect()]

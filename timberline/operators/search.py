@@ -155,5 +155,10 @@ def search_index(
     if DAY in keys:
         # As many values as the table has days.
         days = [r[0] for r in found.select(DAY).distinct().collect()]
-        logs = logs.where(F.col(DAY).isin(*days) if days else F.lit(False))
-    return logs.join(found, list(keys), "left_semi")
+        dated = [d for d in days if d is not None]
+        opened = F.col(DAY).isin(*dated) if dated else F.lit(False)
+        logs = logs.where(opened | F.col(DAY).isNull() if len(dated) < len(days) else opened)
+    hit = [f"_found_{k}" for k in keys]
+    # records without time are found by their other keys
+    same = [logs[k].eqNullSafe(F.col(h)) for k, h in zip(keys, hit)]
+    return logs.join(found.select(*[F.col(k).alias(h) for k, h in zip(keys, hit)]), same, "left_semi")

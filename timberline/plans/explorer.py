@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions.text import DEFAULT_MODE
 from timberline.operators.filters import Moment
 from timberline.operators.paging import DEFAULT_LIMIT, LogPage, log_page
+from timberline.operators.search import search_index
 from timberline.operators.stats import cards_of, hourly_volume, overview, services
 from timberline.sources.scratch import materialize
 
@@ -32,8 +33,15 @@ def search_logs(
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
     q_mode: str = DEFAULT_MODE,
+    index: DataFrame | None = None,
 ) -> LogPage:
-    """One page of matching records, newest first, and how many match in all."""
+    """One page of matching records, newest first, and how many match in all.
+
+    With a term index of the table (see ``operators.search``) the text is looked up there, with
+    the same result, and only records found are read.
+    """
+    if index is not None and q:
+        logs, q = search_index(index, logs, q, q_mode), ""
     return log_page(
         logs, limit, offset, q=q, mode=q_mode, severity=severity, service=service,
         start=start, end=end,
