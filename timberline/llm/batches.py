@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +13,13 @@ from pyspark.sql import types as T
 Maker = Callable[[], Callable[[list[str]], Sequence[pa.Array]]]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_texts(
     frame: DataFrame, key: str | Sequence[str], text: str, make: Maker, schema: str
 ) -> DataFrame:
@@ -35,7 +42,7 @@ def map_texts(
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(fields)], *work(texts)], names=full.names

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.llm.batches import slices
 from timberline.sources.scratch import materialize
 
 WINDOW = 10
@@ -173,7 +174,7 @@ def _scan(sent, window: int, final: bool, earlier: bool, names: list[str]):
             _PASSAGES.clear()
             _PASSAGES[label] = Passages(sent.value, window)
         passages = _PASSAGES[label]
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             plain = [normalised(t) for t in texts]
             hits = [passages.hits(p) for p in plain]

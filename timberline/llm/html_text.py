@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.batches import slices
 from timberline.llm.url_filter import host_of
 from timberline.sources.scratch import materialize
 
@@ -195,7 +196,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     names = [key, "url", "host", "blocks"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 [{"text": t, "hashes": h, "article": a or m} for t, h, a, m in page_blocks(x or "")]
                 for x in batch.column(3).to_pylist()

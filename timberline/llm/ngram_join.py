@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.batches import slices
 from timberline.llm.graph import components
 from timberline.sources.scratch import materialize
 
@@ -44,7 +45,7 @@ FREQUENT, SPREAD, COUNTED = 32, 16, 1 << 19
 FILTER_BITS = 29
 #: Classes of one signature that a task compares with each other, and texts with one of them.
 BLOCK, MEMBERS = 1024, 512
-MEMO = 400_000
+MEMO = 200_000
 
 _U = np.uint64
 
@@ -165,7 +166,7 @@ def document_sets(
 
     def run(batches):
         shingles = Shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -201,14 +202,14 @@ def shared_signatures(
     def emit(batches):
         shingles, sent = Shingler(n), set()
         last, times = np.zeros(COUNTED, np.int64), np.zeros(COUNTED, np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             sigs, salts, classes = [], [], []
             for t in batch.column(1).to_pylist():
                 features = shingles(t or "")
                 own = class_of(features)
                 if not len(features) or own in sent:
                     continue
-                if len(sent) >= MEMO:
+                if len(sent) >= COUNTED:
                     sent.clear()
                 sent.add(own)
                 found = signatures(features, percent)
@@ -362,7 +363,7 @@ def verified(
 
     def check(batches):
         shingles, at, whole = Shingler(n), None, None
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*(c.to_pylist() for c in batch.columns))
             a, b = [], []
             for to, block, member, own, t in rows:

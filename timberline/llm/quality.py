@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.batches import map_texts
+from timberline.llm.batches import map_texts, slices
 from timberline.sources.scratch import materialize
 
 #: Rows of the word table and of the shape table, and the size of a vector.
@@ -33,7 +33,7 @@ PLACES = 4
 SAMPLE = 20_000
 #: Partial tables that one task adds up.
 FAN_IN = 32
-MEMO = 300_000
+MEMO = 150_000
 FEATURES = 2 * DIM + 6
 
 _SHAPE = bytes(
@@ -94,7 +94,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         rows = WordRows()
         table = np.zeros(ROWS * DIM, np.int64)
         near, to, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 for ids in rows.of(t or ""):
                     near += [ids, ids[1:], ids[:-1]]
@@ -290,7 +290,7 @@ def accepted(
 
     def choose(batches):
         pool = pooler()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = network.score(pool(texts).astype(np.float64)) >= threshold
             yield batch.filter(pa.array(keep, pa.bool_()))

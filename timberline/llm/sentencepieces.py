@@ -15,7 +15,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from timberline.llm.batches import map_texts
+from timberline.llm.batches import map_texts, slices
 from timberline.llm.prefix_bpe import PrefixTable
 
 MARK = "▁"
@@ -167,7 +167,7 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
 
     def run(batches):
         decoder = model(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [decoder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string())], names=[key, "text"]

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.batches import slices
 from timberline.sources.scratch import materialize
 
 LENGTH = 400
@@ -99,7 +100,7 @@ def text_anchors(docs: DataFrame, length: int) -> DataFrame:
     half = length // 2
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             held = 0
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -155,7 +156,7 @@ def surroundings(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     names = ["bucket", "count", "id", "pos", "settled", "lead", "around"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for own, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "surrogatepass")
@@ -381,7 +382,7 @@ def remove_repeats(
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for own, t, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 data = t.encode("utf-8", "surrogatepass")
