@@ -25,7 +25,9 @@ from timberline.operators import filters, masking, paging, parsing, patterns, se
 from timberline.registry.base import AS_OF, END, START  # noqa: E402
 from timberline.registry.search import LOG_QUERIES  # noqa: E402
 from timberline.sources import logs as table  # noqa: E402
+from timberline.sources.otlp import to_otlp  # noqa: E402
 from timberline.sources.scratch import drop_scratch  # noqa: E402
+from timberline.streaming import ingest  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -37,15 +39,16 @@ def drain(df) -> None:
 
 
 def main() -> None:
+    folder = tempfile.mkdtemp(prefix="timberline-bench-")
     spark = build_session(
         "timberline-bench",
         f"local[{CPUS}]",
         spark__sql__shuffle__partitions=CPUS,
         spark__ui__enabled="false",
         spark__driver__memory="16g",
+        spark__checkpoint__dir=f"{folder}/shared",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    folder = tempfile.mkdtemp(prefix="timberline-bench-")
     seconds: dict[str, float] = {}
 
     def timed(name: str, run, repeats: int = REPEATS) -> None:
@@ -72,6 +75,10 @@ def main() -> None:
             paging.log_page(logs, 100, 0, severity="error", start=START, end=END).rows
         ),
     )
+    timed(
+        "deep_page",
+        lambda: drain(paging.log_page(logs, 100, int(0.7 * rows)).rows),
+    )
     timed("trace_lookup", lambda: drain(filters.by_trace(logs, "0a113ef6b61820daa5611c870ed8d5ee")))
     for mode, query in LOG_QUERIES.items():
         name = mode.removeprefix("MATCH_").lower()
@@ -103,6 +110,26 @@ def main() -> None:
         lambda: drain(patterns.pattern_samples(assigned, 10, totals=model.patterns)),
     )
     timed("match_patterns", lambda: drain(patterns.match_patterns(logs, model.patterns)))
+
+    to_otlp(source).write.json(f"{folder}/documents")
+    fresh_load, fresh_replay = itertools.count(), itertools.count()
+
+    def load() -> None:
+        n = next(fresh_load)
+        ingest.stream_logs(
+            spark, f"{folder}/documents", f"{folder}/loaded{n}", f"{folder}/load{n}", available_now=True
+        ).awaitTermination()
+
+    def replay() -> None:
+        n = next(fresh_replay)
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/sent")
+        ingest.write_stream(
+            ingest.dedupe_stream(stream), f"{folder}/once{n}", f"{folder}/seen{n}", available_now=True
+        ).awaitTermination()
+
+    source.write.parquet(f"{folder}/sent")
+    timed("stream_load", load)
+    timed("replay_filter", replay)
     drop_scratch(spark)
 
     whole = sum(seconds.values())
