@@ -239,3 +239,10 @@ def test_classifier_without_labels(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.score_documents(frame(["a", ""]), labels).collect()] == [0.5, 0.5]
     assert quality.score_documents(frame(["a"]).limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_labels_of_one_kind_reject_nothing(spark, frame, kind):
+    labels = spark.createDataFrame([(i, kind) for i in range(40)], "doc_id long, quality int")
+    docs = frame([f"text of its own {i}" for i in range(50)])
+    assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == list(range(50))

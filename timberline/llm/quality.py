@@ -164,6 +164,8 @@ class Network:
     w2: np.ndarray
     b2: float
     temperature: float = 1.0
+    #: Whether the rows it was fitted on were of both labels.
+    informed: bool = False
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -196,6 +198,7 @@ def fit_network(
     order = rng.permutation(len(x))
     cut = max(1, len(x) // 5)
     later, first = order[:cut], order[cut:]
+    net.informed = len(set(y[first].tolist())) == 2
     z = (x - mean) / scale
     params = [net.w1, net.b1, net.w2, np.array([0.0])]
     m = [np.zeros_like(p) for p in params]
@@ -282,9 +285,12 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, as they are.
 
-    Each row is judged by its own text; see :func:`score_documents`.
+    Each row is judged by its own text; see :func:`score_documents`. All rows pass where the labels
+    to learn from are not of both kinds.
     """
     network, sent, _ = fit(docs, labels, key, text, label, sample)
+    if not network.informed:
+        return docs
     pooler = _pooler(sent)
     at = docs.columns.index(text)
 
