@@ -44,17 +44,27 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, similarity 0.8): the smallest id.
 
-    Of rows that share an id the first by text stays. Rows without an id come after all others;
-    those with the same text are one row.
+    What is judged is an id with its text: repeats of both are one row, different texts under one
+    id are compared like those of different ids. Of them the first by hash of the text counts as
+    the smallest. Rows without an id come after all others; those with the same text are one row.
     """
     name = "row_id"
     while name in docs.columns:
         name += "_"
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
-    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), late))
+    named = docs.withColumn(name, F.xxhash64("doc_id", "text"))
     found = ngram_join.near_duplicates(named, n=5, percent=80, key=name)
-    kept = found.where(F.col(name) == F.col("component_id")).select(name).distinct()
-    first = Window.partitionBy(name).orderBy(F.xxhash64("text"), "text", *sorted(docs.columns))
+    place = F.struct(
+        F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("hash"), F.col(name).alias("row"),
+    )
+    kept = (
+        named.select(name, place.alias("place"))
+        .join(found.select(name, "component_id").distinct(), name)
+        .groupBy("component_id")
+        .agg(F.min("place").alias("place"))
+        .select(F.col("place.row").alias(name))
+    )
+    first = Window.partitionBy(name).orderBy(*sorted(docs.columns))
     rank = f"{name}_rank"
     return (
         named.join(kept, name, "left_semi")

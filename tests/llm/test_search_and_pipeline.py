@@ -143,3 +143,18 @@ def test_pipeline_is_registered(spark):
     import corpus_pipeline
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark, frame):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = frame(
+        [a, b, f"{a} more", f"{b} more", a, "left alone", "left alone", b, "only here", "only here", ""],
+        [5, 5, 6, 7, 5, 8, 9, None, None, None, 10],
+    )
+    got = corpus_pipeline.drop_near_duplicates(spark, rows, SF_DIR)
+    assert got.columns == rows.columns
+    assert sorted((r.text, str(r.doc_id)) for r in got.collect()) == sorted(
+        [(a, "5"), (b, "5"), ("left alone", "8"), ("only here", "None"), ("", "10")]
+    )
