@@ -246,3 +246,21 @@ def test_labels_of_one_kind_reject_nothing(spark, frame, kind):
     labels = spark.createDataFrame([(i, kind) for i in range(40)], "doc_id long, quality int")
     docs = frame([f"text of its own {i}" for i in range(50)])
     assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="page-with-sidebar">%s</div>', ["Text"]),
+    ('<div class="layout has-header">%s<div class="ad">x</div></div>', ["Text"]),
+    ('<body class="single comments-open">%s', ["Text"]),
+    ('<div class="sidebar">%s</div>', ["Text"]),
+    ('<form id="f"><input>%s</form>', ["Text"]),
+    ('<div class="related"><article>a long teaser</article></div>%s', ["Text"]),
+    ('<div class="comments"><article>a long reply</article></div><p>x', ["x"]),
+    ('<div id="search"><main><p>m</p><div class="ad">y</div></main></div>', ["m"]),
+    ('<main class="no-comments"><p>m</main><p class="comment">c', ["m"]),
+    ('<div class="widget"><p>all of the text</p></div><p>x</p>', ["all of the text", "x"]),
+    ('<p>a <span class="ad">y</span> b</p><div class="cookie-banner">z</div>', ["a b"]),
+])
+def test_names_of_wrappers_lose_no_article(page, want):
+    page = page.replace("%s", "<article><p>Text</p></article>")
+    assert [b[0] for b in html_text.page_blocks(page)] == want

@@ -49,28 +49,39 @@ CLUTTER = set(
     "subscription signup login search widget pagination pager toolbar contentinfo complementary "
     "dialog".split()
 )
+#: Names of readers' comments; whatever they hold is no article.
+COMMENTS = set("comment comments reply replies respond disqus".split())
+#: Dropped elements that are wrapped around whole pages now and then.
+WRAPPERS = {"form", "fieldset"}
 SIBLINGS = {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",), "option": ("select",),
             "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "article", "digest", "blocks", "filled")
+    __slots__ = ("tag", "dropped", "article", "wrapper", "digest", "blocks", "filled")
 
-    def __init__(self, tag: str, dropped: bool, article: bool):
-        self.tag, self.dropped, self.article = tag, dropped, article
+    def __init__(self, tag: str, dropped: bool, article: bool, wrapper: int = 0):
+        self.tag, self.dropped, self.article, self.wrapper = tag, dropped, article, wrapper
         self.digest = xxhash.xxh3_64(tag.encode())
         self.blocks: list[int] = []
         self.filled = False
 
 
 class _Reader(HTMLParser):
-    """Collects blocks ``[text, hashes, in article, in main]`` in page order."""
+    """Collects blocks ``[text, hashes, in article, in main, wrapper]`` in page order.
+
+    What is to be dropped by a class name or the like is read all the same, with the number of its
+    ``wrapper``, as it may turn out to hold the article; 0 is what is not in question. Text, blocks
+    and hashes of one number never enter those of another.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
         self.open: list[_Element] = [_Element("#page", False, False)]
-        self.text: list[str] = []
+        self.text: dict[int, list[str]] = {}
+        self.wrappers = 0
+        self.articles: set[int] = set()
         self.names: Counter[str] = Counter()
 
     def read(self, html: str) -> list[list]:
@@ -82,27 +93,50 @@ class _Reader(HTMLParser):
         return self.blocks
 
     def _end_block(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if not text:
-            return
-        n = len(self.blocks)
-        self.blocks.append([text, [], self.names["article"] > 0, self.names["main"] > 0])
-        for element in self.open[1:]:
-            element.blocks.append(n)
+        texts, self.text = self.text, {}
+        for wrapper, parts in texts.items():
+            text = " ".join("".join(parts).split())
+            if not text:
+                continue
+            n = len(self.blocks)
+            self.blocks.append(
+                [text, [], self.names["article"] > 0, self.names["main"] > 0, wrapper]
+            )
+            begun = False
+            for element in reversed(self.open[1:]):
+                if element.wrapper == wrapper:
+                    begun = True
+                    element.blocks.append(n)
+                elif begun:
+                    break
+
+    def _end_block_of(self, element: _Element) -> None:
+        """All blocks end with a block element, with another one those of its wrapper."""
+        if element.tag in BLOCKS:
+            self._end_block()
+        else:
+            others, self.text = self.text, {element.wrapper: self.text.pop(element.wrapper)}
+            self._end_block()
+            self.text = others
+
+    def _add(self, data: str) -> None:
+        self.text.setdefault(self.open[-1].wrapper, []).append(data)
 
     def _leave(self) -> None:
         element = self.open[-1]
-        if element.tag in BLOCKS:
-            self._end_block()
+        if element.tag in BLOCKS or element.wrapper != self.open[-2].wrapper and (
+            element.wrapper in self.text
+        ):
+            self._end_block_of(element)
         self.open.pop()
         self.names[element.tag] -= 1
         if element.filled:
             digest = element.digest.intdigest()
             for n in element.blocks:
                 self.blocks[n][1].append(digest - (1 << 63))
-            self.open[-1].digest.update(digest.to_bytes(8, "little"))
-            self.open[-1].filled = True
+            if self.open[-1].wrapper == element.wrapper:
+                self.open[-1].digest.update(digest.to_bytes(8, "little"))
+                self.open[-1].filled = True
 
     def _leave_upto(self, tag: str, within: tuple[str, ...]) -> None:
         """Close the nearest open element of a name unless one of ``within`` lies nearer."""
@@ -127,27 +161,51 @@ class _Reader(HTMLParser):
         if tag == "body":
             self._leave_upto("head", ())
         if tag in SPACED:
-            self.text.append(" ")
+            self._add(" ")
         if tag in VOID:
             return
         above = self.open[-1]
         self.names[tag] += 1
         article = above.article or tag in ("article", "main")
-        self.open.append(_Element(tag, above.dropped or self._clutter(tag, attrs, article), article))
+        dropped = above.dropped or self._hard(tag, attrs, article)
+        wrapper = above.wrapper
+        if not dropped:
+            if tag == "main":
+                wrapper = 0  # a page has one; nothing around it is clutter
+            elif tag == "article" and wrapper and wrapper not in self.articles:
+                self.wrappers = wrapper = self.wrappers + 1
+                self.articles.add(wrapper)
+            elif tag in WRAPPERS or self._named(tag, attrs, CLUTTER):
+                self.wrappers = wrapper = self.wrappers + 1
+        self.open.append(_Element(tag, dropped, article, wrapper))
 
     @staticmethod
-    def _clutter(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
-        if tag in DROPPED or tag == "header" and not article:
+    def _hard(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
+        """Whether an element goes whatever it holds."""
+        if tag in DROPPED - WRAPPERS or tag == "header" and not article:
             return True
-        if tag in ("html", "body", "article", "main") and "comment" not in str(attrs):
+        if tag in ("html", "body"):
+            return False
+        if tag in ("article", "main"):
+            return any(
+                name in ("class", "id", "role") and not {"comment", "comments"}.isdisjoint((value or "").lower().split())
+                for name, value in attrs
+            )
+        return _Reader._named(tag, attrs, COMMENTS) or any(
+            name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs
+        )
+
+    @staticmethod
+    def _named(tag: str, attrs: list[tuple[str, str | None]], names: set[str]) -> bool:
+        """Whether a class, id or role is made of such words only; parts of a name do not count."""
+        if tag in ("html", "body", "article", "main"):
             return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-                if not CLUTTER.isdisjoint(words):
-                    return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                for token in value.split():
+                    words = re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                    if words and names.issuperset(words):
+                        return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
@@ -155,7 +213,7 @@ class _Reader(HTMLParser):
             return
         self._leave_upto(tag, () if tag in BLOCKS else ("article", "body", "td", "th"))
         if tag in SPACED:
-            self.text.append(" ")
+            self._add(" ")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -164,15 +222,30 @@ class _Reader(HTMLParser):
         element = self.open[-1]
         if element.dropped:
             return
-        self.text.append(data)
+        self._add(data)
         if data.strip():
             element.digest.update(" ".join(data.split()).encode("utf-8", "surrogatepass"))
             element.filled = True
 
 
 def page_blocks(html: str) -> list[list]:
-    """Blocks of the article where the page marks one, else of the whole page."""
-    blocks = _Reader().read(html)
+    """Blocks of the article where the page marks one, else of the whole page.
+
+    An element with the name of clutter is kept if more than half of the page's text is directly
+    in it, and so are articles in such elements where no other article is marked and they hold
+    more than the rest of the page.
+    """
+    reader = _Reader()
+    blocks = reader.read(html)
+    if reader.wrappers:
+        size: Counter[int] = Counter()
+        for b in blocks:
+            size[b[4]] += len(b[0])
+        keep = {0} | {w for w, n in size.items() if 2 * n > size.total() and w not in reader.articles}
+        if not any(b[2] and not b[4] for b in blocks):
+            if sum(size[w] for w in reader.articles) > size[0]:
+                keep |= reader.articles
+        blocks = [b for b in blocks if b[4] in keep]
     for place in (2, 3):
         inside = [b for b in blocks if b[place]]
         if inside:
@@ -198,7 +271,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     def run(batches):
         for batch in slices(batches):
             rows = [
-                [{"text": t, "hashes": h, "article": a or m} for t, h, a, m in page_blocks(x or "")]
+                [{"text": t, "hashes": h, "article": a or m} for t, h, a, m, _ in page_blocks(x or "")]
                 for x in batch.column(3).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
