@@ -264,3 +264,26 @@ def test_labels_of_one_kind_reject_nothing(spark, frame, kind):
 def test_names_of_wrappers_lose_no_article(page, want):
     page = page.replace("%s", "<article><p>Text</p></article>")
     assert [b[0] for b in html_text.page_blocks(page)] == want
+
+
+def test_templates_are_told_by_what_is_around_them(spark):
+    notice = "<p>A notice of this site that is much longer than what is around it</p>"
+    copied = "<p>first of a copied page</p><p>second of it, as ever</p><p>third</p>"
+    rows = []
+    for i in range(200):
+        own = f"<p>own text {i} of page {i}</p><p>and {i * i}</p>"
+        body = own + (notice if i % 5 < 2 else "")  # two fifths of the pages
+        if i % 10 == 9:
+            body = copied + f"<p>{i}</p>"  # a tenth is one page with another number
+        rows.append((i, "http://a.com/", f"<div>{body}</div>"))
+        rows.append((1000 + i, "http://b.com/", f"<main>{body}</main>"))
+        rows.append((2000 + i, "http://c.com/", f"<p>own {i}</p><aside>x</aside><p>promo of {i % 19}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract_text(pages).collect():
+        i, site = r.page_id % 1000, r.page_id // 1000
+        if site == 2:
+            assert r.text == f"own {i}" + (f"\npromo of {i % 19}" if i % 19 >= 10 else "")
+        elif i % 10 == 9:
+            assert r.text == f"first of a copied page\nsecond of it, as ever\nthird\n{i}"
+        else:
+            assert r.text == f"own text {i} of page {i}\nand {i * i}"

@@ -1,8 +1,8 @@
 """Main text of web pages, with site templates removed (operator 9).
 
 Each page is parsed once into blocks of text; every block knows the hashes of the element
-subtrees it lies in. Spark counts the subtrees per host, and those that recur on a large share of
-a host's pages are deleted from all of its pages. Menus, forms and the like, which differ from page
+subtrees it lies in. Spark counts the subtrees per host, and those that recur on many of its pages,
+with other text around them, are deleted from all of its pages. Menus, forms and the like, which differ from page
 to page, go by their tags and class names.
 """
 
@@ -21,11 +21,18 @@ from timberline.llm.batches import slices
 from timberline.llm.url_filter import host_of
 from timberline.sources.scratch import materialize
 
-#: A subtree is a template if it is on this share of a host's pages and on so many of them.
-SHARE = 0.5
-#: The same within the article, where a quoted line may recur.
-ARTICLE_SHARE = 0.9
+#: A subtree is a template if it is on more than ``MIN_PAGES`` pages of a host and on this share of
+#: them, which keeps the table of a large host's templates small; the second one is for articles,
+#: where a quoted line may recur. On half of the pages, ``MIN_PAGES`` are enough.
+SHARE = 0.01
+ARTICLE_SHARE = 0.05
+MOST = 0.5
 MIN_PAGES = 10
+#: What is around a subtree has to differ so often at least; else its pages are copies of one page.
+DIFFERENT = 5
+#: Blocks around a subtree that are looked at, longest first. It is the longest that has to differ;
+#: outside the article, what is on ``MOST`` pages may have others of the site's templates around it.
+AROUND = 3
 
 # Element names and words of class names, ids and roles.
 DROPPED = set(
@@ -285,44 +292,87 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     )
 
 
+def around(blocks: list[list]) -> list[tuple[int, bool, list[int]]]:
+    """``(hash, in article, bits)`` per subtree of a page.
+
+    The bits are those of the longest blocks outside the subtree, each in a word of 64 by hash.
+    """
+    inside: dict[tuple[int, bool], set[int]] = {}
+    for n, (_, hashes, article, main, _) in enumerate(blocks):
+        for h in hashes:
+            inside.setdefault((h, article or main), set()).add(n)
+    longest = sorted(range(len(blocks)), key=lambda n: (-len(blocks[n][0]), blocks[n][0]))
+    bits = [
+        1 << xxhash.xxh3_64_intdigest(b[0].encode("utf-8", "surrogatepass")) % 64 for b in blocks
+    ]
+    bits = [x - (1 << 64) if x >> 63 else x for x in bits]
+    out = []
+    for (h, article), own in inside.items():
+        found = []
+        for n in longest:
+            if n not in own:
+                found.append(bits[n])
+                if len(found) == AROUND:
+                    break
+        out.append((h, article, found + [0] * (AROUND - len(found))))
+    return out
+
+
+def page_subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(host, hash, article, around0, ...)`` per page and subtree; see :func:`around`."""
+    words = [f"around{i}" for i in range(AROUND)]
+
+    def run(batches):
+        for batch in slices(batches):
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = around(page_blocks(page or ""))
+                columns = [
+                    pa.array([host] * len(rows), pa.string()),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.bool_()),
+                    *(pa.array([r[2][i] for r in rows], pa.int64()) for i in range(AROUND)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "hash", "article", *words])
+
+    picked = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
+    return picked.mapInArrow(
+        run, "host string, hash bigint, article boolean, " + ", ".join(f"{w} bigint" for w in words)
+    )
+
+
 def site_templates(
-    parsed: DataFrame,
+    pages: DataFrame,
+    url: str = "url",
+    html: str = "html",
     share: float = SHARE,
     article_share: float = ARTICLE_SHARE,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """``(host, hashes)``: subtrees that recur on many pages of a host.
+    """``(host, hashes)``: subtrees that recur on many pages of a host that differ otherwise.
 
-    Counts combine before their shuffle, so a host with a third of all pages is no burden.
+    Counts combine before their shuffle, so a host with a third of all pages is no burden. How
+    often the text around a subtree differs is told by the bits that its hashes set, which is never
+    more than the true number.
     """
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    subtrees = parsed.select(
-        "host",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "blocks",
-                        lambda b: F.transform(
-                            b["hashes"],
-                            lambda h: F.struct(h.alias("hash"), b["article"].alias("article")),
-                        ),
-                    )
-                )
-            )
-        ).alias("subtree"),
-    )
+    sizes = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count("*").alias("pages"))
+    words = [f"around{i}" for i in range(AROUND)]
     counts = (
-        subtrees.groupBy("host", "subtree")
-        .agg(F.count("*").alias("n"))
+        page_subtrees(pages, url, html)
+        .groupBy("host", "hash", "article")
+        .agg(F.count("*").alias("n"), *(F.bit_or(w).alias(w) for w in words))
         .where(F.col("n") >= min_pages)
     )
-    needed = F.when(F.col("subtree.article"), article_share).otherwise(share)
+    most = F.col("n") >= MOST * F.col("pages")
+    low = F.when(F.col("article"), article_share).otherwise(share) * F.col("pages")
+    different = F.when(
+        most & ~F.col("article"), F.greatest(*(F.bit_count(w) for w in words))
+    ).otherwise(F.bit_count(words[0]))
     return (
         counts.join(sizes, "host")
-        .where(F.col("n") >= needed * F.col("pages"))
+        .where(most | (F.col("n") >= low) & (F.col("n") > min_pages))
+        .where(different >= DIFFERENT)
         .groupBy("host")
-        .agg(F.collect_set("subtree.hash").alias("hashes"))
+        .agg(F.collect_set("hash").alias("hashes"))
     )
 
 
@@ -340,13 +390,13 @@ def extract_text(
     White space within a block becomes one space; blocks are joined by line breaks. Null or empty
     html and pages without an article text give the empty text. A host with fewer than
     ``min_pages`` pages has no templates; pages without a host are one host. Rows with a null or
-    repeated key are rows like any other. The templates of a host are at most ``1 / share``
+    repeated key are rows like any other. The templates of a large host are at most ``1 / share``
     times the subtrees of its average page; their table is written first, so that Spark sends it
     to the tasks only where it is small.
     """
     parsed = parse_pages(pages, key, url, html)
     templates = materialize(
-        site_templates(parsed, share, article_share, min_pages), "templates"
+        site_templates(pages, url, html, share, article_share, min_pages), "templates"
     ).withColumnRenamed("host", "site")
     kept = F.filter(
         "blocks",
