@@ -2,7 +2,8 @@
 
 Candidates are found by patterns, their values hashed, and each hash is counted over the corpus by
 distinct documents (``repositories``) and distinct sources (``owners``). A value that several
-owners carry is a copied example; one that stays with few owners is taken as live. Everything is
+owners carry is a copied example; one that stays with few owners is taken as live, in however many
+of their documents it is. Both counts are returned with every span. Everything is
 DataFrame expressions; counts combine before their shuffle and joins are plain equi-joins that
 adaptive execution may split, so a value in a third of all rows is no burden.
 """
@@ -81,7 +82,7 @@ def scan(
 
     ``base`` holds the spans of the three base kinds; ``spans`` these and the further candidates
     that belong to fewer than ``copied_owners`` owners, ``live`` in each telling whether its value
-    does. Offsets are code points, end exclusive. Null and empty texts have no spans. Rows with a
+    does, and ``documents`` and ``owners`` how many rows and owners have it. Offsets are code points, end exclusive. Null and empty texts have no spans. Rows with a
     null or repeated key are rows like any other; a null source is one owner.
     """
     rows = docs.select(
@@ -182,19 +183,24 @@ def _judged(rows: DataFrame, copied_owners: int) -> DataFrame:
         .drop("value")
     )
     found = materialize(found, "spans")
-    owners = (
-        found.groupBy("hash", "owner").agg(F.lit(1).alias("one"))
-        .groupBy("hash").agg(F.count("*").alias("owners"))
+    counts = materialize(
+        found.groupBy("hash", "owner", "row").agg(F.lit(1).alias("one"))
+        .groupBy("hash", "owner").agg(F.count("*").alias("documents"))
+        .groupBy("hash").agg(F.sum("documents").alias("documents"), F.count("*").alias("owners")),
+        "counts",
     )
-    copied = materialize(owners.where(F.col("owners") >= copied_owners).select("hash"), "copied")
     judged = (
-        found.join(copied.withColumn("copied", F.lit(True)), "hash", "left")
-        .withColumn("live", F.col("copied").isNull())
+        found.join(counts, "hash")
+        .withColumn("live", F.col("owners") < copied_owners)
         .where((F.col("rank") < 3) | F.col("live"))
         .groupBy("row")
-        .agg(F.collect_list(F.struct("start", "rank", "end", "live")).alias("spans"))
+        .agg(
+            F.collect_list(F.struct("start", "rank", "end", "live", "documents", "owners")).alias("spans")
+        )
+    )
+    none = F.array().cast(
+        "array<struct<start:int,rank:int,end:int,live:boolean,documents:bigint,owners:bigint>>"
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,live:boolean>>")
     return (
         flagged.select("row", "key")
         .join(judged, "row", "left")
