@@ -158,3 +158,28 @@ def test_texts_that_share_an_id_are_judged_apart(spark, frame):
     assert sorted((r.text, str(r.doc_id)) for r in got.collect()) == sorted(
         [(a, "5"), (b, "5"), ("left alone", "8"), ("only here", "None"), ("", "10")]
     )
+
+
+def test_index_finds_neighbours_without_its_sample(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(rows)
+
+    def share(**more):
+        got = {(r.query_id, r.vec_id) for r in multi_index.nearest(table, **more).collect()}
+        return sum((q, i) in got for q, found in want.items() for _, i in found) / (5 * len(want))
+
+    print("recall with a small and a whole sample", share(train=200), share())
+    assert share(train=200) >= 0.9
+    # a traversal that ends at once: the sample must not make up for it
+    real = multi_index.traversal
+    monkeypatch.setattr(multi_index, "traversal", lambda a, b, s, n: real(a, b, s, n if n == np.inf else 1))
+    assert share() < 0.9
+
+
+def test_several_vectors_of_one_id_take_one_place():
+    vectors = np.array([[1.0, 0.01 * i] for i in range(20)] + [[1.0, 1.0 + i] for i in range(4)])
+    own = [[7]] * 20 + [[i] for i in range(4)]
+    got = multi_index.best_of(np.array([[1.0, 0.0]]), np.array([50]), vectors, own, 4)
+    assert [v for _, v, _, _ in got] == [7, 0, 1, 2]

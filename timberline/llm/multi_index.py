@@ -3,8 +3,8 @@
 Unit vectors are cut into two halves, each half is quantised by its own codebook, and a vector
 lives in the cell of its two centroids. A query visits cells by the sum of its two half distances,
 taken from a heap, until they hold enough entries; all entries visited are ranked by their exact
-cosine. The nearest vectors of the codebooks' sample are candidates of every query, and a block of
-entries passes on only what is not below the last of them. How many entries are enough is measured: for a sample of queries the true neighbours are
+cosine. Those of the codebooks' sample that lie in the cells visited tell what a block of entries
+need not pass on, and never are a result by themselves. How many entries are enough is measured: for a sample of queries the true neighbours are
 found by a full scan, and the traversal is made as long as those need.
 
 Codebooks (``train`` vectors) and the measurement (``probes`` queries) are fitted on bounded
@@ -87,25 +87,35 @@ def best_of(
     own: list[list[int]],
     k: int,
     floors: np.ndarray | None = None,
-) -> list[tuple[int, int, float]]:
-    """The k nearest of a block for each query: (query, vector, cosine); ``own`` are their ids.
+) -> list[tuple[int, int, float, int]]:
+    """The k nearest ids of a block for each query, each with its best cosine and that place.
+
+    As (query, id, cosine, place in the block); ``own`` are the ids at a place.
 
     With ``floors``, only those that are not below the query's floor.
     """
     scores = (queries @ vectors.T) / np.linalg.norm(queries, axis=1)[:, None]
     scores /= np.linalg.norm(vectors, axis=1)
     out = []
-    keep = min(k + 1, len(own))  # one of them may be the query itself
     if floors is None:
         floors = np.full(len(ids), -2.0)
     for q, row, floor in zip(ids, scores, floors):
         if row.max() < floor:
             continue
-        least = max(floor, np.partition(row, len(row) - keep)[len(row) - keep])
-        found = [
-            (-row[j], v) for j in np.flatnonzero(row >= least) for v in own[j] if v != q
-        ]
-        out += [(int(q), v, -s) for s, v in heapq.nsmallest(k, found)]
+        keep = k + 1  # one of them may be the query itself
+        while True:  # more where several vectors have the same id
+            keep = min(keep, len(row))
+            least = max(floor, np.partition(row, len(row) - keep)[len(row) - keep])
+            best: dict[int, tuple[float, int]] = {}
+            for j in np.flatnonzero(row >= least):
+                for v in own[j]:
+                    if v != q and (v not in best or best[v][0] > -row[j]):
+                        best[v] = (-row[j], int(j))
+            if len(best) >= k or keep == len(row) or least <= floor:
+                break
+            keep *= 4
+        found = heapq.nsmallest(k, ((s, v, j) for v, (s, j) in best.items()))
+        out += [(int(q), v, -s, j) for s, v, j in found]
     return out
 
 
@@ -197,14 +207,15 @@ def nearest(
         for frame in frames:
             own = [list(map(int, x)) for x in frame["ids"]]
             vectors, cells = matrix(frame["vec"]), frame["cell"].to_numpy()
-            where = {v: int(c) for ids, c in zip(own, cells) for v in ids}
             best = best_of(asked, np.arange(-1, -len(asked) - 1, -1), vectors, own, k + 1)
-            found = pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
-            yield found.assign(cell=found["vec_id"].map(where))
+            found = pd.DataFrame(best, columns=["query_id", "vec_id", "score", "place"])
+            yield found.assign(cell=cells[found.pop("place").to_numpy(int)])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     truth = (
         indexed.mapInPandas(scan, RESULT + ", cell bigint")
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"), F.max_by("cell", "score").alias("cell"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k + 1)
         .toPandas()
@@ -216,26 +227,27 @@ def nearest(
         reach += [upto[c] for c in own.sort_values("rank")["cell"][:k]]
     enough = int(np.quantile(reach, recall, method="higher")) if reach else 1
 
-    # the nearest of the sample are candidates, and tell what the others have to reach
+    # the sample by cell: what a query finds there it also finds in the index
+    vectors = matrix(sample["vec"])
+    first, second = halves(vectors)
+    cells = first.argmin(axis=1) * width + second.argmin(axis=1)
+    by_cell = cells.argsort(kind="stable")
     known = spark.sparkContext.broadcast(
-        (matrix(sample["vec"]), [list(map(int, x)) for x in sample["ids"]])
+        (
+            units(vectors)[by_cell],
+            [list(map(int, sample["ids"].iloc[i])) for i in by_cell],
+            np.searchsorted(cells[by_cell], np.arange(len(sizes) + 1)),
+        )
     )
 
-    def among_sample(frames):
-        vectors, own = known.value
-        for frame in frames:
-            for i in range(0, len(frame), 200):
-                part = frame.iloc[i : i + 200]
-                best = best_of(matrix(part["vec"]), part["vec_id"].to_numpy(), vectors, own, k)
-                yield pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
-
-    asking = queries.repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    near = materialize(asking.mapInPandas(among_sample, RESULT), "near")
-    floors = (
-        near.groupBy(F.col("query_id").alias("vec_id"))
-        .agg(F.min("score").alias("least"), F.count("*").alias("n"))
-        .select("vec_id", F.when(F.col("n") >= k, F.col("least") - 1e-9).alias("least"))
-    )
+    def floor_of(q: int, vector: np.ndarray, visited: list[int]) -> float:
+        """Cosine of the k-th id of the sample in the cells visited, and a margin below it."""
+        vectors, own, begin = known.value
+        at = np.concatenate([np.arange(begin[c], begin[c + 1]) for c in visited] or [np.arange(0)])
+        if not len(at):
+            return -2.0
+        best = best_of(vector[None], np.array([q]), vectors[at], [own[i] for i in at], k)
+        return best[-1][2] - 1e-9 if len(best) == k else -2.0
 
     # blocks of entries against blocks of queries; a full cell and a frequent query are split
     n_blocks = 1 + (queries.count() - 1) // BLOCK
@@ -244,14 +256,13 @@ def nearest(
     def visit(frames):
         for frame in frames:
             out = []
-            for q, v, floor, first, second in zip(
-                frame["vec_id"], frame["vec"], frame["least"], *halves(matrix(frame["vec"]))
+            vectors = matrix(frame["vec"])
+            for q, v, vector, first, second in zip(
+                frame["vec_id"], frame["vec"], vectors, *halves(vectors)
             ):
-                out += [
-                    (c, piece, int(q), v, floor)
-                    for c, _ in traversal(first, second, sizes, enough)
-                    for piece in range(pieces[c])
-                ]
+                visited = [c for c, _ in traversal(first, second, sizes, enough)]
+                floor = floor_of(int(q), vector, visited)
+                out += [(c, piece, int(q), v, floor) for c in visited for piece in range(pieces[c])]
             for i in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[i : i + 20_000], columns=["cell", "piece", "query_id", "vec", "least"])
 
@@ -265,9 +276,7 @@ def nearest(
         .select("cell", "piece", "block", "vec", "ids")
     )
     asking = (
-        queries.join(floors, "vec_id", "left")
-        .withColumn("least", F.coalesce("least", F.lit(-2.0)))
-        .repartition(spark.sparkContext.defaultParallelism, "vec_id")
+        queries.repartition(spark.sparkContext.defaultParallelism, "vec_id")
         .mapInPandas(
             visit, "cell int, piece int, query_id bigint, vec array<double>, least double"
         )
@@ -283,14 +292,13 @@ def nearest(
             matrix(right["vec"]), right["query_id"].to_numpy(), matrix(left["vec"]), own, k,
             right["least"].to_numpy(),
         )
-        return pd.DataFrame(best, columns=columns)
+        return pd.DataFrame([b[:3] for b in best], columns=columns)
 
     on = ["cell", "piece", "block"]
     return (
         stored.groupBy(*on)
         .cogroup(asking.groupBy(*on))
         .applyInPandas(compare, RESULT)
-        .union(near)
         .groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(order).cast("int"))
