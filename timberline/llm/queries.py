@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import functools
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import (
+    conversations,
     decontaminate,
     html_text,
     multi_index,
@@ -19,10 +18,13 @@ from timberline.llm import (
     quality,
     secrets,
     sentencepieces,
+    simhash,
     suffix_dedup,
     token_counts,
     url_filter,
+    whitening,
 )
+from timberline.llm.batches import show_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,18 +35,6 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def show_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did.
-
-    Of use where it is on the driver's path only; an installed package is found without it.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         @functools.wraps(query)
@@ -288,3 +278,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+@register("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_conversations")
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
