@@ -26,7 +26,7 @@ class PrefixTable:
         self.fits: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in vocabulary:
-            if self.merged(piece) == [piece]:
+            if len(piece) > 1 and self.merged(piece) == [piece]:
                 self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
 
@@ -54,7 +54,11 @@ class PrefixTable:
         return known
 
     def last_tokens(self, word: str) -> list[str]:
-        """Last token of each prefix; a character outside the vocabulary is its own token."""
+        """Last token of each prefix.
+
+        Exactly one token satisfies the test, so where no longer one does it is the character, which
+        the automaton need not report; the same holds for a character outside the vocabulary.
+        """
         last: list[str] = [""] * len(word)
         fits, seen = self.fits, 0
         for end, (piece, size) in self.automaton.iter(word):
@@ -64,7 +68,7 @@ class PrefixTable:
             if start < 0:
                 last[end] = piece
                 continue
-            while seen <= start:  # behind the matches; what is still open there is foreign
+            while seen <= start:  # behind the matches; what is still open there stands alone
                 if not last[seen]:
                     last[seen] = word[seen]
                 seen += 1

@@ -20,7 +20,7 @@ from timberline.llm.prefix_bpe import PrefixTable
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Segments kept encoded before the memo is emptied.
+#: Segments kept encoded; beyond, those not met again for half as many go.
 MEMO = 250_000
 
 
@@ -57,20 +57,33 @@ class PieceModel(dict):
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.hidden = {i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
         self.cut = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
+        self.written = {p: str(i) for p, i in self.ids.items()}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def __missing__(self, segment: str) -> tuple[int, str, str]:
-        if len(self) >= MEMO:
-            self.clear()
+        value = self.older.pop(segment, None)
+        if value is None:
+            tokens = self.table.tokens(segment)
+            try:
+                shown = ",".join([self.written[t] for t in tokens])
+                value = (len(tokens), shown, segment.replace(MARK, " "))
+            except KeyError:  # a character without a piece
+                value = self._with_bytes(tokens)
+        if len(segment) <= 64:
+            if len(self) >= MEMO // 2:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = value
+        return value
+
+    def _with_bytes(self, tokens: list[str]) -> tuple[int, str, str]:
         ids: list[int] = []
-        for token in self.table.tokens(segment):
+        for token in tokens:
             if token in self.ids:
                 ids.append(self.ids[token])
             else:
                 ids.extend(self.bytes[b] for b in token.encode())
-        value = (len(ids), ",".join(map(str, ids)), self._surface(ids))
-        if len(segment) <= 64:
-            self[segment] = value
-        return value
+        return len(ids), ",".join(map(str, ids)), self._surface(ids)
 
     def segments(self, text: str) -> list[str]:
         return self.cut(MARK + text.replace(" ", MARK)) if text else []
