@@ -77,7 +77,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, frame, tmp_path):
@@ -183,3 +183,33 @@ def test_several_vectors_of_one_id_take_one_place():
     own = [[7]] * 20 + [[i] for i in range(4)]
     got = multi_index.best_of(np.array([[1.0, 0.0]]), np.array([50]), vectors, own, 4)
     assert [v for _, v, _, _ in got] == [7, 0, 1, 2]
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark, frame):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = frame([text, text, f"{text} token = q9w8e7r6t5y4u3i2", None], [1, 1, 2, None])
+    odd = rows.selectExpr("*", "map('k', doc_id) AS `a.b`", "map('m', array(1)) AS m", "struct(1 AS x) AS `c``d`")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_DIR)
+        assert docs.columns == odd.columns, name
+        assert all(r["a.b"] == {"k": r.doc_id} for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.withColumn("n", F.lit(1)), SF_DIR).count() == docs.count() > 0
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "xxhash", "sentencepiece", "public_tokenizers"])
+def test_entry_without_a_library(missing):
+    """The other queries stay; what needs the library is not registered."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    root = Path(__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    count, pipeline = said.stdout.split()
+    assert int(count) >= 113 and (pipeline == "False" or missing == "sentencepiece")

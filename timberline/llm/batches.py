@@ -27,11 +27,40 @@ def show_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let whole texts travel between the JVM and Python in batches of so many rows at most.
+
+    Both sides hold a batch and what is made of it outside the heap and keep that room for later, so
+    a chain of stages over texts needs less with smaller ones. A smaller setting is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now > rows or now <= 0:
+        spark.conf.set(name, rows)
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(label: str, make: Callable[[], object]):
+    """What ``make`` returns, kept for the next tasks of the worker until another label is asked for."""
+    if label not in _HELD:
+        _HELD.clear()
+        _HELD[label] = make()
+    return _HELD[label]
+
+
+def quoted(name: str) -> str:
+    """A column by exactly this name, also with a dot in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.batches import slices
+from timberline.llm.batches import held, quoted, show_package, slices
 from timberline.sources.scratch import materialize
 
 WINDOW = 10
@@ -89,9 +89,6 @@ def summary(text: str, n_words: int, hits: list[tuple[str | None, int, int]]):
     return int(hit.sum()), sorted({i for i, _, _ in hits if i is not None}), spans
 
 
-_PASSAGES: dict[str, Passages] = {}
-
-
 def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -128,7 +125,8 @@ def without_passages(
 
     Rows that nothing hits stay as they are, also without words.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("key"), F.col(text).cast("string").alias("text"))
+    whole = F.struct(*map(quoted, docs.columns)).alias("key")
+    rows = docs.select(whole, F.col(text).cast("string").alias("text"))
     found = _find(rows, benchmark, window, item_key, item_text, block_bytes)
     hit = F.col("n_hit") > 0
     cut = F.when(hit, cut_spans(F.col("key")[text], F.col("spans"))).otherwise(F.col("key")[text])
@@ -143,6 +141,7 @@ def _find(
     rows: DataFrame, benchmark: DataFrame, window: int, item_key: str, item_text: str, block_bytes: int
 ) -> DataFrame:
     """Hits of ``(key, text)`` rows; the key may be of any type."""
+    show_package(rows.sparkSession)
     items = benchmark.select(
         F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")
     ).where("text is not null")
@@ -170,10 +169,7 @@ def _scan(sent, window: int, final: bool, earlier: bool, names: list[str]):
     )
 
     def run(batches):
-        if label not in _PASSAGES:
-            _PASSAGES.clear()
-            _PASSAGES[label] = Passages(sent.value, window)
-        passages = _PASSAGES[label]
+        passages = held(f"passages {label}", lambda: Passages(sent.value, window))
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             plain = [normalised(t) for t in texts]

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.batches import map_texts, slices
+from timberline.llm.batches import map_texts, show_package, slices
 from timberline.sources.scratch import materialize
 
 #: Rows of the word table and of the shape table, and the size of a vector.
@@ -249,6 +249,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int
 ) -> tuple[Network, Broadcast, DataFrame]:
     """The network, the word table as sent to the tasks, and ``(key, features)`` of all rows."""
+    show_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(word_vectors(docs, text))  # ROWS x DIM floats
     pooler = _pooler(sent)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.batches import quoted
 from timberline.sources.scratch import materialize
 
 #: A value of so many distinct owners or more is a copied example.
@@ -107,7 +108,7 @@ def redacted(
 ) -> DataFrame:
     """``docs`` with every live span of ``text`` replaced; copied examples stay."""
     rows = docs.select(
-        F.struct(*docs.columns).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
+        F.struct(*map(quoted, docs.columns)).alias("key"), F.col(owner).alias("owner"), F.col(text).alias("text")
     )
     own = F.col("key")[text]
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

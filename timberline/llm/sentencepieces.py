@@ -15,7 +15,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from timberline.llm.batches import map_texts, slices
+from timberline.llm.batches import held, map_texts, slices
 from timberline.llm.prefix_bpe import PrefixTable
 
 MARK = "▁"
@@ -142,15 +142,9 @@ def _utf8(held: bytearray) -> str:
     return "".join(out)
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
     """The model of a path, loaded once per worker."""
-    if path not in _MODELS:
-        _MODELS.clear()
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return held(f"pieces {path}", lambda: PieceModel(path))
 
 
 def _columns(path: str, shape: Callable[[PieceModel, list[str]], list[pa.Array]]):

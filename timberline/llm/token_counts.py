@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from timberline.llm.batches import map_texts
+from timberline.llm.batches import held, map_texts
 from timberline.llm.prefix_bpe import PrefixTable
 
 #: Fixed value: the pattern that byte-level BPE files of this kind split texts with.
@@ -196,15 +196,9 @@ class PrefixCounter(dict):
         return out
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """The counter of a path, loaded once per worker."""
-    if path not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return held(f"counter {path}", lambda: PrefixCounter(path))
 
 
 def count_tokens(
