@@ -10,107 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from timberline.llm import decontaminate, ngram_join, quality, secrets, sentencepieces
-from timberline.llm.batches import map_texts
-from timberline.llm.queries import show_package
+from pyspark.sql import DataFrame, SparkSession
+
+from timberline.llm.batches import show_package
+from timberline.llm.stages import (
+    PIECES,  # noqa: F401
+    accept_quality,
+    cut_benchmark,
+    drop_near_duplicates,
+    encode_pieces,
+    redact_secrets,
+)
 from timberline.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: What a live secret becomes.
-PLACEHOLDER = "[secret]"
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
-
-
-def _measured(docs: DataFrame) -> DataFrame:
-    """``n_chars`` brought up to date where a text was changed."""
-    kind = docs.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.length("text").cast(kind))
-
-
-def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier accepts; it learns from the labels outside the held-out part.
-
-    Without labels of both kinds it has no opinion and every row passes.
-    """
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five words, similarity 0.8): the smallest id.
-
-    What is judged is an id with its text: repeats of both are one row, different texts under one
-    id are compared like those of different ids. Of them the first by hash of the text counts as
-    the smallest. Rows without an id come after all others; those with the same text are one row.
-    """
-    name = "row_id"
-    while name in docs.columns:
-        name += "_"
-    named = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    found = ngram_join.near_duplicates(named, n=5, percent=80, key=name)
-    place = F.struct(
-        F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"),
-        F.xxhash64("text").alias("hash"), F.col(name).alias("row"),
-    )
-    kept = (
-        named.select(name, place.alias("place"))
-        .join(found.select(name, "component_id").distinct(), name)
-        .groupBy("component_id")
-        .agg(F.min("place").alias("place"))
-        .select(F.col("place.row").alias(name))
-    )
-    first = Window.partitionBy(name).orderBy(*sorted(docs.columns))
-    rank = f"{name}_rank"
-    return (
-        named.join(kept, name, "left_semi")
-        .withColumn(rank, F.row_number().over(first))
-        .where(F.col(rank) == 1)
-        .select(*docs.columns)
-    )
-
-
-def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the words of benchmark passages; a row that was nothing else goes."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _measured(decontaminate.without_passages(docs, benchmark))
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with live secrets replaced; values that several sources carry are examples."""
-    return _measured(secrets.redacted(docs, PLACEHOLDER))
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, n_tokens, ids, round_trip)``: every row as ids.
-
-    ``round_trip`` tells whether the ids decode to the text.
-    """
-
-    def make():
-        model = sentencepieces.model(PIECES)
-
-        def work(texts: list[str]) -> list[pa.Array]:
-            ids = [model.encode(t) for t in texts]
-            same = [model.decode(i) == t for i, t in zip(ids, texts)]
-            return [
-                pa.array([len(i) for i in ids], pa.int64()),
-                pa.array(ids, pa.list_(pa.int32())),
-                pa.array(same, pa.bool_()),
-            ]
-
-        return work
-
-    return map_texts(
-        docs, ["doc_id", "lang", "source"], "text", make,
-        "n_tokens bigint, ids array<int>, round_trip boolean",
-    )
-
-
 STAGES: list[tuple[str, Stage]] = [
     ("quality", accept_quality),
     ("near_duplicates", drop_near_duplicates),
