@@ -85,12 +85,12 @@ def test_index_equals_scan(spark, tmp_path):
 
     texts = bodies(3, 300)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string")
-    built = build_term_index(docs, keys=["doc_id"], parts=8, salts=3)
+    built = build_term_index(docs, keys=["doc_id"])
     write_term_index(built, str(tmp_path / "index"))
     index = read_term_index(spark, str(tmp_path / "index"), built.schema)
     for mode in MODES:
         for query in ["^ti", "b$"] if mode == "MATCH_REGEXP" else ["time", "time out a", "a b", "b 我", "", "--"]:
             scan = docs.where(match(F.col("body"), query, mode))
-            found = search_index(index, docs, query, mode, keys=["doc_id"], parts=8)
+            found = search_index(index, docs, query, mode, keys=["doc_id"])
             want = sorted(r.doc_id for r in scan.collect())
             assert sorted(r.doc_id for r in found.collect()) == want, (mode, query)

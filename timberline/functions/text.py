@@ -35,6 +35,33 @@ def tokens(body: Column) -> Column:
     return F.filter(F.split(spread, SEPARATOR + "+"), lambda t: t != "")
 
 
+def term_positions(body: Column) -> Column:
+    """``array<struct<term, positions>>``: each distinct token once, with its places in order.
+
+    Tokens are sorted with their places, and a run of equal ones becomes an entry, so a long body
+    takes no more than a sort. Sorted and cut arrays are bound to lambda variables; written out in a
+    nested expression they would be made anew for every element.
+    """
+
+    def entries(pairs: Column, starts: Column) -> Column:
+        def entry(start: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(starts, i + 1), F.size(pairs))
+            places = F.transform(F.slice(pairs, start + 1, following - start), lambda p: p["pos"])
+            return F.struct(F.get(pairs, start)["term"].alias("term"), places.alias("positions"))
+
+        return F.transform(starts, entry)
+
+    def runs(pairs: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(pairs, i)["term"] != F.get(pairs, i - 1)["term"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), first)
+        return F.get(F.transform(F.array(starts), lambda s: entries(pairs, s)), F.lit(0))
+
+    pairs = F.array_sort(F.transform(tokens(body), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    # an empty array has no runs; a sequence from 0 to -1 would have two
+    filled = F.filter(F.array(pairs), lambda p: F.size(p) > 0)
+    return F.flatten(F.transform(filled, runs))
+
+
 def query_tokens(query: str) -> list[str]:
     """The tokens of a search text, taken on the driver by the same rule."""
     return _DRIVER_TOKEN.findall(query.lower())

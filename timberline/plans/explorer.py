@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.functions.text import DEFAULT_MODE
 from timberline.operators.filters import Moment
 from timberline.operators.paging import DEFAULT_LIMIT, LogPage, log_page
-from timberline.operators.search import search_index
+from timberline.operators.search import TermIndex, search_index
 from timberline.operators.stats import cards_of, hourly_volume, overview, services
 from timberline.sources.scratch import materialize
 
@@ -33,7 +33,7 @@ def search_logs(
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
     q_mode: str = DEFAULT_MODE,
-    index: DataFrame | None = None,
+    index: TermIndex | DataFrame | None = None,
 ) -> LogPage:
     """One page of matching records, newest first, and how many match in all.
 

@@ -12,6 +12,7 @@ from timberline.functions.scalars import parse_ts, utc_day
 from timberline.operators.filters import Moment, time_range
 from timberline.operators.paging import newest_first
 from timberline.schema import DAY, STORED_SCHEMA
+from timberline.sources.files import Files
 
 KEEP_PAST_DAYS = 30
 ACCEPT_FUTURE_DAYS = 7
@@ -111,10 +112,22 @@ def expired_days(
 
 
 def drop_expired(
-    spark: SparkSession, path: str, as_of: date, past: int = KEEP_PAST_DAYS
+    spark: SparkSession,
+    path: str,
+    as_of: date,
+    past: int = KEEP_PAST_DAYS,
+    index: str | None = None,
 ) -> list[str]:
-    """Remove the partitions that are past retention; returns what was removed."""
+    """Remove the partitions that are past retention; returns what was removed.
+
+    With the folder of its term index, the same days go there first, so nothing is found that is gone.
+    """
     doomed = expired_days(spark, path, as_of, past)
+    if index is not None:
+        files = Files(spark, index)
+        for folder in [d.split("/")[-1] for d in doomed]:
+            for part in files.found(f"{index}/*/{folder}"):
+                files.delete(part)
     jvm = spark.sparkContext._jvm
     for folder in doomed:
         target = jvm.org.apache.hadoop.fs.Path(folder)

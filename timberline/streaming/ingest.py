@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from timberline.operators.search import publish_postings
 from timberline.schema import DAY
+from timberline.sources.files import (
+    Files,
+    batch_names,
+    done_names,
+    finish_replacements,
+    mark_done,
+    publish,
+    replace,
+    same_path,
+)
 from timberline.sources.logs import (
     ACCEPT_FUTURE_DAYS,
     KEEP_PAST_DAYS,
@@ -74,30 +86,28 @@ def dedupe_stream(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     )
 
 
-def _publish(spark: SparkSession, staging: str, target: str, prefix: str) -> None:
-    """Move the files of a staged batch into the table, replacing what it left there before."""
-    jvm = spark.sparkContext._jvm
-    new = jvm.org.apache.hadoop.fs.Path
-    fs = new(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for old in fs.globStatus(new(f"{target}/{DAY}=*/{prefix}*")) or []:
-        fs.delete(old.getPath(), False)
-    for part in fs.globStatus(new(f"{staging}/{DAY}=*/*.parquet")) or []:
-        day = part.getPath().getParent().getName()
-        fs.mkdirs(new(f"{target}/{day}"))
-        if not fs.rename(part.getPath(), new(f"{target}/{day}/{prefix}{part.getPath().getName()}")):
-            raise OSError(f"could not move {part.getPath().toString()}")
-    fs.delete(new(staging), True)
-
-
-def append_batch(batch: DataFrame, target: str, name: str, compression: str = "lz4_raw") -> None:
+def append_batch(
+    batch: DataFrame,
+    target: str,
+    name: str,
+    compression: str = "lz4_raw",
+    index: str | None = None,
+) -> None:
     """Append one batch to the table as ``write_logs`` does; under the same name it replaces itself.
 
     Files are staged beside the table and then moved into their days, so readers and batch
-    appends see one plain table without a commit log.
+    appends see one plain table without a commit log. With an ``index`` folder the batch's postings are
+    published there under the same name, from the staged rows and before them: a record that can be
+    read can be found, and a batch that stops half-way replaces both when it runs again.
     """
+    spark = batch.sparkSession
     staging = f"{target}/_staging/{name}"
     write_logs(batch, staging, compression, mode="overwrite")
-    _publish(batch.sparkSession, staging, target, f"{name}-")
+    if index is not None:
+        rows = read_logs(spark, staging)
+        folders = {f.split("/")[-2] for f in Files(spark, staging).found(f"{staging}/{DAY}=*/*.parquet")}
+        publish_postings(rows, index, name, folders)
+    publish(spark, staging, target, name)
 
 
 def _start(
@@ -109,9 +119,9 @@ def _start(
     return writer.trigger(processingTime=trigger).start()
 
 
-def _name(checkpoint: str, batch_id: int) -> str:
+def batch_name(checkpoint: str, batch_id: int) -> str:
     """Name of a batch: the same when it runs again, another for every other stream."""
-    return f"s{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+    return f"s{hashlib.md5(same_path(checkpoint).encode()).hexdigest()[:12]}-{batch_id}"
 
 
 def write_stream(
@@ -121,15 +131,16 @@ def write_stream(
     trigger: str = FLUSH_INTERVAL,
     available_now: bool = False,
     compression: str = "lz4_raw",
+    index: str | None = None,
 ) -> StreamingQuery:
     """Append a stream of log rows to the day-partitioned table, exactly once.
 
     Batches have the layout of ``write_logs`` and mix with its appends; expired days can be
-    dropped meanwhile.
+    dropped meanwhile. With an ``index`` folder the term index follows; see :func:`append_batch`.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, target, _name(checkpoint, batch_id), compression)
+        append_batch(batch, target, batch_name(checkpoint, batch_id), compression, index)
 
     return _start(stream, load, checkpoint, trigger, available_now)
 
@@ -146,6 +157,7 @@ def stream_logs(
     as_of: str | Column | None = None,
     past: int = KEEP_PAST_DAYS,
     future: int = ACCEPT_FUTURE_DAYS,
+    index: str | None = None,
 ) -> StreamingQuery:
     """Documents in, table rows out, in micro-batches.
 
@@ -155,7 +167,7 @@ def stream_logs(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        name = _name(checkpoint, batch_id)
+        name = batch_name(checkpoint, batch_id)
         documents = batch.persist()
         try:
             rows = flatten_otlp(documents)
@@ -166,30 +178,32 @@ def stream_logs(
                 rows = parts.kept
                 for kind, bad in (("rows", parts.rejected), ("documents", broken_documents(documents))):
                     bad.write.mode("overwrite").parquet(f"{quarantine}/{kind}/batch={name}")
-            append_batch(rows, target, name)
+            append_batch(rows, target, name, index=index)
         finally:
             documents.unpersist()
 
     return _start(read_documents(spark, source, max_files), load, checkpoint, trigger, available_now)
 
 
-def compact_day(spark: SparkSession, path: str, day: str) -> int:
+def compact_day(spark: SparkSession, path: str, day: str, index: str | None = None) -> int:
     """Rewrite a day of the table into few sorted files; returns how many files it had.
 
-    For days that streams no longer write to, the table being read by nobody meanwhile.
+    For days that streams no longer write to, the table being read by nobody meanwhile. It may stop
+    anywhere: the list of files that come and go is written before the first one moves, and the
+    next call for any day finishes or discards what was left. With its ``index`` folder, the index
+    counts as complete for the new files if it was so for the old ones.
     """
-    jvm = spark.sparkContext._jvm
-    new = jvm.org.apache.hadoop.fs.Path
-    fs = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [f.getPath() for f in fs.globStatus(new(f"{path}/{DAY}={day}/*.parquet")) or []]
+    finish_replacements(spark, path)
+    folder = f"{DAY}={day}"
+    files = Files(spark, path).found(f"{path}/{folder}/*.parquet")
     if len(files) < 2:
         return len(files)
+    names = batch_names(spark, path)[folder]
     rows = read_logs(spark, path).where(F.col(DAY) == F.lit(day).cast("date")).drop(DAY)
+    name = f"compact{uuid.uuid4().hex[:8]}"
     staging = f"{path}/_staging/compact-{day}"
     write_logs(rows, staging, mode="overwrite")
-    for part in fs.globStatus(new(f"{staging}/{DAY}={day}/*.parquet")) or []:
-        fs.rename(part.getPath(), new(f"{path}/{DAY}={day}/compact-{part.getPath().getName()}"))
-    for old in files:
-        fs.delete(old, False)
-    fs.delete(new(staging), True)
+    if index is not None and names <= done_names(spark, f"{index}/postings").get(folder, set()):
+        mark_done(spark, f"{index}/postings", [folder], name)
+    replace(spark, staging, f"{path}/{folder}", files, name)
     return len(files)

@@ -15,6 +15,7 @@ from timberline.operators.patterns import (
     index_patterns,
     match_patterns,
 )
+from timberline.streaming.ingest import batch_name
 
 
 def ahead_of_time(stream: DataFrame, ahead: str = "1 hour") -> DataFrame:
@@ -65,14 +66,14 @@ def stream_match(
     """Match each micro-batch against saved patterns and append the result.
 
     Matching keeps no state and writes nothing but the result. A batch that is run again
-    replaces its own folder.
+    replaces its own folder, which is named by checkpoint and batch: several streams can share a target.
     """
     chosen = None if masks is None else tuple(masks)
     index = index_patterns(patterns)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         matched = match_patterns(batch, index, chosen)
-        matched.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        matched.write.mode("overwrite").parquet(f"{target}/batch={batch_name(checkpoint, batch_id)}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = (
