@@ -36,7 +36,7 @@ def tokens(body: Column) -> Column:
 
 
 def term_positions(body: Column) -> Column:
-    """``array<struct<term, positions>>``: each distinct token once, with its places in order.
+    """``array<struct<term, positions>>``: each distinct token once, with its places in order; none of no body.
 
     Tokens are sorted with their places, and a run of equal ones becomes an entry, so a long body
     takes no more than a sort. Sorted and cut arrays are bound to lambda variables; written out in a

@@ -190,9 +190,7 @@ class _Lookup:
         if self.rows is None or len(text) < GRAM:
             return self.all.where(holds)
         # the rows of one trigram, read by key; the rest of the text is tested on the term
-        grams = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
-        every = self.rows.where((F.col("kind") == PART) & _one_of("key", grams)).where(holds)
-        return every.select("term")
+        return self._keyed(PART, (F.col("key") == text[:GRAM]) & holds)
 
     def matching(self, pattern: str) -> DataFrame:
         fits = F.rlike("term", F.lit(pattern))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from timberline.fixtures import ORACLE_WEEKDAY, WEEKDAY_ERRORS_SQL, event_logs, weekday_errors
 from timberline.functions.scalars import LEVELS, level_severity, status_severity
 from timberline.operators import parsing
+from timberline.operators.patterns import mine_patterns
 from timberline.registry.base import (
     AS_OF,
     END,
@@ -21,10 +22,11 @@ from timberline.registry.base import (
     text,
 )
 from timberline.sources import logs as table
+from timberline.sources.files import Files
 from timberline.sources.otlp import flatten_otlp, parse_otlp, to_otlp
 from timberline.sources.scratch import scratch_path
-from timberline.streaming.ingest import dedupe_stream, stream_logs, write_stream
-from timberline.streaming.live import stream_volume
+from timberline.streaming.ingest import compact_day, dedupe_stream, stream_logs, write_stream
+from timberline.streaming.live import stream_match, stream_volume
 
 # --- telemetry documents ----------------------------------------------------------------
 
@@ -447,3 +449,46 @@ def _stream_volume(spark, sf):
         F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         "count",
     )
+
+
+@register("compact_read", on_logs(FLAT_SQL))
+def _compact_read(spark, sf):
+    """A streamed table after a compaction that stopped half-way and the one that finished it."""
+    target, checkpoint, path = (scratch_path(spark, n) for n in ("out", "check", "stream-source"))
+    rows = event_logs(spark, sf)
+    rows.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    write_stream(stream, target, checkpoint, available_now=True).awaitTermination()
+    real = Files.delete
+
+    def stop(self, path):
+        if "day=2024-01-10" in path:
+            raise InterruptedError(path)
+        real(self, path)
+
+    Files.delete = stop
+    try:
+        compact_day(spark, target, "2024-01-10")
+    except InterruptedError:
+        pass
+    finally:
+        Files.delete = real
+    compact_day(spark, target, "2024-01-11")
+    return _flat(table.read_logs(spark, target))
+
+
+@register(
+    "stream_match_two",
+    on_logs("SELECT log_id, service_name FROM logs WHERE body <> ''"),
+)
+def _stream_match_two(spark, sf):
+    """Two streams of different rows that write their matches to one folder."""
+    rows = event_logs(spark, sf)
+    patterns = mine_patterns(rows.where("severity_text = 'ERROR'")).patterns
+    target = scratch_path(spark, "matched")
+    for part in (0, 1):
+        path, checkpoint = scratch_path(spark, "stream-source"), scratch_path(spark, "check")
+        rows.where(F.col("log_id") % 2 == part).write.parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        stream_match(stream, patterns, target, checkpoint, available_now=True).awaitTermination()
+    return spark.read.parquet(target).select("log_id", "service_name")

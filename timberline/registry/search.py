@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from timberline.fixtures import conversations, documents, event_logs
 from timberline.functions.text import MODES, match
 from timberline.operators.search import (
     build_term_index,
+    catch_up,
+    days_behind,
     read_term_index,
     search_index,
     write_term_index,
 )
 from timberline.registry.base import on_logs, quoted, register
+from timberline.sources import logs as table
 from timberline.sources.logs import with_day
 from timberline.sources.scratch import scratch_path
+from timberline.streaming.ingest import append_batch, compact_day, write_stream
 
 TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 
@@ -163,3 +169,73 @@ def _term_index_documents(spark, sf):
 )
 def _term_index_logs(spark, sf):
     return _summary(build_term_index(with_day(event_logs(spark, sf))))
+
+
+# --- an index that follows its table ----------------------------------------------------
+
+_KEPT_FROM = date(2024, 1, 12)
+
+
+def _followed_sql(mode: str, since: date | None = None) -> str:
+    kept = f" AND day >= DATE '{since}'" if since else ""
+    return on_logs(
+        f"SELECT log_id, body FROM l WHERE {mode_sql(mode, LOG_QUERIES[mode], 't')}{kept}",
+        f"l AS (SELECT log_id, body, CAST(timestamp AS DATE) AS day, {TOKENS.format('body')} AS t "
+        "FROM logs WHERE body IS NOT NULL)",
+    )
+
+
+def _found_through(spark, target: str, index: str, mode: str):
+    logs = table.read_logs(spark, target)
+    schema = build_term_index(logs).schema
+    found = search_index(read_term_index(spark, index, schema), logs, LOG_QUERIES[mode], mode)
+    return found.select("log_id", "body")
+
+
+@register("index_after_stream", _followed_sql("MATCH_PHRASE_PREFIX", _KEPT_FROM))
+def _index_after_stream(spark, sf):
+    """Loaded by a stream, appended to, compacted, and rid of its oldest days, index and all."""
+    source, target, index, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "index", "check"))
+    rows = event_logs(spark, sf)
+    rows.where("log_id % 2 = 0").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    write_stream(stream, target, checkpoint, available_now=True, index=index).awaitTermination()
+    append_batch(rows.where("log_id % 2 = 1"), target, "second", index=index)
+    compact_day(spark, target, "2024-01-15", index=index)
+    table.drop_expired(spark, target, date(2024, 1, 17), past=5, index=index)
+    if days_behind(spark, target, index):
+        raise RuntimeError("the index is behind its table")
+    return _found_through(spark, target, index, "MATCH_PHRASE_PREFIX")
+
+
+@register("index_catch_up", _followed_sql("MATCH_REGEXP"))
+def _index_catch_up(spark, sf):
+    """Half of the table comes without its postings; the days concerned are found and indexed."""
+    target, index = (scratch_path(spark, n) for n in ("out", "index"))
+    rows = event_logs(spark, sf)
+    append_batch(rows.where("day(timestamp) % 2 = 0 OR log_id % 2 = 0"), target, "first", index=index)
+    table.write_logs(rows.where("day(timestamp) % 2 = 1 AND log_id % 2 = 1"), target)
+    catch_up(spark, target, index)
+    return _found_through(spark, target, index, "MATCH_REGEXP")
+
+
+@register(
+    "term_lookup",
+    f"WITH src AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), "
+    "terms AS (SELECT term, count(DISTINCT doc_id) AS records FROM (SELECT doc_id, unnest(t) AS term FROM src) "
+    "GROUP BY term) SELECT 'term' AS kind, term, records FROM terms WHERE prefix(term, 'th') "
+    "UNION ALL SELECT 'reversed', term, records FROM terms WHERE suffix(term, 'ion') "
+    "UNION ALL SELECT 'gram', term, records FROM terms WHERE contains(term, 'con')",
+)
+def _term_lookup(spark, sf):
+    """The dictionary by beginning, end and trigram."""
+    built = build_term_index(documents(spark, sf), keys=["doc_id"], body="text")
+    path = scratch_path(spark, "term-index")
+    write_term_index(built, path)
+    terms = read_term_index(spark, path, built.schema).terms
+    wanted = (
+        ((F.col("kind") == "term") & F.col("key").startswith("th"))
+        | ((F.col("kind") == "reversed") & F.col("key").startswith("noi"))
+        | ((F.col("kind") == "gram") & (F.col("key") == "con"))
+    )
+    return terms.where(wanted).select("kind", "term", "records")
