@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures import conversations, documents, event_logs
 from timberline.functions.text import MODES, match
+from timberline.operators import attributes
 from timberline.operators.search import (
     build_term_index,
     catch_up,
@@ -239,3 +240,35 @@ def _term_lookup(spark, sf):
         | ((F.col("kind") == "gram") & (F.col("key") == "con"))
     )
     return terms.where(wanted).select("kind", "term", "records")
+
+
+# --- attributes as columns --------------------------------------------------------------
+
+_STATUS = "json_extract_string(log_attributes, '$.\"http.status_code\"')"
+
+
+@register(
+    "attribute_census",
+    on_logs(
+        "SELECT bag, key, count(*) AS records, count(*) / (SELECT count(*) FROM logs) AS share FROM ("
+        "SELECT 'log_attributes' AS bag, unnest(json_keys(log_attributes)) AS key FROM logs UNION ALL "
+        "SELECT 'resource_attributes', unnest(json_keys(resource_attributes)) FROM logs) GROUP BY bag, key"
+    ),
+)
+def _attribute_census(spark, sf):
+    return attributes.attribute_census(event_logs(spark, sf))
+
+
+@register("attr_filter_promoted", on_logs(f"SELECT log_id, body FROM logs WHERE {_STATUS} = '503'"))
+def _attr_filter_promoted(spark, sf):
+    """A table of which one part was written before its common keys became columns."""
+    target = scratch_path(spark, "out")
+    rows = event_logs(spark, sf)
+    append_batch(rows.where("log_id % 3 = 0"), target, "before")
+    hot = attributes.hot_attributes(attributes.attribute_census(table.read_logs(spark, target)))
+    attributes.promote(spark, target, hot)
+    append_batch(rows.where("log_id % 3 = 1"), target, "after")
+    table.write_logs(rows.where("log_id % 3 = 2"), target)
+    compact_day(spark, target, "2024-01-15")
+    found = attributes.logs_by_attribute(spark, target, "log_attributes", "http.status_code", "503")
+    return found.select("log_id", "body")

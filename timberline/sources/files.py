@@ -13,6 +13,8 @@ from timberline.schema import DAY
 #: Beside the staged files of a replacement: which files go and which come.
 _PLAN = "_plan.json"
 _DONE = "_done-"
+#: In file names, before the name of the promoted attributes the file has as columns.
+TAG = "attr_"
 
 
 class Files:
@@ -65,19 +67,19 @@ def same_path(path: str) -> str:
     return re.sub(r"(?<!:)/+", "/", path).rstrip("/") or "/"
 
 
-def publish(spark: SparkSession, staging: str, target: str, name: str) -> None:
+def publish(spark: SparkSession, staging: str, target: str, name: str, tag: str = "") -> None:
     """Move the files of a staged batch into the table, by days where it has them.
 
-    What the batch left there before is replaced.
+    What the batch left there before is replaced, whatever its tag.
     """
     files = Files(spark, target)
     for old in files.found(f"{target}/{name}-*") + files.found(f"{target}/{DAY}=*/{name}-*"):
         files.delete(old)
     for part in files.found(f"{staging}/*.parquet"):
-        files.move(part, f"{target}/{name}-{part.split('/')[-1]}")
+        files.move(part, f"{target}/{name}-{tag}{part.split('/')[-1]}")
     for part in files.found(f"{staging}/{DAY}=*/*.parquet"):
         folder, file = part.split("/")[-2:]
-        files.move(part, f"{target}/{folder}/{name}-{file}")
+        files.move(part, f"{target}/{folder}/{name}-{tag}{file}")
     files.delete(staging)
 
 
@@ -86,7 +88,8 @@ def batch_names(spark: SparkSession, path: str) -> dict[str, set[str]]:
     out: dict[str, set[str]] = {}
     for file in Files(spark, path).found(f"{path}/{DAY}=*/*.parquet"):
         folder, name = file.split("/")[-2:]
-        out.setdefault(folder, set()).add(name.rsplit("part-", 1)[0].rstrip("-"))
+        batch = re.sub(rf"-?{TAG}[0-9a-f]+-$", "", name.rsplit("part-", 1)[0])
+        out.setdefault(folder, set()).add(batch.rstrip("-"))
     return out
 
 
@@ -105,7 +108,9 @@ def done_names(spark: SparkSession, path: str) -> dict[str, set[str]]:
     return out
 
 
-def replace(spark: SparkSession, staging: str, folder: str, old: list[str], name: str) -> None:
+def replace(
+    spark: SparkSession, staging: str, folder: str, old: list[str], name: str, tag: str = ""
+) -> None:
     """Put the staged files of a day folder in place of ``old`` ones.
 
     The plan is written before anything moves. A run that stops leaves it, and
@@ -113,7 +118,7 @@ def replace(spark: SparkSession, staging: str, folder: str, old: list[str], name
     """
     files = Files(spark, folder)
     staged = files.found(f"{staging}/{DAY}=*/*.parquet")
-    moves = {s: f"{folder}/{name}-{s.split('/')[-1]}" for s in staged}
+    moves = {s: f"{folder}/{name}-{tag}{s.split('/')[-1]}" for s in staged}
     files.write(f"{staging}/{_PLAN}", json.dumps({"moves": moves, "old": old}))
     _carry_out(files, staging)
 

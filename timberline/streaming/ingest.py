@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from timberline.operators.attributes import with_promoted
 from timberline.operators.search import publish_postings
 from timberline.schema import DAY
 from timberline.sources.files import (
@@ -98,16 +99,18 @@ def append_batch(
     Files are staged beside the table and then moved into their days, so readers and batch
     appends see one plain table without a commit log. With an ``index`` folder the batch's postings are
     published there under the same name, from the staged rows and before them: a record that can be
-    read can be found, and a batch that stops half-way replaces both when it runs again.
+    read can be found, and a batch that stops half-way replaces both when it runs again. Attributes that
+    are promoted for the table are written as columns, too.
     """
     spark = batch.sparkSession
     staging = f"{target}/_staging/{name}"
+    batch, tag = with_promoted(batch, target)
     write_logs(batch, staging, compression, mode="overwrite")
     if index is not None:
         rows = read_logs(spark, staging)
         folders = {f.split("/")[-2] for f in Files(spark, staging).found(f"{staging}/{DAY}=*/*.parquet")}
         publish_postings(rows, index, name, folders)
-    publish(spark, staging, target, name)
+    publish(spark, staging, target, name, tag)
 
 
 def _start(
@@ -202,8 +205,9 @@ def compact_day(spark: SparkSession, path: str, day: str, index: str | None = No
     rows = read_logs(spark, path).where(F.col(DAY) == F.lit(day).cast("date")).drop(DAY)
     name = f"compact{uuid.uuid4().hex[:8]}"
     staging = f"{path}/_staging/compact-{day}"
+    rows, tag = with_promoted(rows, path)
     write_logs(rows, staging, mode="overwrite")
     if index is not None and names <= done_names(spark, f"{index}/postings").get(folder, set()):
         mark_done(spark, f"{index}/postings", [folder], name)
-    replace(spark, staging, f"{path}/{folder}", files, name)
+    replace(spark, staging, f"{path}/{folder}", files, name, tag)
     return len(files)
