@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.functions.text import DEFAULT_MODE, query_tokens, term_positions
+from timberline.operators.rollup import write_counts
 from timberline.schema import DAY
 from timberline.sources.files import Files, batch_names, done_names, mark_done, publish
 from timberline.sources.logs import read_logs
@@ -114,8 +115,9 @@ def read_term_index(spark: SparkSession, path: str, schema: T.StructType) -> Ter
 
 
 def publish_postings(rows: DataFrame, path: str, name: str, folders: Collection[str]) -> None:
-    """The postings of a batch of a day-partitioned table under its name; marks its days as done."""
+    """Postings and counts of a batch of a day-partitioned table under its name; marks its days as done."""
     write_term_index(build_term_index(rows), path, name)
+    write_counts(rows, path, name)
     mark_done(rows.sparkSession, f"{path}/postings", folders, name)
 
 
@@ -136,9 +138,11 @@ def catch_up(spark: SparkSession, table: str, path: str) -> list[str]:
         own = logs[DAY].isNull() if day == "__HIVE_DEFAULT_PARTITION__" else logs[DAY] == F.lit(day).cast("date")
         for old in files.found(f"{path}/*/{folder}"):
             files.delete(old)
-        write_term_index(build_term_index(logs.where(own)), path, f"day{uuid.uuid4().hex[:8]}")
-        for name in names[folder]:
-            mark_done(spark, f"{path}/postings", [folder], name)
+        name = f"day{uuid.uuid4().hex[:8]}"
+        write_term_index(build_term_index(logs.where(own)), path, name)
+        write_counts(logs.where(own), path, name)
+        for done in names[folder]:
+            mark_done(spark, f"{path}/postings", [folder], done)
     return days
 
 

@@ -84,6 +84,11 @@ def overview(logs: DataFrame, start: Moment = None, end: Moment = None) -> DataF
         .groupBy("severity_text", "service_name")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return facets_of(pairs)
+
+
+def facets_of(pairs: DataFrame) -> DataFrame:
+    """``facet, value, count`` of ``severity_text, service_name, n``."""
     sets = pairs.groupingSets(
         [[], ["severity_text"], ["service_name"]], "severity_text", "service_name"
     ).agg(

@@ -8,6 +8,7 @@ from timberline.fixtures import event_logs
 from timberline.functions import scalars
 from timberline.operators import filters, paging, stats
 from timberline.plans.explorer import overview_report
+from timberline.operators import rollup
 from timberline.registry.base import (
     AS_OF,
     END,
@@ -19,6 +20,9 @@ from timberline.registry.base import (
     register,
     text,
 )
+from timberline.sources.logs import read_logs
+from timberline.sources.scratch import scratch_path
+from timberline.streaming.ingest import append_batch, compact_day
 
 # --- counts ---------------------------------------------------------------------------
 
@@ -445,3 +449,26 @@ def _labels(spark, sf):
         scalars.bag_to_json(bag).alias("attributes"),
         F.floor(status / 100).cast("int").alias("family"),
     )
+
+
+# --- answers from kept counts -----------------------------------------------------------
+
+
+def _kept_counts(spark, sf):
+    """A table written in two batches, one of them twice, and compacted; with its counts."""
+    target, beside = scratch_path(spark, "out"), scratch_path(spark, "index")
+    rows = event_logs(spark, sf)
+    for name, part in (("a", 0), ("b", 1), ("a", 0)):
+        append_batch(rows.where(F.col("log_id") % 2 == part), target, name, index=beside)
+    compact_day(spark, target, "2024-01-15", index=beside)
+    return read_logs(spark, target), rollup.read_counts(spark, beside)
+
+
+@register("overview_counted", ORACLES["overview_sets"])
+def _overview_counted(spark, sf):
+    return rollup.overview(*_kept_counts(spark, sf), START, END)
+
+
+@register("hourly_volume_counted", ORACLES["hourly_volume"])
+def _hourly_counted(spark, sf):
+    return rollup.hourly_volume(*_kept_counts(spark, sf), AS_OF)
