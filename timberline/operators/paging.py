@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.scalars import parse_ts, unit_number, unit_start, utc_day
-from timberline.operators.filters import filter_logs, page_columns, time_range
+from timberline.operators.filters import Moment, filter_logs, page_columns
+from timberline.operators.rollup import counted
 from timberline.schema import DAY
+from timberline.sources.scratch import materialize
 
 DEFAULT_LIMIT = 200
 MAX_LIMIT = 2000
@@ -42,6 +44,7 @@ def log_page(
     offset: int = 0,
     with_id: bool = False,
     deep_offset: int = DEEP_OFFSET,
+    counts: DataFrame | None = None,
     **filters,
 ) -> LogPage:
     """One page under the given filters, and the total under the same filters.
@@ -50,24 +53,47 @@ def log_page(
     ``deep_offset`` rows the page is therefore looked for first, by counts per day, hour,
     minute and second; only the second it starts in is left to skip in. Cheaper still is
     to hand the last row of a page to :func:`log_page_after`.
+
+    With the table's kept ``counts`` (see ``rollup``) the total and the place are found from them, and
+    only the minute it starts in is counted in the records. A text search has no counts.
     """
     _check(limit, offset)
     found = filter_logs(logs, **filters)
-    rest, skip = (found, offset) if offset <= deep_offset else _seek(found, offset)
+    sizes = None
+    if counts is not None and not filters.get("q"):
+        sizes = materialize(_minute_sizes(logs, counts, **filters), "sizes")
+    rest, skip = (found, offset) if offset <= deep_offset else _seek(found, offset, sizes)
     page = rest.orderBy(*newest_first())
     if skip:
         page = page.offset(skip)
+    total = F.count(F.lit(1)) if sizes is None else F.coalesce(F.sum("n"), F.lit(0))
     return LogPage(
-        page_columns(page.limit(limit), with_id), found.agg(F.count(F.lit(1)).alias("total"))
+        page_columns(page.limit(limit), with_id),
+        (found if sizes is None else sizes).agg(total.alias("total")),
     )
 
 
-def _seek(found: DataFrame, offset: int) -> tuple[DataFrame, int]:
+def _minute_sizes(
+    logs: DataFrame,
+    counts: DataFrame,
+    severity: str = "",
+    service: str = "",
+    start: Moment = None,
+    end: Moment = None,
+    **_,
+) -> DataFrame:
+    """``timestamp, n`` by minute of the records under filters other than text, from kept counts."""
+    rows = filter_logs(counted(logs, counts, start, end), severity=severity, service=service)
+    return rows.groupBy(F.col("minute").alias("timestamp")).agg(F.sum("n").alias("n"))
+
+
+def _seek(found: DataFrame, offset: int, sizes: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Rows from the second on that holds row number ``offset``, and how many to skip."""
     ts = F.col("timestamp")
-    scope, end, skip = found, None, offset
+    ones = found.withColumn("n", F.lit(1))
+    scope, end, skip = ones if sizes is None else sizes, None, offset
     for seconds in (86400, 3600, 60, 1):
-        counts = scope.groupBy(unit_number(ts, seconds).alias("start")).count()
+        counts = scope.groupBy(unit_number(ts, seconds).alias("start")).agg(F.sum("n").alias("count"))
         # One row per calendar unit of the unit above: few, whatever the table holds.
         for row in counts.orderBy(F.col("start").desc_nulls_last()).collect():
             if skip < row["count"]:
@@ -79,7 +105,11 @@ def _seek(found: DataFrame, offset: int) -> tuple[DataFrame, int]:
             return found.where(ts.isNull()), skip
         first = unit_start(F.lit(row["start"]), seconds)
         end = unit_start(F.lit(row["start"] + 1), seconds)
-        scope = time_range(found, first, end).where(ts < end)
+        # minutes are not cut by any unit but the second
+        source = ones if sizes is None or seconds == 60 else sizes
+        scope = source.where((ts >= first) & (ts < end))
+        if DAY in source.columns:
+            scope = scope.where(F.col(DAY).between(utc_day(first), utc_day(end)))
     rest = found.where((ts < end) | ts.isNull())
     if DAY in found.columns:
         rest = rest.where((F.col(DAY) <= utc_day(end)) | F.col(DAY).isNull())

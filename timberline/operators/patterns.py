@@ -1,6 +1,7 @@
 """Log patterns: templates of masked lines with stable, content-derived ids.
 
-Mining runs in three distributed steps and ships no raw lines to Python:
+Mining masks every line once and counts equal ones; what follows runs on these counts, in three
+distributed steps, and ships no raw lines to Python:
 
 1. *Profiles*. A line's skeleton has the wildcard for every token with a digit. Positions with
    more than a few distinct values are parameters: a 64-bit sketch of hash slots per
@@ -40,6 +41,7 @@ from timberline.functions.templates import (
 )
 from timberline.operators import clustering
 from timberline.operators.filters import non_empty_body
+from timberline.operators.masking import masked_counts
 from timberline.operators.paging import newest_first
 from timberline.settings import MiningConfig
 from timberline.sources.scratch import materialize
@@ -78,11 +80,6 @@ class PatternModel:
         return cls(tuple(masks), config, **frames)
 
 
-def _lines(logs: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    masked = non_empty_body(logs).select(*keep, masked_line(F.col("body"), masks).alias("masked"))
-    return masked.withColumn("skeleton", skeleton(F.col("masked")))
-
-
 def skeleton_profiles(lines: DataFrame, config: MiningConfig) -> DataFrame:
     """Parameter positions of every skeleton that has any: ``skeleton, params``."""
     values = F.zip_with(
@@ -254,16 +251,30 @@ def mine_patterns(
 ) -> PatternModel:
     """Mine the templates of all non-empty bodies; no row is left out.
 
-    Runs the scans described above and keeps the small results as tables in the shared
-    checkpoint folder. The logs are read three times: for sketches, for the values of positions
-    with few, and for the entries.
+    The logs are read and masked once; see :func:`mine_counts` for the rest.
+    """
+    chosen = select_masks(masks)
+    return mine_counts(materialize(masked_counts(logs, chosen), "lines"), chosen, config)
+
+
+def mine_counts(
+    lines: DataFrame,
+    masks: Iterable[str] | None = None,
+    config: MiningConfig = MiningConfig(),
+) -> PatternModel:
+    """The model of counted lines: ``masked, count, first_ts, last_ts``.
+
+    A line may come in several rows, so counts of parts of a table are mined as their union. Small
+    results are kept as tables in the shared checkpoint folder. The counts are read three times: for
+    sketches, for the values of positions with few, and for the entries.
     """
     chosen = select_masks(masks)
-    profiles = materialize(skeleton_profiles(_lines(logs, chosen), config), "profiles")
-    counted = _with_entry(_lines(logs, chosen, "timestamp"), profiles).groupBy("entry").agg(
-        F.count(F.lit(1)).alias("weight"),
-        F.min("timestamp").alias("first_ts"),
-        F.max("timestamp").alias("last_ts"),
+    lines = lines.withColumn("skeleton", skeleton(F.col("masked")))
+    profiles = materialize(skeleton_profiles(lines, config), "profiles")
+    counted = _with_entry(lines, profiles).groupBy("entry").agg(
+        F.sum("count").alias("weight"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
     )
     entries = materialize(counted.withColumnRenamed("entry", "source"), "entries")
     placed = place_in_buckets(entries.select("source", "weight"), config)
@@ -453,7 +464,7 @@ def position_templates(
 
     A built-in alternative to mining; counting happens before every shuffle.
     """
-    lines = _lines(logs, select_masks(masks))
+    lines = non_empty_body(logs).select(masked_line(F.col("body"), select_masks(masks)).alias("masked"))
     k = config.prefix_tokens
     tokens = line_tokens(F.col("masked"))
     lead = F.array_join(_prefix(F.col("masked"), k), " ")

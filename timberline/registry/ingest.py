@@ -26,7 +26,13 @@ from timberline.sources.files import Files
 from timberline.sources.otlp import flatten_otlp, parse_otlp, to_otlp
 from timberline.sources.scratch import scratch_path
 from timberline.streaming.ingest import compact_day, dedupe_stream, stream_logs, write_stream
-from timberline.streaming.live import stream_match, stream_volume
+from timberline.streaming.live import (
+    merge_volume,
+    read_volume,
+    stream_counts,
+    stream_match,
+    stream_volume,
+)
 
 # --- telemetry documents ----------------------------------------------------------------
 
@@ -451,6 +457,44 @@ def _stream_volume(spark, sf):
     )
 
 
+@register("stream_dedupe_history", on_logs(FLAT_SQL))
+def _stream_dedupe_history(spark, sf):
+    """The whole month sent again by a stream of its own after the first has ended; the filters tell."""
+    target, seen = scratch_path(spark, "out"), scratch_path(spark, "seen")
+    for _ in range(2):
+        write_stream(
+            _stream_table(spark, sf), target, scratch_path(spark, "check"), available_now=True, seen=seen
+        ).awaitTermination()
+    return _flat(table.read_logs(spark, target))
+
+
+@register(
+    "stream_volume_late",
+    on_logs(
+        """
+SELECT service_name, strftime(time_bucket(INTERVAL '1 hour', timestamp, TIMESTAMP '1970-01-01'),
+       '%Y-%m-%dT%H:%M:%SZ') AS ts, count(*) AS count
+FROM logs GROUP BY 1, 2
+"""
+    ),
+)
+def _stream_volume_late(spark, sf):
+    """Newest records first, so that nearly all of them are days late; one day is merged on the way."""
+    target, checkpoint, path = (scratch_path(spark, n) for n in ("out", "check", "stream-source"))
+    rows = event_logs(spark, sf)
+    keys = ["service_name"]
+    for part in (F.col("timestamp") >= "2024-01-15", F.col("timestamp") < "2024-01-15"):
+        rows.where(part).repartition(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        stream_counts(stream, target, checkpoint, "1h", keys, available_now=True).awaitTermination()
+        merge_volume(spark, target, "2024-01-20", keys)
+    return read_volume(spark, target, keys).select(
+        "service_name",
+        F.date_format("bucket_start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        "count",
+    )
+
+
 @register("compact_read", on_logs(FLAT_SQL))
 def _compact_read(spark, sf):
     """A streamed table after a compaction that stopped half-way and the one that finished it."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures import event_logs
 from timberline.functions import templates as T
+from timberline.operators import growing
 from timberline.operators import patterns as P
 from timberline.operators.filters import non_empty_body
 from timberline.operators.stats import labelled
@@ -93,20 +94,16 @@ def mined(spark, sf):
     return logs, P.mine_patterns(logs)
 
 
-@register(
-    "pattern_list",
-    mined_sql(
-        f"""
+LIST_SQL = f"""
 SELECT pattern_id, template, CAST(len(string_split(template, ' ')) AS INT) AS n_tokens,
        count(*) AS count, concat_ws(', ', {LABELS_SQL.format(source='template')}) AS mask_labels,
        CAST(min(timestamp) AS VARCHAR) AS first_ts, CAST(max(timestamp) AS VARCHAR) AS last_ts
 FROM mined GROUP BY pattern_id, template HAVING count(*) >= 2
 ORDER BY count DESC, pattern_id LIMIT 50
 """
-    ),
-)
-def pattern_list(spark, sf):
-    _, model = mined(spark, sf)
+
+
+def _listed(model):
     rows = P.list_patterns(model, min_count=2, limit=50)
     return rows.select(
         "pattern_id", "template", "n_tokens", "count",
@@ -116,6 +113,11 @@ def pattern_list(spark, sf):
     )
 
 
+@register("pattern_list", mined_sql(LIST_SQL))
+def pattern_list(spark, sf):
+    return _listed(mined(spark, sf)[1])
+
+
 @register(
     "pattern_coverage",
     on_logs(
@@ -138,6 +140,47 @@ def _coverage(spark, sf):
     return seen.withColumn("counted", counted)
 
 
+PARTS = ("2024-01-08", "2024-01-19", "2024-02-28")
+
+
+def _add_part(logs, path, part: int):
+    at = F.col("timestamp")
+    low, high = ("1970-01-01", *PARTS)[part : part + 2]
+    rows = logs.where((at >= F.lit(low).cast("timestamp")) & (at < F.lit(high).cast("timestamp")))
+    growing.add_lines(rows, path, f"part{part}")
+    return rows
+
+
+@register("pattern_list_growing", mined_sql(LIST_SQL))
+def _growing(spark, sf):
+    """Three ranges of days added one after the other, one of them twice under its name."""
+    logs, path = event_logs(spark, sf), scratch_path(spark, "book")
+    for part in (0, 1, 1, 2):
+        _add_part(logs, path, part)
+    return _listed(growing.mine_lines(spark, path))
+
+
+@register(
+    "pattern_succession",
+    mined_sql("SELECT pattern_id AS old_id, count(*) AS count, 1 AS successors FROM mined GROUP BY 1").replace(
+        LINES_CTE,
+        LINES_CTE.replace("FROM logs", f"FROM (SELECT * FROM logs WHERE timestamp < TIMESTAMP '{PARTS[0]}') AS logs"),
+    ),
+)
+def _succession(spark, sf):
+    """Every pattern of the first days has one successor, and its lines are all dealt to new ones."""
+    logs, path = event_logs(spark, sf), scratch_path(spark, "book")
+    _add_part(logs, path, 0)
+    old = growing.mine_lines(spark, path)
+    lines = growing.read_lines(spark, path).where(F.col("day") < PARTS[0])
+    for part in (1, 2):
+        _add_part(logs, path, part)
+    moved = growing.succession(old, growing.mine_lines(spark, path), lines)
+    return moved.groupBy("old_id").agg(
+        F.sum("count").alias("count"), F.count_if("main").cast("int").alias("successors")
+    )
+
+
 SERIES_SQL = """
 SELECT pattern_id, strftime(time_bucket(INTERVAL '{width}', timestamp, TIMESTAMP '1970-01-01'),
        '%Y-%m-%dT%H:%M:%SZ') AS ts, count(*) AS count

@@ -270,6 +270,26 @@ def _log_page_deep(spark, sf):
     return _flat_page(paging.log_page(logs, 150, offset, with_id=True, deep_offset=0).rows)
 
 
+@register(
+    "log_page_deep_counts",
+    on_logs(
+        PAGE_SQL
+        + "FROM logs WHERE severity_text = 'INFO' ORDER BY logs.timestamp DESC, log_id DESC "
+        "LIMIT 150 OFFSET (SELECT CAST(0.4 * count(*) AS BIGINT) FROM logs WHERE severity_text = 'INFO')"
+    ),
+)
+def _log_page_deep_counts(spark, sf):
+    """A page far down under a filter, found from the kept counts."""
+    logs, beside = event_logs(spark, sf), scratch_path(spark, "beside")
+    rollup.write_counts(logs, beside, "all")
+    own = logs.where("severity_text = 'INFO'").count()
+    page = paging.log_page(
+        logs, 150, (own * 4 + 5) // 10, with_id=True, deep_offset=0,
+        counts=rollup.read_counts(spark, beside), severity="INFO",
+    )
+    return _flat_page(page.rows)
+
+
 @register(
     "log_page_ties",
     on_logs(

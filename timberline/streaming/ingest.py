@@ -31,6 +31,7 @@ from timberline.sources.logs import (
     write_logs,
 )
 from timberline.sources.otlp import READ_SCHEMA, broken_documents, flatten_otlp
+from timberline.streaming.replays import publish_seen, without_replays
 
 #: Flush interval of the load. Fixed value.
 FLUSH_INTERVAL = "5 seconds"
@@ -93,6 +94,7 @@ def append_batch(
     name: str,
     compression: str = "lz4_raw",
     index: str | None = None,
+    seen: str | None = None,
 ) -> None:
     """Append one batch to the table as ``write_logs`` does; under the same name it replaces itself.
 
@@ -100,16 +102,22 @@ def append_batch(
     appends see one plain table without a commit log. With an ``index`` folder the batch's postings are
     published there under the same name, from the staged rows and before them: a record that can be
     read can be found, and a batch that stops half-way replaces both when it runs again. Attributes that
-    are promoted for the table are written as columns, too.
+    are promoted for the table are written as columns, too. With a ``seen`` folder records the table already
+    has are left out, however old they are; see :mod:`timberline.streaming.replays`.
     """
     spark = batch.sparkSession
+    if seen is not None:
+        batch = without_replays(batch, target, seen, name)
     staging = f"{target}/_staging/{name}"
     batch, tag = with_promoted(batch, target)
     write_logs(batch, staging, compression, mode="overwrite")
-    if index is not None:
+    if index is not None or seen is not None:
         rows = read_logs(spark, staging)
         folders = {f.split("/")[-2] for f in Files(spark, staging).found(f"{staging}/{DAY}=*/*.parquet")}
-        publish_postings(rows, index, name, folders)
+        if seen is not None:
+            publish_seen(rows, seen, name, folders)
+        if index is not None:
+            publish_postings(rows, index, name, folders)
     publish(spark, staging, target, name, tag)
 
 
@@ -135,15 +143,17 @@ def write_stream(
     available_now: bool = False,
     compression: str = "lz4_raw",
     index: str | None = None,
+    seen: str | None = None,
 ) -> StreamingQuery:
     """Append a stream of log rows to the day-partitioned table, exactly once.
 
     Batches have the layout of ``write_logs`` and mix with its appends; expired days can be
-    dropped meanwhile. With an ``index`` folder the term index follows; see :func:`append_batch`.
+    dropped meanwhile. With an ``index`` folder the term index follows, with a ``seen`` folder replays are
+    left out; see :func:`append_batch`.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, target, batch_name(checkpoint, batch_id), compression, index)
+        append_batch(batch, target, batch_name(checkpoint, batch_id), compression, index, seen)
 
     return _start(stream, load, checkpoint, trigger, available_now)
 
@@ -161,6 +171,7 @@ def stream_logs(
     past: int = KEEP_PAST_DAYS,
     future: int = ACCEPT_FUTURE_DAYS,
     index: str | None = None,
+    seen: str | None = None,
 ) -> StreamingQuery:
     """Documents in, table rows out, in micro-batches.
 
@@ -181,7 +192,7 @@ def stream_logs(
                 rows = parts.kept
                 for kind, bad in (("rows", parts.rejected), ("documents", broken_documents(documents))):
                     bad.write.mode("overwrite").parquet(f"{quarantine}/{kind}/batch={name}")
-            append_batch(rows, target, name, index=index)
+            append_batch(rows, target, name, index=index, seen=seen)
         finally:
             documents.unpersist()
 
