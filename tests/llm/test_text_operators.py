@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.llm import decontaminate, html_text, quality, secrets, url_filter
 
@@ -63,6 +65,17 @@ def test_passages_equal_all_windows(frame, items, block_bytes):
         assert len(hit) == r.n_hit
 
 
+def test_items_with_the_same_words(frame, spark):
+    """Many equal items and many occurrences: owners are listed once a text, words counted once."""
+    words = " ".join(f"w{i}" for i in range(14))
+    items = spark.createDataFrame([(f"i{n:04d}", words) for n in range(2_000)], "item_id string, text string")
+    for block_bytes in (1 << 20, 20_000):
+        found = decontaminate.find_passages(frame([f"{words} " * 300, "no"]), items, block_bytes=block_bytes)
+        first, second = sorted(found.collect())
+        assert (first.n_words, first.n_hit, len(first["items"]), len(first.spans)) == (4200, 4200, 2000, 1)
+        assert (second.n_hit, second["items"], second.spans) == (0, [], [])
+
+
 def test_cutting_passages(frame, items):
     texts = ["Then: was it then só? Yes.", "was it then só", None, "", "clean text", "été was IT then SÓ été"]
     rows = frame(texts, [0, 1, 2, 3, None, 3])
@@ -295,3 +308,27 @@ def test_secrets_are_counted_by_documents_and_owners(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {(s.documents, s.owners, s.rank) for r in secrets.scan(docs).collect() for s in r.spans}
     assert got == {(3, 2, 0), (1, 1, 1)}
+
+
+def test_documents_and_owners_tell_examples(spark):
+    """Two owners share one value in 20 texts and another in 19; copies of a text are one document."""
+    rows = [(i, f"{i} token = exampleexample1", f"s{i % 2}") for i in range(20)]
+    rows += [(100 + i, f"{i} token = sharedshared123", f"s{i % 2}") for i in range(19)]
+    rows += [(200 + i, "0 token = sharedshared123", "s0") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert all((got[i].n_live, got[i].n_copied) == (0, 1) for i in range(20))
+    assert all((got[i].n_live, got[i].n_copied) == (1, 0) for i in [*range(100, 119), *range(200, 230)])
+    assert (got[200].spans[0]["documents"], got[200].spans[0]["owners"]) == (19, 2)
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places in a very long text, against Python; opaque runs beside and inside base spans."""
+    n = 100_000
+    parts = [f"{i:016x} é password={i:012d} aB3dE6gH9jK2mN5pQ8s{i:06d} " for i in range(n // 4)]
+    text = "".join(parts)
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    started = time.time()
+    (row,) = secrets.scan(docs).select("doc_id", secrets.written(F.col("base")).alias("base"), F.size("spans").alias("n")).collect()
+    assert row.base == brute_secrets(text) and row.n == 3 * (n // 4)
+    assert time.time() - started < 60

@@ -193,10 +193,11 @@ WITH docs AS (
   SELECT * FROM opaque o WHERE NOT EXISTS (
     SELECT 1 FROM base b WHERE b.n = o.n AND b.start < o.stop AND o.start < b.stop)
 ), judged AS (
-  SELECT f.*, owners < 3 AS live FROM found f
-  JOIN (SELECT value, count(DISTINCT source) AS owners FROM found GROUP BY value) USING (value)
+  SELECT f.*, documents, owners, owners < 3 AND (owners < 2 OR documents < 20) AS live FROM found f
+  JOIN (SELECT value, count(DISTINCT found.source) AS owners, count(DISTINCT text) AS documents
+        FROM found JOIN docs USING (n) GROUP BY value) USING (value)
 ), texts AS (
-  SELECT n, rank, live, start,
+  SELECT n, rank, live, start, concat(documents, '/', owners) AS seen,
     concat_ws(':', ['assign', 'access', 'hex', 'owned'][rank + 1], start, stop) AS t
   FROM judged WHERE rank < 3 OR live
 ), per AS (
@@ -204,12 +205,13 @@ WITH docs AS (
     count(*) FILTER (rank = 2) AS n_hex,
     string_agg(t, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
     string_agg(t, ',' ORDER BY start, rank) AS spans,
+    string_agg(seen, ',' ORDER BY start, rank) AS seen,
     count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
   FROM texts GROUP BY n
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
   coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(seen, '') AS seen, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM docs LEFT JOIN per USING (n)
 """
 
@@ -228,6 +230,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         number(2).alias("n_hex"),
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
+        F.array_join(
+            F.transform("spans", lambda s: F.concat_ws("/", s["documents"].cast("string"), s["owners"].cast("string"))),
+            ",",
+        ).alias("seen"),
         "n_live",
         "n_copied",
     )
