@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures import event_logs
 from timberline.functions import templates as T
-from timberline.operators import growing
+from timberline.operators import growing, matching
 from timberline.operators import patterns as P
 from timberline.operators.filters import non_empty_body
 from timberline.operators.stats import labelled
-from timberline.registry.base import on_logs, register
+from timberline.registry.base import SQL_START, START, on_logs, register
 from timberline.registry.masks import LABELS_SQL, LINES_CTE
 from timberline.sources.scratch import scratch_path
 from timberline.streaming.live import stream_match
@@ -331,3 +331,42 @@ def _stream_match(spark, sf):
         stream, position_patterns(logs), target, checkpoint, available_now=True
     ).awaitTermination()
     return spark.read.parquet(target).select("log_id", "pattern_id", "template")
+
+
+# Templates of the days before START, one for each distinct line and position, against all logs. A line
+# is fitted by itself with one position open, so the check needs no comparison of all pairs.
+MANY_SQL = on_logs(
+    f"""
+SELECT v.log_id, min(k.pattern_id) AS pattern_id,
+       arg_min(k.template, k.pattern_id) AS template
+FROM variants v LEFT JOIN known k ON k.template = v.template GROUP BY v.log_id
+""",
+    LINES_CTE,
+    f"""cut AS (SELECT log_id, string_split(masked, ' ') AS t FROM lines),
+places AS (SELECT log_id, t, unnest(range(1, len(t) + 1)) AS i FROM cut),
+variants AS (SELECT log_id, array_to_string(list_concat(t[1:i - 1], ['<*>'], t[i + 1:]), ' ') AS template
+  FROM places),
+known AS (SELECT DISTINCT v.template,
+    md5(concat_ws('|', len(string_split(v.template, ' ')), v.template)) AS pattern_id
+  FROM variants v JOIN logs l USING (log_id) WHERE l.timestamp < {SQL_START})""",
+)
+
+
+def open_templates(logs):
+    """Every distinct masked line with each of its positions open in turn."""
+    tokens = T.line_tokens(T.masked_line(F.col("body")))
+    lines = non_empty_body(logs).select(tokens.alias("t")).distinct()
+    opened = lines.select("t", F.posexplode("t").alias("i", "token")).select(
+        F.array_join(F.transform("t", lambda x, at: F.when(at == F.col("i"), T.WILD).otherwise(x)), " ").alias(
+            "template"
+        )
+    )
+    return opened.distinct().select(T.template_id(F.col("template")).alias("pattern_id"), "template")
+
+
+@register("match_patterns_many", MANY_SQL)
+def _match_many(spark, sf):
+    """Some patterns for every line, so the tree has nearly as many leaves as there are tokens."""
+    logs = event_logs(spark, sf)
+    earlier = open_templates(logs.where(F.col("timestamp") < F.to_timestamp(F.lit(START))))
+    return matching.match_many(logs, earlier).select("log_id", "pattern_id", "template")

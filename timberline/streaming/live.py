@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timberline.functions.scalars import bucket_window, parse_ts, utc_day
 from timberline.operators.filters import Moment
+from timberline.operators.matching import TreeIndex, match_many
 from timberline.operators.patterns import (
     PatternModel,
     assign_patterns,
@@ -137,7 +138,7 @@ def stream_assign(stream: DataFrame, model: PatternModel) -> DataFrame:
 
 def stream_match(
     stream: DataFrame,
-    patterns: DataFrame,
+    patterns: DataFrame | TreeIndex,
     target: str,
     checkpoint: str,
     masks: Iterable[str] | None = None,
@@ -148,12 +149,15 @@ def stream_match(
 
     Matching keeps no state and writes nothing but the result. A batch that is run again
     replaces its own folder, which is named by checkpoint and batch: several streams can share a target.
+    Very many patterns are given as an index of trees; what is found is the same.
     """
     chosen = None if masks is None else tuple(masks)
-    index = index_patterns(patterns)
+    trees = isinstance(patterns, TreeIndex)
+    index = patterns if trees else index_patterns(patterns)
+    match = match_many if trees else match_patterns
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        matched = match_patterns(batch, index, chosen)
+        matched = match(batch, index, chosen)
         matched.write.mode("overwrite").parquet(f"{target}/batch={batch_name(checkpoint, batch_id)}")
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
