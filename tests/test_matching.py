@@ -127,3 +127,25 @@ def test_one_block_shuffles_nothing_and_streams(spark, tmp_path):
                 M.match_many(stream, index)
         stream_match(stream, index, f"{target}-{name}", str(tmp_path / name), available_now=True).awaitTermination()
         assert sorted(spark.read.parquet(f"{target}-{name}").select(*pick).collect()) == want
+
+
+def test_shapes_and_blocks_without_the_driver(spark, monkeypatch):
+    """Many patterns: shapes joined by text and trees built in tasks give what the lists give."""
+    bodies = [*random_lines(21, 300), *["open file7 by user1 ok"] * 40]
+    logs = table(spark, bodies)
+    opened = [
+        " ".join([*t[:i], WILD, *t[i + 1 :]])
+        for t in (" ".join(b.split()).split(" ") for b in bodies[::2])
+        for i in range(len(t))
+    ]
+    rows = [(f"p{i:05}", t) for i, t in enumerate(dict.fromkeys([*opened, "<*> <*> <*>", "open <*> <*> user1 <*>"]))]
+    patterns = spark.createDataFrame(rows, "pattern_id string, template string")
+    pick = ("log_id", "pattern_id", "template")
+    want = sorted(P.match_patterns(logs, patterns, masks=[]).select(*pick).collect(), key=str)
+    monkeypatch.setattr(M, "SLICE_LINES", 7)
+    monkeypatch.setattr(M.TreeIndex, "best", lambda *_: pytest.fail("a block passed the driver"))
+    for large in (3, 10**6):
+        monkeypatch.setattr(M, "SHAPE_PATTERNS", large)
+        index = M.index_trees(patterns, 15_000)
+        assert len(index.others) > 1 if large > 3 else not index.shapes.isEmpty()
+        assert sorted(M.match_many(logs, index, masks=[]).select(*pick).collect(), key=str) == want

@@ -3,11 +3,12 @@
 A line goes down its tree once, by its own tokens and the wildcards, so what it costs follows the
 nodes it meets and not the number of patterns that begin alike. Patterns are divided into blocks of a
 bounded size by their number of tokens (and by hash within one number, where those alone exceed it).
-One block is sent to the workers at a time:
 
-* one block: a column over the logs, no shuffle, on a stream as on a table;
-* more blocks: the different masked lines are written once, each block reads those of its lengths and
-  leaves only what it finds, and the best of all blocks is joined back to the logs.
+* One block is sent to the workers: a column over the logs, no shuffle, on a stream as on a table.
+* More blocks never pass the driver. The different masked lines are written once. Patterns with their
+  wildcards at the same places are many (a shape): their lines, opened at these places, are joined by
+  text. All others are dealt by block, the lines of its lengths in slices beside them, and each task
+  builds the tree of its block. The best of all is joined back to the logs.
 
 Both give the same rows, those of :func:`timberline.operators.patterns.match_patterns`.
 """
@@ -16,16 +17,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timberline.functions.masks import select_masks
-from timberline.functions.templates import masked_line, token_count, wild_positions
+from timberline.functions.templates import generalise, masked_line, token_count, wild_positions
 from timberline.operators import prefix_tree
 from timberline.operators.filters import non_empty_body
 from timberline.sources.scratch import materialize
@@ -36,6 +37,12 @@ cloudpickle.register_pickle_by_value(prefix_tree)
 #: Bound of one block in a worker: what a token takes in nodes and dictionary at most, and the texts.
 TOKEN_BYTES = 160
 BLOCK_BYTES = 256 << 20
+#: Shapes of one number of tokens that are joined by text at most, and the patterns one of them has at least.
+SHAPES = 32
+SHAPE_PATTERNS = 1_000
+#: Different lines one task takes down the tree of a block.
+SLICE_LINES = 200_000
+BEST_DDL = "__masked string, __best struct<wild: int, pattern_id: string, template: string>"
 
 
 @dataclass(frozen=True)
@@ -56,10 +63,16 @@ class Block:
 
 @dataclass
 class TreeIndex:
-    """Saved patterns, written as a table, and the blocks they are sent in."""
+    """Saved patterns, written as a table, and the blocks they are dealt in.
+
+    Of several blocks, also the large ``shapes`` (``n, places``) and the blocks of the patterns that have none
+    of these.
+    """
 
     patterns: DataFrame
     blocks: list[Block]
+    shapes: DataFrame | None = None
+    others: list[Block] = field(default_factory=list)
     _sent: dict = field(default_factory=dict, repr=False)
 
     def best(self, block: Block, masked: Column) -> Column:
@@ -100,7 +113,7 @@ def index_trees(patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> TreeInde
     """Index patterns given by ``pattern_id`` and ``template``; other columns are left aside.
 
     Rows without an id or a template are none. Equal templates under several ids keep the least id.
-    What the driver collects here is a size for each number of tokens.
+    What the driver collects here is two sizes for each number of tokens.
     """
     known = patterns.select("pattern_id", "template").where(
         F.col("pattern_id").isNotNull() & F.col("template").isNotNull()
@@ -114,6 +127,27 @@ def index_trees(patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> TreeInde
     )
     size = F.col("n").cast("long") * TOKEN_BYTES + F.octet_length("template")
     sizes = table.groupBy("n").agg(F.sum(size).alias("size")).orderBy("n").collect()
+    blocks = _blocks(sizes, block_bytes)
+    if len(blocks) <= 1:
+        return TreeIndex(table, blocks)
+    most = W.partitionBy("n").orderBy(F.col("patterns").desc(), "places")
+    shapes = materialize(
+        _placed(table)
+        .groupBy("n", "places")
+        .agg(F.count(F.lit(1)).alias("patterns"))
+        .where(F.col("patterns") >= SHAPE_PATTERNS)
+        .withColumn("rank", F.row_number().over(most))
+        .where(F.col("rank") <= SHAPES)
+        .select("n", "places"),
+        "shapes",
+    )
+    others = _placed(table).join(shapes, ["n", "places"], "left_anti")
+    left = others.groupBy("n").agg(F.sum(size).alias("size")).orderBy("n").collect()
+    return TreeIndex(table, blocks, shapes, _blocks(left, block_bytes))
+
+
+def _blocks(sizes: Iterable, block_bytes: int) -> list[Block]:
+    """Blocks of patterns given by number of tokens and size of all that have it, in order."""
     blocks: list[Block] = []
     room = 0
     for n, bytes_ in sizes:
@@ -127,7 +161,50 @@ def index_trees(patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> TreeInde
         else:
             blocks.append(Block(n, n))
             room = block_bytes - bytes_
-    return TreeIndex(table, blocks)
+    return blocks
+
+
+def _placed(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumn("places", wild_positions(F.col("template")))
+
+
+def _found_by_shape(index: TreeIndex, texts: DataFrame) -> DataFrame:
+    """``__masked, __best`` of the patterns of the large shapes: lines opened at their places, joined by text."""
+    known = _placed(index.patterns).join(index.shapes, ["n", "places"], "left_semi")
+    opened = texts.join(index.shapes, "n").select(
+        "__masked", generalise(F.col("__masked"), F.col("places")).alias("template")
+    )
+    best = F.struct("wild", "pattern_id", "template").alias("__best")
+    return opened.join(known.select("wild", "pattern_id", "template"), "template").select("__masked", best)
+
+
+def _found_by_block(index: TreeIndex, texts: DataFrame) -> DataFrame:
+    """``__masked, __best`` of the patterns of no large shape, by the trees of their blocks."""
+    spark = texts.sparkSession
+    ranges = sorted({(b.low, b.high, b.parts) for b in index.others})
+    dealt = spark.createDataFrame(ranges, "low int, high int, parts int")
+    inside = F.col("n").between(F.col("low"), F.col("high"))
+    lines = texts.join(dealt, inside).drop("n", "high")
+    slices = materialize(
+        lines.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / SLICE_LINES).cast("int").alias("slices")), "slices"
+    )
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    lines = lines.join(slices, "low").select(
+        "low", "__masked", each("parts").alias("part"),
+        F.pmod(F.xxhash64("__masked"), F.col("slices")).cast("int").alias("slice"),
+    )
+    others = _placed(index.patterns).join(index.shapes, ["n", "places"], "left_anti").drop("places")
+    patterns = others.join(dealt, inside).join(slices, "low").select(
+        "low", "wild", "pattern_id", "template", each("slices").alias("slice"),
+        F.pmod(F.xxhash64("template"), F.col("parts")).cast("int").alias("part"),
+    )
+    key = ["low", "part", "slice"]
+    own = patterns.select(*[F.col(k).alias(f"_{k}") for k in key], "wild", "pattern_id", "template")
+    both = own.groupBy(*[f"_{k}" for k in key]).cogroup(lines.groupBy(*key))
+    return both.applyInArrow(prefix_tree.best_rows, BEST_DDL)
 
 
 def match_many(
@@ -156,14 +233,10 @@ def match_many(
         texts = materialize(
             named.select("__masked").distinct().withColumn("n", token_count(F.col("__masked"))), "masked"
         )
-        found = []
-        for block in index.blocks:
-            part = texts.where(block.holds(F.col("n"))).select(
-                "__masked", index.best(block, F.col("__masked")).alias("__best")
-            )
-            found.append(materialize(part.where(F.col("__best").isNotNull()), "found"))
-        index.release()
-        least = reduce(DataFrame.union, found).groupBy("__masked").agg(F.min("__best").alias("__best"))
+        found = _found_by_shape(index, texts)
+        if index.others:
+            found = found.union(_found_by_block(index, texts))
+        least = materialize(found.groupBy("__masked").agg(F.min("__best").alias("__best")), "found")
         best = named.join(least, "__masked", "left")
     return best.select(
         *columns,

@@ -105,3 +105,17 @@ def best_of(tree: dict, lines: pa.Array, slice_rows: int = 2_000) -> pa.Array:
         found.append(walk(tree, *split_tokens(coded.dictionary.slice(at, slice_rows), tree["known"]))[0])
     ranks = np.concatenate([*found, np.empty(0, np.int64)])
     return pa.array(ranks, mask=ranks == tree["none"]).take(coded.indices)
+
+
+def best_rows(patterns: pa.Table, lines: pa.Table) -> pa.Table:
+    """The lines of a slice that a pattern of a block fits, with the best one."""
+    order = [(name, "ascending") for name in ("wild", "pattern_id", "template")]
+    place = pc.sort_indices(patterns, order)
+    columns = [patterns[name].take(place).combine_chunks() for name, _ in order]
+    masked = lines["__masked"].combine_chunks()
+    at = best_of(build(columns[2]), masked)
+    found = at.is_valid()
+    best = pa.StructArray.from_arrays(
+        [c.take(at.filter(found)) for c in columns], names=[name for name, _ in order]
+    )
+    return pa.table({"__masked": masked.filter(found), "__best": best})
