@@ -106,6 +106,23 @@ def test_files_are_ranges_of_terms(spark, tmp_path):
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
+def test_bodies_are_cut_once_and_by_many_tasks(spark, tmp_path):
+    """Also those of a source that gives all its records to one task."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        read.add(1)
+        return f"all t{i}"
+
+    docs = spark.range(1_000).coalesce(1).select("id", body("id").alias("body"))
+    built = search.build_term_index(docs, keys=["id"])
+    search.write_term_index(built, str(tmp_path))
+    assert read.value == 1_000
+    assert spark.read.parquet(f"{tmp_path}/postings").count() == 2_000
+    assert "REBALANCE_PARTITIONS" in built._jdf.queryExecution().executedPlan().toString()
+
+
 def test_required_literals():
     assert search.required_literals("^ah1000[13]$") == [(True, "ah1000")]
     assert search.required_literals("abc*de+f?") == [(False, "ab"), (False, "de")]

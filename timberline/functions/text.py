@@ -56,7 +56,7 @@ def term_positions(body: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), first)
         return F.get(F.transform(F.array(starts), lambda s: entries(pairs, s)), F.lit(0))
 
-    pairs = F.array_sort(F.transform(tokens(body), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    pairs = F.sort_array(F.transform(tokens(body), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
     # an empty array has no runs; a sequence from 0 to -1 would have two
     filled = F.filter(F.array(pairs), lambda p: F.size(p) > 0)
     return F.flatten(F.transform(filled, runs))

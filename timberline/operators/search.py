@@ -34,6 +34,7 @@ LOG_KEYS = (DAY, "timestamp", "log_id")
 #: Terms that are asked for one by one; more are joined, with the same result.
 MAX_TERMS = 200
 GRAM = 3
+_BODY = "_body"
 #: Kinds of dictionary rows: what ``key`` is of ``term``.
 SELF, REVERSED, PART = "term", "reversed", "gram"
 TERMS_DDL = "kind string, key string, term string, records bigint"
@@ -47,10 +48,12 @@ class TermIndex(NamedTuple):
 def build_term_index(logs: DataFrame, keys: Sequence[str] = LOG_KEYS, body: str = "body") -> DataFrame:
     """``keys..., term, positions`` for every distinct term of every record.
 
-    All terms of a record are in its row, so nothing is shuffled.
+    All terms of a record are in its row, so no postings are shuffled. Records are, first, because cutting
+    bodies is most of the work and a file with one row group would leave it to one task.
     """
-    entry = F.explode(term_positions(F.col(body))).alias("entry")
-    return logs.select(*keys, entry).select(*keys, "entry.term", "entry.positions")
+    dealt = logs.select(*keys, F.col(body).alias(_BODY)).hint("rebalance")
+    entry = F.explode(term_positions(F.col(_BODY))).alias("entry")
+    return dealt.select(*keys, entry).select(*keys, "entry.term", "entry.positions")
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
@@ -93,7 +96,10 @@ def write_term_index(index: DataFrame, path: str, name: str | None = None) -> No
     name = name or f"b{uuid.uuid4().hex[:12]}"
     staging = f"{path}/_staging/{name}"
     keys = [c for c in index.columns if c not in (DAY, "term", "positions")]
-    _write(index, f"{staging}/postings", ["term"], [F.xxhash64(*keys)], ["term"])
+    # ranges are sampled from a written copy, so that each body is cut into terms once
+    index.write.mode("overwrite").option("compression", "lz4_raw").parquet(f"{staging}/taken")
+    taken = spark.read.schema(index.schema).parquet(f"{staging}/taken")
+    _write(taken, f"{staging}/postings", ["term"], [F.xxhash64(*keys)], ["term"])
     staged = spark.read.schema(index.schema).parquet(f"{staging}/postings")
     _write(dictionary(staged), f"{staging}/terms", ["kind", "key"], [F.xxhash64("term")], [])
     for part in ("terms", "postings"):
