@@ -31,3 +31,16 @@ def test_entry_module(spark):
 
     assert entry.queries().keys() >= entry.oracle_sql().keys()
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_volume_late"])
+def test_source_of_a_stream_is_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """No task gets all records of a batch, so what one reads does not grow with the table."""
+    from timberline.registry import ingest
+
+    spark.read.parquet(f"{SF_DIR}/events.parquet").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    made = iter(range(100))
+    monkeypatch.setattr(ingest, "scratch_path", lambda _, n: f"{tmp_path}/{n}-{next(made)}")
+    assert QUERIES[name](spark, str(tmp_path)).count()
+    files = spark.read.parquet(f"{tmp_path}/stream-source-*").groupBy("_metadata.file_name").count().collect()
+    assert len(files) >= 12 and max(f["count"] for f in files) < sum(f["count"] for f in files) / 5

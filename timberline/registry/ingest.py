@@ -484,7 +484,7 @@ def _stream_volume_late(spark, sf):
     rows = event_logs(spark, sf)
     keys = ["service_name"]
     for part in (F.col("timestamp") >= "2024-01-15", F.col("timestamp") < "2024-01-15"):
-        rows.where(part).repartition(1).write.mode("append").parquet(path)
+        rows.where(part).write.mode("append").parquet(path)
         stream = spark.readStream.schema(rows.schema).parquet(path)
         stream_counts(stream, target, checkpoint, "1h", keys, available_now=True).awaitTermination()
         merge_volume(spark, target, "2024-01-20", keys)
