@@ -33,7 +33,7 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["stream_volume_late"])
+@pytest.mark.parametrize("name", ["stream_volume_late", "compact_read"])
 def test_source_of_a_stream_is_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
     """No task gets all records of a batch, so what one reads does not grow with the table."""
     from timberline.registry import ingest

@@ -500,9 +500,10 @@ def _compact_read(spark, sf):
     """A streamed table after a compaction that stopped half-way and the one that finished it."""
     target, checkpoint, path = (scratch_path(spark, n) for n in ("out", "check", "stream-source"))
     rows = event_logs(spark, sf)
-    rows.repartition(3).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    write_stream(stream, target, checkpoint, available_now=True).awaitTermination()
+    for part in range(3):
+        rows.where(F.pmod("log_id", F.lit(3)) == part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        write_stream(stream, target, checkpoint, available_now=True).awaitTermination()
     real = Files.delete
 
     def stop(self, path):
