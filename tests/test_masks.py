@@ -116,3 +116,12 @@ def test_report_and_catalogue(spark):
     ipv4 = mask_report(rows).where("rule = 'ipv4'").first()
     assert (ipv4["rows"], ipv4["matches"], ipv4["active"], ipv4["category_order"]) == (1, 2, True, 0)
     assert mask_catalogue(spark).where("active").count() == 7
+
+
+def test_masking_deals_its_lines_first(spark):
+    """A source that gives all its records to one task leaves the masks to many."""
+    from timberline.operators import masking
+
+    logs = spark.range(10).coalesce(1).selectExpr("concat('x ', id) AS body", "TIMESTAMP '2024-01-01' AS timestamp")
+    for rows in (masking.masked_counts(logs), masking.mask_report(logs)):
+        assert "REBALANCE_PARTITIONS_BY_NONE" in rows._jdf.queryExecution().executedPlan().toString()

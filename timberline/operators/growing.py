@@ -39,6 +39,8 @@ def add_lines(logs: DataFrame, path: str, name: str, masks: Iterable[str] | None
     staging = f"{folder}/_staging/{name}"
     counts = (
         non_empty_body(logs)
+        .select("body", "timestamp")
+        .hint("rebalance")  # as in ``masked_counts``
         .select(
             utc_day(F.col("timestamp")).alias(DAY),
             masked_line(F.col("body"), select_masks(masks)).alias("masked"),

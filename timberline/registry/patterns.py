@@ -129,7 +129,7 @@ def pattern_list(spark, sf):
 def _coverage(spark, sf):
     """Every line has exactly one pattern, which fits it, and the counts add up."""
     logs, model = mined(spark, sf)
-    assigned = P.assign_patterns(logs, model)
+    assigned = P.assign_patterns(logs.hint("rebalance"), model)
     fits = T.template_matches(F.col("template"), T.masked_line(F.col("body"), model.masks))
     seen = assigned.agg(
         F.count(F.lit(1)).alias("lines"),
