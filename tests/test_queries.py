@@ -44,3 +44,22 @@ def test_source_of_a_stream_is_written_by_many_tasks(spark, tmp_path, monkeypatc
     assert QUERIES[name](spark, str(tmp_path)).count()
     files = spark.read.parquet(f"{tmp_path}/stream-source-*").groupBy("_metadata.file_name").count().collect()
     assert len(files) >= 12 and max(f["count"] for f in files) < sum(f["count"] for f in files) / 5
+
+
+def test_replays_are_dealt_to_many_tasks_and_few_files(spark, tmp_path, monkeypatch):
+    """The source from a file with one row group has many files; the table has one a day, as without state."""
+    from timberline.registry import ingest
+
+    monkeypatch.setattr(ingest, "scratch_path", lambda _, n: f"{tmp_path}/{n}")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        table = QUERIES["stream_dedupe"](spark, SF_DIR)
+    finally:
+        spark.conf.set(coalesce, before)
+    sent = spark.read.parquet(f"{tmp_path}/stream-source").groupBy("_metadata.file_name").count().collect()
+    assert len(sent) >= 5 and max(f["count"] for f in sent) < sum(f["count"] for f in sent) / 3
+    assert sum(f["count"] for f in sent) == 2 * table.count()
+    days = [*(tmp_path / "out").glob("day=*")]
+    assert len([*(tmp_path / "out").glob("day=*/*.parquet")]) == len(days) > 20

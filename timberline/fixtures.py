@@ -93,17 +93,20 @@ SPARK_WEEKDAY = "(dayofweek(ts) - 1)"
 ORACLE_WEEKDAY = "dayofweek(ts)"
 
 
-def _events_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _events_sql(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     view = "timberline_events"
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView(view)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if dealt:
+        events = events.hint("rebalance", F.col("event_id"))
+    events.createOrReplaceTempView(view)
     rows = spark.sql(sql.replace("FROM events", f"FROM {view}"))
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log table rows for every event."""
-    rows = _events_sql(spark, sf_dir, LOGS_SQL)
+def event_logs(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Log table rows for every event; ``dealt`` evenly first, so that many tasks make them."""
+    rows = _events_sql(spark, sf_dir, LOGS_SQL, dealt)
     return rows.withColumns(
         {
             "resource_attributes": json_to_bag(F.col("resource_attributes")),

@@ -364,11 +364,12 @@ def _stream_dedupe(spark, sf):
     The records span a month, far more than the lateness, which counts from arrival.
     """
     target, checkpoint, path = (scratch_path(spark, n) for n in ("out", "check", "stream-source"))
-    rows = event_logs(spark, sf)
+    rows = event_logs(spark, sf, dealt=True)
     for _ in range(2):
-        rows.repartition(2).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    write_stream(dedupe_stream(stream), target, checkpoint, available_now=True).awaitTermination()
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        write_stream(dedupe_stream(stream), target, checkpoint, available_now=True).awaitTermination()
+        rows = spark.read.schema(rows.schema).parquet(path)  # the same files once more
     return _flat(table.read_logs(spark, target))
 
 
