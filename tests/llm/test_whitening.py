@@ -103,6 +103,23 @@ def test_expansion(spread):
         assert len(calls) < 36
 
 
+def test_what_a_restart_gives_up_still_counts():
+    """B is U'A V also where a restart cut the expansion while the last vector still led on."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((60, 12)) * np.linspace(3, 1, 12)
+    x = whitening.Expansion(lambda v: a.T @ (a @ v), 12)
+    for _ in range(5):
+        assert x.step()
+    assert x.betas[-1] > 0.1
+    x.restart()
+    while len(x.v) < 12:
+        x.step()
+    s, vectors, off = x.triples()
+    assert np.abs(s - np.linalg.svd(a, compute_uv=False)).max() < 1e-12 * s[0]
+    assert np.abs(a.T @ (a @ vectors.T) - vectors.T * s**2).max() < 1e-12 * s[0] ** 2
+    assert off.max() < 1e-13 * s[0]
+
+
 def test_sums_of_large_numbers():
     x = np.array([[2**61, 1], [2**61, 1], [2**61, 1]])
     assert whitening._exact_sum(x) == [3 * 2**61, 3]

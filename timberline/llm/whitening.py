@@ -129,7 +129,8 @@ class Expansion:
     """Golub-Kahan-Lanczos vectors of a matrix A that is known by its product A'A v alone.
 
     With V the right vectors, U = A C the left ones (``c`` holds C) and B the upper bidiagonal matrix
-    of ``alphas`` and ``betas``: A V = U B, and A'U = V B' but for the last column.
+    of ``alphas`` and ``betas``: A V = U B, and A'U = V B' but for the last column. Where it starts afresh,
+    the left vector before leads out of V by what was given up, and B = U'A V has entries for it.
     """
 
     def __init__(self, product: Product, dim: int, seed: int = 17):
@@ -140,6 +141,7 @@ class Expansion:
         self.back = np.zeros((0, dim))  # A'u of every left vector
         self.alphas: list[float] = []
         self.betas: list[float] = []  # the last one belongs to the next right vector
+        self.given_up: dict[int, np.ndarray] = {}  # by left vector, what it led to next
         self.next = self.fresh()
 
     def _off(self, v: np.ndarray) -> np.ndarray:
@@ -187,7 +189,8 @@ class Expansion:
 
     def restart(self) -> None:
         """Go on from a fresh vector; what the last one led to next is given up."""
-        del self.betas[len(self.v) - 1 :]
+        if len(self.betas) == len(self.v):
+            self.given_up[len(self.v) - 1] = self.betas.pop() * self.next
         self.betas.append(0.0)
         self.next = self.fresh()
 
@@ -195,8 +198,14 @@ class Expansion:
         """Singular values, right singular vectors as rows, and how far each is from settled."""
         k = len(self.v)
         b = np.diag(self.alphas) + np.diag(self.betas[: k - 1], 1)
+        off = np.zeros((len(self.given_up) + 1, k))
+        for row, rest in self.given_up.items():
+            b[row, row + 1 :] = self.v[row + 1 :] @ rest
         p, s, qt = np.linalg.svd(b)
-        return s, qt @ self.v, np.abs(self.betas[k - 1] * p[k - 1])
+        for i, (row, rest) in enumerate(self.given_up.items()):
+            off[i] = np.linalg.norm(self._off(rest)) * p[row]
+        off[-1] = self.betas[k - 1] * p[k - 1]
+        return s, qt @ self.v, np.abs(off).sum(axis=0)
 
 
 def components(product: Product, dim: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
