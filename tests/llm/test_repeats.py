@@ -67,5 +67,17 @@ def test_anchors_by_slices(monkeypatch):
         assert i + 49 - int(np.argmin(window[::-1])) in set(whole.tolist())
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "abcdefg ", "wor wor wor no"])
+def test_stretches_of_few_bytes(frame, unit):
+    """All anchors of such a stretch have one bucket and context; it is a row, not one per byte."""
+    texts = [f"{i} {unit * (4000 // len(unit) + i)} {i}" for i in range(20)]
+    found = suffix_dedup.text_anchors(frame(texts).withColumnRenamed("doc_id", "id"), 100)
+    inner = found.groupBy("bucket", "context").count().agg({"count": "max"}).first()[0]
+    assert inner <= 20
+    assert found.agg({"n": "sum"}).first()[0] > 20 * 3000 // len(unit)
+    got = suffix_dedup.remove_repeats(frame(texts), length=100).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(brute(texts, 100)))
+
+
 def test_empty(frame):
     assert suffix_dedup.remove_repeats(frame(["x"]).limit(0)).count() == 0
